@@ -7,8 +7,8 @@ Whether two neighbours merge depends on them alone, hence equal passages get equ
 inside, and only symbols near a passage's borders depend on what surrounds it. The parse keeps
 for each symbol the stretch of words that it depends on.
 
-Each window of `span` words takes as its anchor the least-named symbol of the highest level
-that has one depending on nothing outside the window. This is a function of the window's words
+Each window of `span` words takes as its anchor the least-named group of four neighbouring symbols
+of the highest level that has one depending on nothing outside the window. This is a function of the window's words
 alone, so equal windows have equal anchors: only windows whose anchor occurs in two documents
 need to be compared, and none is missed. Those are compared by hashes of all their words.
 """
@@ -26,6 +26,8 @@ from . import words as W
 from .store import rows_of, saved
 
 ROUNDS = 4
+#: Neighbouring symbols that make an anchor; one alone may be a frequent word.
+GROUP = 4
 _RUN, _PAIR = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
@@ -96,6 +98,13 @@ def anchors(h: np.ndarray, rows: np.ndarray, span: int) -> tuple[np.ndarray, np.
     for k, (name, low, high) in reversed(list(enumerate(levels(h, rows)))):
         if not len(left):
             break
+        g = min(GROUP, span)
+        if len(name) < g:
+            continue
+        m, own = len(name) - g + 1, name
+        name, low, high = own[:m], low[:m], high[g - 1 :]
+        for j in range(1, g):
+            name = W.mix(name * _PAIR + own[j : m + j])
         p = start[left]
         lo, hi = np.searchsorted(low, p, "left"), np.searchsorted(high, p + span - 1, "right") - 1
         has = lo <= hi
