@@ -2,13 +2,15 @@
 
 1. Every text becomes its set of distinct five-word shingles. Documents with equal sets form
    one class; its smallest doc_id speaks for it, so a group of copies is one row from here on.
-2. 190 minima of each set make 38 bands of 5 and a packed signature of the low 4 bits of each
-   scrambled minimum. At a similarity of 0.75 a pair misses every band once in 30,000 times.
-3. Classes that share a band are candidates. First each class is held against the one most
-   alike among the smallest classes of its bands: a line of rows, however large the band.
-   What is then still unconnected inside a band is held against the rest of that band.
+2. Of 512 minima of each set, 190 make 38 bands of 5; the low 4 bits of each scrambled minimum
+   make a packed signature. At a similarity of 0.75 a pair misses every band once in 30,000 times.
+3. Classes that share a band are candidates. Each band has a pivot, the class with the most
+   company over all its bands, as an original has among its edited copies. First each class is
+   held against the pivot most alike; then, in a few rounds, what is still apart from a band's
+   main component against one more class of that component. Each round is a line of rows,
+   however large a band is. What is then still apart is held against the rest of its band.
 4. The similarity estimate of a pair comes from bit counts of the signatures, corrected for
-   chance equality of 4 bits; below 0.55, six deviations from 0.75, a pair is dropped.
+   chance equality of 4 bits; below 0.67, four deviations from 0.75, a pair is dropped.
 5. The others are confirmed on the full sets; components of confirmed links are the groups.
 """
 
@@ -26,10 +28,14 @@ from .graph import components
 from .store import rows_of, saved
 
 BANDS, ROWS, BITS = 38, 5, 4
-MINIMA = BANDS * ROWS
+#: Rounds that hold what is still apart in a band against one class of the band's main component.
+PIVOT_ROUNDS = 4
+BANDED = BANDS * ROWS
+#: Minima in a signature; the first BANDED of them make the bands.
+MINIMA = 512
 LONGS = -(-MINIMA // 64)
 #: Estimated similarity under which a candidate isn't held against full sets.
-LEAST_ESTIMATE = 0.55
+LEAST_ESTIMATE = 0.67
 _SCHEMA = "doc_id bigint, n_shingles bigint, set_key string, bands array<bigint>, signature array<bigint>"
 
 
@@ -52,7 +58,7 @@ def signatures(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.nda
         minima[:, k] = np.minimum.reduceat(held, rows[:-1])
     keys = np.zeros((n, BANDS), np.uint64)
     for r in range(ROWS):
-        keys = W.mix(keys + minima[:, r::ROWS] + np.uint64(r + 1))
+        keys = W.mix(keys + minima[:, r:BANDED:ROWS] + np.uint64(r + 1))
     keys = W.mix(keys + np.arange(BANDS, dtype=np.uint64))
     low = W.mix(minima)
     planes = np.zeros((n, BITS, LONGS * 64), np.uint8)
@@ -112,8 +118,8 @@ def near_duplicates(docs: DataFrame, least: int = 75) -> DataFrame:
     Null and empty texts have no shingles and stay alone. A null doc_id stays alone too, with a
     null component_id, and is kept. Repeated rows of a doc_id each get a row; with different
     texts, each row follows its own text. Columns besides doc_id and
-    text are ignored; an empty table gives an empty table. `least` below 55 would need a lower
-    LEAST_ESTIMATE.
+    text are ignored; an empty table gives an empty table. `least` below 75 would need a lower
+    LEAST_ESTIMATE and more bands.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     told = saved(texts.mapInArrow(_describe, _SCHEMA), "shingled")
@@ -125,8 +131,11 @@ def near_duplicates(docs: DataFrame, least: int = 75) -> DataFrame:
         "reps",
     )
     banded = reps.select("node", F.explode("bands").alias("band"))
-    first = banded.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).filter("size > 1")
-    shared = saved(banded.join(first, "band").select("band", "node", "pivot"), "shared")
+    full = banded.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = saved(banded.join(full, "band").select("band", "node", "size"), "shared")
+    weights = shared.groupBy("node").agg(F.sum("size").alias("weight"))
+    shared = saved(shared.join(weights, "node").select("band", "node", "weight"), "shared")
+    central = shared.groupBy("band").agg(F.max_by("node", F.struct("weight", "node")).alias("pivot"))
     marks = reps.select("node", "signature")
 
     def signed(pairs: DataFrame) -> DataFrame:
@@ -145,21 +154,37 @@ def near_duplicates(docs: DataFrame, least: int = 75) -> DataFrame:
     def confirmed(pairs: DataFrame) -> DataFrame:
         return pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").filter(similar("set_a", "set_b", least)).select("a", "b")
 
-    stars = shared.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    best = signed(stars).groupBy("a").agg(F.max_by("b", F.struct("guess", "b")).alias("b"))
-    edges = saved(confirmed(best), "links")
-    found = components(edges)
-    labelled = shared.join(found.withColumnRenamed("id", "node"), "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    split = labelled.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    rest = saved(labelled.join(split.select("band", "main"), "band"), "rest")
-    minor, any_ = rest.filter("component <> main"), rest
+    def best(pairs: DataFrame) -> DataFrame:
+        """Of the pairs of each a, the one most alike."""
+        return signed(pairs.distinct()).groupBy("a").agg(F.max_by("b", F.struct("guess", "b")).alias("b"))
+
+    def parts(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(band, node, component, weight, main) of bands with several components, and those outside the main one."""
+        labelled = shared.join(groups.withColumnRenamed("id", "node"), "node", "left").select("band", "node", "weight", F.coalesce("component", "node").alias("component"))
+        sizes = labelled.groupBy("band", "component").agg(F.count("*").alias("n"))
+        split = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("band", "main")
+        rest = saved(labelled.join(split, "band"), "rest")
+        return rest, rest.filter("component <> main")
+
+    stars = shared.join(central, "band").filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    edges = saved(confirmed(best(stars)), "links")
+    groups = components(edges)
+    for k in range(PIVOT_ROUNDS):
+        rest, minor = parts(groups)
+        other = rest.filter("component = main").groupBy("band").agg(F.max_by("node", F.xxhash64("node", F.lit(k)) if k else F.struct("weight", "node")).alias("b"))
+        more = saved(confirmed(best(minor.select("band", F.col("node").alias("a")).join(other, "band").select("a", "b"))), "links")
+        if more.isEmpty():
+            break
+        edges = edges.union(more)
+        groups = components(edges)
+    rest, minor = parts(groups)
     across = (
         minor.select("band", F.col("node").alias("a"), F.col("component").alias("ca"))
-        .join(any_.select("band", F.col("node").alias("b"), F.col("component").alias("cb"), "main"), "band")
+        .join(rest.select("band", F.col("node").alias("b"), F.col("component").alias("cb"), "main"), "band")
         .filter("ca <> cb and (cb = main or ca < cb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
     more = saved(confirmed(signed(across).select("a", "b")), "links")
-    groups = found if more.isEmpty() else components(edges.union(more))
+    groups = groups if more.isEmpty() else components(edges.union(more))
     # nodes are hashes: bring classes and doc_ids of a component to its smallest doc_id
     node_of = reps.select("node", "doc_id", "set_key").join(groups.withColumnRenamed("id", "node"), "node", "left").select("doc_id", "set_key", F.coalesce("component", "node").alias("component"))
     least_of = node_of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
