@@ -125,7 +125,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.75) -> DataFra
     index = prints.select("item_id", F.col("length").alias("item_length"), "size", F.col("print").alias("item_print"), F.explode(_probes("print", ITEM_FLIPS)).alias("probe"))
     asked = windows.select("window_key", "size", "print", F.explode(_probes("print", WINDOW_FLIPS)).alias("probe"))
     apart = F.bit_count(F.get("print", F.lit(0)).bitwiseXOR(F.get("item_print", F.lit(0)))) + F.bit_count(F.get("print", F.lit(1)).bitwiseXOR(F.get("item_print", F.lit(1))))
-    candidates = asked.join(index, ["size", "probe"]).filter(apart <= RADIUS).select("window_key", "size", "item_id", "item_length").distinct()
+    candidates = asked.join(index.hint("merge"), ["size", "probe"])  # the index is large for its table: never broadcast
+    candidates = candidates.filter(apart <= RADIUS).select("window_key", "size", "item_id", "item_length").distinct()
     both = F.size(F.array_intersect("own", "wanted"))
     similarity = both / (F.size("own") + F.size("wanted") - both)
     verified = (
