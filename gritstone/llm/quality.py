@@ -128,6 +128,19 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([votes(statistics(t.as_py() or "")) for t in batch.column("text")], pa.string())], ["votes"])
 
 
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        told, slots, values = [], [], []
+        for t in batch.column("text"):
+            text = t.as_py() or ""
+            stats = statistics(text)
+            row = hashed(text, stats, {})
+            told.append(votes(stats))
+            slots.append(list(row))
+            values.append(list(row.values()))
+        yield pa.RecordBatch.from_arrays([pa.array(told, pa.string()), pa.array(slots, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], ["votes", "slots", "values"])
+
+
 def _score(weights: np.ndarray):  # noqa: ANN202
     w = weights.tolist()
 
@@ -155,10 +168,10 @@ def scored(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     counts = {r.votes: r.n for r in texts.select("text").mapInArrow(_vote, "votes string").groupBy("votes").agg(F.count("*").alias("n")).collect()}
-    sample = [r.text or "" for r in texts.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(train_rows).select(F.substring("text", 1, 20_000).alias("text")).collect()] if counts else []
+    few = texts.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(train_rows).select("text")
+    sample = few.mapInArrow(_features, "votes string, slots array<int>, values array<double>").collect() if counts else []  # at most train_rows short rows
     told = fit_labellers(counts) if counts else {}
-    stats = [statistics(t) for t in sample]
-    weights = train([hashed(t, s, {}) for t, s in zip(sample, stats, strict=True)], np.array([told.get(votes(s), 0.5) for s in stats]))
+    weights = train([dict(zip(r.slots, r["values"], strict=True)) for r in sample], np.array([told.get(r.votes, 0.5) for r in sample]))
     posterior = F.create_map(*(F.lit(x) for p in told.items() for x in p)) if told else None
     out = texts.mapInArrow(_score(weights), docs.select("doc_id", F.col("text").cast("string").alias("text")).schema.simpleString()[7:-1] + ",votes:string,score:double")
     return out.withColumn("posterior", F.element_at(posterior, F.col("votes")) if told else F.lit(None).cast("double"))
