@@ -122,7 +122,7 @@ def vectors(blocks: list) -> np.ndarray:
             x[i, zlib.crc32(tag.encode()) % PATH] += 1
             for w in words:
                 x[i, zlib.crc32(b"." + w.encode()) % PATH] += 1.5
-        tokens = text[:400].lower().split()[:40]
+        tokens = text.lower().split()
         for w in tokens:
             x[i, PATH + zlib.crc32(w.encode()) % WORDS] += 1 / (1 + len(tokens))
         k = PATH + WORDS
