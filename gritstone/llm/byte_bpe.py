@@ -88,9 +88,9 @@ def stretches(text: str) -> list[str]:
     """The text cut before each single space that precedes a non-space: the pattern never matches across such a cut."""
     import regex
 
-    if "  " not in text and not regex.search(r"[^\S ] |\A | \s", text):
-        first, *rest = text.split(" ")
-        return [first, *(" " + x for x in rest)]
+    bare = text.split(" ")
+    if bare == text.split():  # no white space but single spaces inside
+        return [bare[0], *[" " + x for x in bare[1:]]]
     return [x for x in regex.split(r"(?= \S)", text) if x]
 
 
