@@ -12,6 +12,8 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -23,23 +25,56 @@ DIMS = 1 << 10
 _SHAPE = bytes(ord("A") if 65 <= b <= 90 else ord("a") if 97 <= b <= 122 or b >= 128 else ord("0") if 48 <= b <= 57 else b for b in range(256))
 
 
-def statistics(text: str) -> dict[str, float]:
-    shape = text.encode().translate(_SHAPE)
-    raw = shape.split()
-    words = text.split()
+class Shapes(dict):
+    """What counts of a word by its shape: symbols, capitals, bar, lone, letters, plain, slot. Forgotten beyond 100,000 shapes."""
+
+    def __missing__(self, w: bytes) -> tuple[int, ...]:
+        told = (
+            len(w) > 2 and w[-1:] not in b"aA0" and w[-1] == w[-2] == w[-3],
+            len(w) > 1 and b"a" not in w and b"A" in w,
+            w == b"|",
+            len(w) == 1 and w not in b"aA0",
+            w.count(b"a") + w.count(b"A"),
+            w.rstrip(b".,;:!?").strip(b"a") in (b"", b"A"),
+            zlib.crc32(w[:1] + w[-3:]) % DIMS,
+        )
+        if len(self) > 100_000:
+            self.clear()
+        if len(w) <= 64:
+            self[w] = told
+        return told
+
+
+def described(text: str, shapes: Shapes) -> tuple[dict[str, float], dict[int, float]]:
+    """Statistics of a text, and its features: word shapes (first and last three characters, letters as a or A) by share, statistics by tenth."""
+    raw, words = text.encode().translate(_SHAPE).split(), text.split()
     n = max(1, len(raw))
-    return {
+    symbols = capitals = bars = lone = letters = plain = size = 0
+    slots: dict[int, int] = {}
+    for w, k in Counter(raw).items():  # a few shapes make up most words
+        is_symbols, is_capitals, is_bar, is_lone, own, is_plain, slot = shapes[w]
+        symbols, capitals, bars, lone = symbols + k * is_symbols, capitals + k * is_capitals, bars + k * is_bar, lone + k * is_lone
+        letters, plain, size = letters + k * own, plain + k * is_plain, size + k * len(w)
+        slots[slot] = slots.get(slot, 0) + k
+    stats = {
         "words": float(len(raw)),
-        "symbols": sum(1 for w in raw if len(w) > 2 and w[-1:] not in b"aA0" and w[-1] == w[-2] == w[-3]) / n,
-        "capitals": sum(1 for w in raw if len(w) > 1 and b"a" not in w and b"A" in w) / n,
+        "symbols": symbols / n,
+        "capitals": capitals / n,
         "bangs": text.count("!!") / n,
-        "bars": sum(1 for w in raw if w == b"|") / n,
-        "lone": sum(1 for w in raw if len(w) == 1 and w not in b"aA0") / n,
-        "letters": (shape.count(b"a") + shape.count(b"A")) / max(1, sum(map(len, raw))),
+        "bars": bars / n,
+        "lone": lone / n,
+        "letters": letters / max(1, size),
         "fresh": len(set(words)) / n,
-        "same": sum(a == b for a, b in zip(words, words[1:], strict=False)) / n,
-        "plain": sum(1 for w in raw if w.rstrip(b".,;:!?").strip(b"a") in (b"", b"A")) / n,
+        "same": sum(map(eq, words, islice(words, 1, None))) / n,
+        "plain": plain / n,
     }
+    out = {slot: k / n for slot, k in slots.items()}
+    for name, v in stats.items():
+        bin_ = int(min(9, 10 * v)) if name != "words" else int(min(9, np.log2(v + 1)))
+        slot = _slot(f"{name}={bin_}")
+        out[slot] = out.get(slot, 0.0) + 0.5
+    out[0] = out.get(0, 0.0) + 1.0
+    return stats, out
 
 
 #: name: (statistic, bad beyond, good on the other side of); a text of few words gets no vote where the statistic needs many
@@ -86,25 +121,6 @@ def _slot(name: str) -> int:
     return zlib.crc32(name.encode()) % DIMS
 
 
-def hashed(text: str, stats: dict[str, float], slots: dict[bytes, int]) -> dict[int, float]:
-    """Word shapes (first and last three characters, letters as a or A) by share, statistics by tenth."""
-    raw = text.encode().translate(_SHAPE).split()
-    out: dict[int, float] = {}
-    for shape, n in Counter([w[:1] + w[-3:] for w in raw]).items():
-        slot = slots.get(shape)
-        if slot is None:
-            if len(slots) > 100_000:
-                slots.clear()
-            slot = slots[shape] = zlib.crc32(shape) % DIMS
-        out[slot] = out.get(slot, 0.0) + n / len(raw)
-    for name, v in stats.items():
-        bin_ = int(min(9, 10 * v)) if name != "words" else int(min(9, np.log2(v + 1)))
-        slot = _slot(f"{name}={bin_}")
-        out[slot] = out.get(slot, 0.0) + 0.5
-    out[0] = out.get(0, 0.0) + 1.0
-    return out
-
-
 def train(rows: list[dict[int, float]], target: np.ndarray, steps: int = 200) -> np.ndarray:
     """Weights of a logistic regression to soft targets, the rarer class weighted up."""
     x = np.zeros((len(rows), DIMS), np.float32)
@@ -124,17 +140,17 @@ def train(rows: list[dict[int, float]], target: np.ndarray, steps: int = 200) ->
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shapes = Shapes()
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([votes(statistics(t.as_py() or "")) for t in batch.column("text")], pa.string())], ["votes"])
+        yield pa.RecordBatch.from_arrays([pa.array([votes(described(t.as_py() or "", shapes)[0]) for t in batch.column("text")], pa.string())], ["votes"])
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shapes = Shapes()
     for batch in batches:
         told, slots, values = [], [], []
         for t in batch.column("text"):
-            text = t.as_py() or ""
-            stats = statistics(text)
-            row = hashed(text, stats, {})
+            stats, row = described(t.as_py() or "", shapes)
             told.append(votes(stats))
             slots.append(list(row))
             values.append(list(row.values()))
@@ -145,14 +161,13 @@ def _score(weights: np.ndarray):  # noqa: ANN202
     w = weights.tolist()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots: dict[bytes, int] = {}
+        shapes = Shapes()
         for batch in batches:
             out, told = [], []
             for t in batch.column("text"):
-                text = t.as_py() or ""
-                stats = statistics(text)
+                stats, row = described(t.as_py() or "", shapes)
                 told.append(votes(stats))
-                z = sum(w[k] * v for k, v in hashed(text, stats, slots).items())
+                z = sum(w[k] * v for k, v in row.items())
                 out.append(0.0 if not stats["words"] else 1 / (1 + float(np.exp(-max(-40.0, min(40.0, z))))))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns)), pa.array(told, pa.string()), pa.array(out, pa.float64())], [*batch.schema.names, "votes", "score"])
 
