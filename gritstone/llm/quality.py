@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Rows with posterior labels that the scorer is trained on: those whose doc_id hashes lowest.
+#: Rows with posterior labels that the scorer is trained on: those whose doc_id hashes lowest; equal rows count once.
 TRAIN_ROWS = 6_000
 DIMS = 1 << 10
 _SHAPE = bytes(ord("A") if 65 <= b <= 90 else ord("a") if 97 <= b <= 122 or b >= 128 else ord("0") if 48 <= b <= 57 else b for b in range(256))
@@ -154,7 +154,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             told.append(votes(stats))
             slots.append(list(row))
             values.append(list(row.values()))
-        yield pa.RecordBatch.from_arrays([pa.array(told, pa.string()), pa.array(slots, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], ["votes", "slots", "values"])
+        yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("t"), pa.array(told, pa.string()), pa.array(slots, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], ["h", "t", "votes", "slots", "values"])
 
 
 def _score(weights: np.ndarray):  # noqa: ANN202
@@ -183,8 +183,10 @@ def scored(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     counts = {r.votes: r.n for r in texts.select("text").mapInArrow(_vote, "votes string").groupBy("votes").agg(F.count("*").alias("n")).collect()}
-    few = texts.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(train_rows).select("text")
-    sample = few.mapInArrow(_features, "votes string, slots array<int>, values array<double>").collect() if counts else []  # at most train_rows short rows
+    keyed = texts.select(F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"), "text")
+    few = keyed.select("h", "t").orderBy("h", "t").limit(train_rows).distinct()  # bounded by train_rows; texts stay in their tasks
+    told_rows = keyed.join(F.broadcast(few), ["h", "t"]).mapInArrow(_features, "h bigint, t bigint, votes string, slots array<int>, values array<double>")
+    sample = told_rows.dropDuplicates(["h", "t"]).orderBy("h", "t").collect() if counts else []  # at most train_rows short rows
     told = fit_labellers(counts) if counts else {}
     weights = train([dict(zip(r.slots, r["values"], strict=True)) for r in sample], np.array([told.get(r.votes, 0.5) for r in sample]))
     posterior = F.create_map(*(F.lit(x) for p in told.items() for x in p)) if told else None
