@@ -39,6 +39,21 @@ def masked(text: Column) -> Column:
     return F.regexp_replace(text, EMAIL, "[email]")
 
 
+def input_hash(text: Column) -> Column:
+    """Equal for inputs that differ in case, spacing and punctuation only."""
+    return F.substring(F.sha2(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), 256), 1, 32)
+
+
+def lines(html: Column) -> Column:
+    """Lines of a page's text: block ends break lines, cells are set apart by bars; blank lines and repeats of the line before are dropped."""
+    s = html
+    for pattern, to in ((r"(?s)<!--.*?-->", " "), (r"(?is)<script[^>]*>.*?</script>", " "), (r"(?is)<style[^>]*>.*?</style>", " "), (r"(?i)</(p|div|li|h[1-6]|tr|section|article|ul|ol|table|title)>|<br[^>]*>", "\n"), (r"(?i)</t[dh]>", " | "), (r"<[^>]*>", ""), (r"[ \t\r\f]+", " ")):
+        s = F.regexp_replace(s, pattern, to)
+    found = F.filter(F.transform(F.split(s, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    held = lambda a: F.filter(a, lambda x, i: (i == 0) | (x != F.get(a, i - 1)))
+    return F.get(F.transform(F.array(found), held), F.lit(0))
+
+
 def element(html: Column, tag: str) -> Column:
     """Text of the first element of that tag, white space single; empty if there is none."""
     inner = F.regexp_extract(html, rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1)

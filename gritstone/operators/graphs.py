@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from gritstone.sources.tables import cut
+
 
 def closure(tree: DataFrame, depth: int = 16) -> DataFrame:
     """id, ancestor_id, distance of tree(id, parent_id), each id its own ancestor at 0; links past `depth` levels or to missing rows end a line."""
@@ -26,3 +28,16 @@ def reached(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
         frontier = onward.join(seen, "id", "left_anti").select("id", F.lit(k).alias("distance"))
         seen = seen.union(frontier)
     return seen
+
+
+def cyclic(edges: DataFrame) -> DataFrame:
+    """edges(src, dst) left when nodes that nothing leads to, or that lead nowhere, are taken away until none is left: empty without a cycle."""
+    left = cut(edges.select("src", "dst").dropna().distinct())
+    n = left.count()
+    while n:
+        rest = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        left = cut(rest.select("src", "dst"))
+        before, n = n, left.count()
+        if n == before:
+            break
+    return left

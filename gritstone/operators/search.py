@@ -49,6 +49,25 @@ def ranked(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def matched(names: DataFrame, asked: DataFrame, k: int = 5) -> DataFrame:
+    """qid, name, confidence, rarity, rank: the k names(name) that share most of the words of each asked(qid, text), a stated and small set.
+
+    A word counts if a name has it, or one that is an edit away where both have six letters or
+    more. Confidence is the share of words that count, at least 0.3; rarity sums what each is
+    worth by the names that have it.
+    """
+    words = names.distinct().select("name", F.explode(F.array_distinct(tokens(F.col("name")))).alias("word"))
+    weights = words.groupBy("word").agg(F.count("*").alias("df"))
+    own = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
+    terms = asked.select("qid", F.size(own).alias("n"), F.explode(own).alias("token")).filter("length(token) > 1")
+    near = (F.length("word") >= 6) & (F.length("token") >= 6) & (F.levenshtein("word", "token") <= 1)
+    hits = weights.join(light(terms), (F.col("word") == F.col("token")) | near)
+    found = words.join(light(hits), "word").groupBy("qid", "name", "token", "n").agg(F.max(1.0 / F.col("df")).alias("rare"))
+    scores = found.groupBy("qid", "name").agg(F.round(F.count("*") / F.max("n"), 6).alias("confidence"), F.round(F.sum("rare"), 6).alias("rarity")).filter("confidence >= 0.3")
+    w = Window.partitionBy("qid").orderBy(F.desc("confidence"), F.desc("rarity"), "name")
+    return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def contained(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """doc_id, item_id where the normalised text holds the normalised passage of 12 characters or more.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
@@ -31,6 +33,19 @@ def ledger(spark: SparkSession, path: str, schema: str, key: str, order: str) ->
     return latest(rows, [key], [F.desc(order)])
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df without its lineage, kept in the folder that the cluster shares; only where none is set (tests) in one of our own."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-shared-"))
+    return df.checkpoint()
+
+
+def upserted(stored: DataFrame, seed: DataFrame, keys: list[str]) -> DataFrame:
+    """seed's rows, and stored rows whose key isn't among them."""
+    return seed.unionByName(stored.join(seed.select(*keys).distinct(), keys, "left_anti"))
+
+
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """First row of each key in the given total order."""
     w = Window.partitionBy(*keys).orderBy(*order)

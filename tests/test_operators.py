@@ -39,6 +39,17 @@ def test_scopes_and_traversal(spark):
     assert sorted(map(tuple, graphs.reached(edges, spark.createDataFrame([("a",)], "id string"), 5).collect())) == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]
 
 
+def test_cycles_are_left_after_peeling(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "a"), ("c", "y"), ("y", "z"), (None, "a")], "src string, dst string")
+    assert sorted(map(tuple, graphs.cyclic(edges).collect())) == [("a", "b"), ("b", "c"), ("c", "a")]
+    assert graphs.cyclic(edges.filter("src <> 'c'")).collect() == [] == graphs.cyclic(edges.limit(0)).collect()
+
+
+def test_upsert_keeps_other_rows(spark):
+    stored, seed = spark.createDataFrame([(1, "old"), (2, "old")], "id int, v string"), spark.createDataFrame([(2, "new"), (3, "new")], "id int, v string")
+    assert sorted(map(tuple, tables.upserted(stored, seed, ["id"]).collect())) == [(1, "old"), (2, "new"), (3, "new")]
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("Rs. 20/- ફી", "**Bold** [link](http://x) <b>a</b>\n- item", "https://www.Ex.org/a/?utm_source=x&q=1#f")], "a string, b string, u string")
     r = df.select(T.tokens(F.col("a")).alias("a"), T.norm(F.col("b")).alias("b"), T.clean_url(F.col("u")).alias("u"), T.host(F.col("u")).alias("h")).first()
