@@ -74,6 +74,22 @@ def _counted(hashes: str) -> Column:
     return _let(F.sort_array(F.col(hashes)), lambda held: F.transform(held, lambda h, i: F.xxhash64(h, i - F.array_position(held, h).cast("int"))))
 
 
+def _starts() -> Column:
+    """Every start of a window of `shingles` shingles with at least `wanted` of the ascending places `at` in it, inside the text.
+
+    The first of `wanted` places in a row is not before the start, the last of them not past the window.
+    """
+    last = lambda j: F.get("at", j + F.col("wanted") - 1)
+    spans = F.transform(
+        F.sequence(F.lit(0), F.size("at") - F.col("wanted")),
+        lambda j: _let(
+            F.struct(F.greatest(F.lit(0), last(j) - F.col("shingles") + 1).alias("lo"), F.least(F.get("at", j), F.col("n") - F.col("length")).alias("hi")),
+            lambda x: F.when(x["lo"] <= x["hi"], F.sequence(x["lo"], x["hi"])).otherwise(F.array().cast("array<int>")),
+        ),
+    )
+    return F.array_distinct(F.flatten(spans))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.75) -> DataFrame:
     """doc_id, item_id, similarity, start: the documents that hold a window like a benchmark item.
 
@@ -95,9 +111,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.75) -> DataFra
         part = part.select("item_id", F.size("item_words").alias("length"), "size", "hashes")
         told = part if told is None else told.union(part)
     told = saved(told, "items")
-    places = saved(told.select(F.posexplode("hashes").alias("offset", "hash"), "length", "size").distinct(), "item_shingles")
-    known = places.select("hash").distinct()
-    small = places.count() <= BROADCAST_ROWS
+    held = saved(told.select(F.explode("hashes").alias("hash"), F.col("length").alias("item_length"), "size").distinct(), "item_shingles")
+    known = held.select("hash").distinct()
+    small = held.count() <= BROADCAST_ROWS
     light = F.broadcast if small else (lambda x: x)
 
     texts = docs.select("doc_id", "text").filter("doc_id is not null and text is not null").withColumn("text_key", F.xxhash64("text"))
@@ -108,33 +124,33 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.75) -> DataFra
         part = hashed.select("doc_id", "text_key", "n", F.posexplode("hashes").alias("pos", "hash")).join(light(known), "hash", "left_semi")
         hits = part if hits is None else hits.union(part)
     hits = saved(hits, "hits")
-    aligned = hits.join(light(places), "hash").select(
-        "doc_id", "text_key", "size", F.least("length", "n").alias("length"),
-        F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.col("n") - F.col("length"))).alias("start"),
-    ).distinct()
+    at = hits.join(light(held), "hash").groupBy("doc_id", "text_key", "n", "size", "item_length").agg(F.sort_array(F.collect_list("pos")).alias("at"))
+    at = at.withColumn("length", F.least("item_length", "n")).withColumn("shingles", F.col("length") - F.col("size") + 1)
+    wanted = F.greatest(F.lit(1), F.ceil((F.col("shingles") + F.col("item_length") - F.col("size") + 1) * least / (1 + least) - 1e-9).cast("int"))
+    aligned = at.withColumn("wanted", wanted).filter(F.size("at") >= F.col("wanted")).select("doc_id", "text_key", "size", "item_length", "length", F.explode(_starts()).alias("start"))
     near = rows_of(texts, hits.select("doc_id"), "doc_id").dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", _words("text").alias("words"))
-    cut = near.join(aligned, ["doc_id", "text_key"]).select("doc_id", "start", "size", F.slice("words", F.col("start") + 1, F.col("length")).alias("window"))
+    cut = near.join(aligned, ["doc_id", "text_key"]).select("doc_id", "start", "size", "item_length", F.slice("words", F.col("start") + 1, F.col("length")).alias("window"))
     cut = saved(cut.withColumn("window_key", F.md5(F.array_join("window", " "))), "windows")
     marked = None
     for s in sizes:
-        part = cut.filter((F.col("size") == s) & (F.size("window") >= s)).groupBy("window_key").agg(F.first("window").alias("window")).select("window_key", F.lit(s).alias("size"), _shingles("window", s).alias("hashes"))
+        part = cut.filter(F.col("size") == s).groupBy("window_key", "item_length").agg(F.first("window").alias("window")).select("window_key", "item_length", F.lit(s).alias("size"), _shingles("window", s).alias("hashes"))
         marked = part if marked is None else marked.union(part)
     windows = saved(marked.withColumn("print", _fingerprint("hashes")), "window_prints")
     prints = saved(told.withColumn("print", _fingerprint("hashes")), "item_prints")
 
     index = prints.select("item_id", F.col("length").alias("item_length"), "size", F.col("print").alias("item_print"), F.explode(_probes("print", ITEM_FLIPS)).alias("probe"))
-    asked = windows.select("window_key", "size", "print", F.explode(_probes("print", WINDOW_FLIPS)).alias("probe"))
+    asked = windows.select("window_key", "item_length", "size", "print", F.explode(_probes("print", WINDOW_FLIPS)).alias("probe"))
     apart = F.bit_count(F.get("print", F.lit(0)).bitwiseXOR(F.get("item_print", F.lit(0)))) + F.bit_count(F.get("print", F.lit(1)).bitwiseXOR(F.get("item_print", F.lit(1))))
-    candidates = asked.join(index.hint("merge"), ["size", "probe"])  # the index is large for its table: never broadcast
+    candidates = asked.join(index.hint("merge"), ["size", "item_length", "probe"])  # the index is large for its table: never broadcast
     candidates = candidates.filter(apart <= RADIUS).select("window_key", "size", "item_id", "item_length").distinct()
     both = F.size(F.array_intersect("own", "wanted"))
     similarity = both / (F.size("own") + F.size("wanted") - both)
     verified = (
-        candidates.join(windows.select("window_key", "size", _counted("hashes").alias("own")), ["window_key", "size"])
+        candidates.join(windows.select("window_key", "item_length", "size", _counted("hashes").alias("own")), ["window_key", "item_length", "size"])
         .join(prints.select("item_id", F.col("length").alias("item_length"), "size", _counted("hashes").alias("wanted")), ["item_id", "item_length", "size"])
-        .select("window_key", "size", "item_id", similarity.alias("similarity")).filter(F.col("similarity") >= least)
+        .select("window_key", "item_length", "size", "item_id", similarity.alias("similarity")).filter(F.col("similarity") >= least)
     )
-    found = cut.join(verified, ["window_key", "size"])
+    found = cut.join(verified, ["window_key", "item_length", "size"])
     best = F.max_by(F.struct("similarity", "start"), F.struct(F.col("similarity"), -F.col("start")))
     return found.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.similarity", "best.start")
 

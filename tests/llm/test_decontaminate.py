@@ -59,6 +59,17 @@ def test_same_as_brute_force(spark):
     assert all(got[k][0] <= want[k][0] for k in got) and sum(got[k] == want[k] for k in got) >= 0.8 * len(got)
 
 
+def test_best_window_between_alignments(spark):
+    item = [f"i{k}" for k in range(100)]
+    filler = lambda c, n: [f"{c}{k}" for k in range(n)]
+    grown = filler("a", 30) + item[4:50] + filler("b", 8) + item[50:96] + filler("c", 30)
+    docs = [(1, " ".join(grown)), (2, " ".join(item[:90])), (3, " ".join(item[:40] + filler("d", 400) + item[40:])), (4, " ".join(grown + grown))]
+    items = [(1, " ".join(item)), (2, " ".join(item[4:50] + filler("b", 8) + item[50:60]))]
+    want = brute(docs, items)
+    assert want[1, 1] == (round(84 / 108, 9), 30) and want.keys() == {(1, 1), (1, 2), (2, 1), (4, 1), (4, 2)}
+    assert found(spark, docs, items) == want
+
+
 def test_given_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     items = spark.read.parquet(f"{sf}/benchmark.parquet")
