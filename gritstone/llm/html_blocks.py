@@ -45,6 +45,7 @@ class _Blocks(HTMLParser):
         self.blocks: list[tuple[list[tuple[str, tuple[str, ...]]], str, int]] = []
         self.held: list[str] = []
         self.linked = 0
+        self.silent: int | None = None  # place in the stack of the outermost open silent element
 
     def flush(self) -> None:
         text = " ".join("".join(self.held).split())
@@ -56,6 +57,8 @@ class _Blocks(HTMLParser):
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
                 del self.stack[k:]
+                if self.silent is not None and k <= self.silent:
+                    self.silent = None
                 return
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -63,7 +66,7 @@ class _Blocks(HTMLParser):
             self.held.append(" ")
         if tag in _VOID:
             return
-        if tag in _BLOCK:
+        if tag in _BLOCK and self.silent is None:  # what is in a silent element neither ends nor closes anything around it
             self.flush()
             tags = [t for t, _ in self.stack]
             if "p" in tags and tag not in ("button", "select", "option"):  # a block ends an open paragraph and the inline tags in it
@@ -78,15 +81,17 @@ class _Blocks(HTMLParser):
         for name, value in attrs:
             if name in ("class", "id", "role") and value:
                 words += tuple(w for w in re.split(r"[^a-z]+", value.lower()) if w)
+        if tag in _SILENT and self.silent is None:
+            self.silent = len(self.stack)
         self.stack.append((tag, words))
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in _BLOCK:
+        if tag in _BLOCK and (self.silent is None or any(t == tag for t, _ in self.stack[: self.silent]) and all(t != tag for t, _ in self.stack[self.silent :])):
             self.flush()
         self.pop(tag)
 
     def handle_data(self, data: str) -> None:
-        if any(t in _SILENT for t, _ in self.stack[-3:]):
+        if self.silent is not None:
             return
         self.held.append(data)
         if any(t == "a" for t, _ in self.stack):
@@ -115,13 +120,28 @@ def _disguise(path: list, names: dict[str, tuple[str, tuple[str, ...]]]) -> list
     return [names.get(t, (t, w)) if not w or t in names else (t, w) for t, w in path]
 
 
+def _tag_path(element: tuple[str, tuple[str, ...]], around: np.ndarray) -> np.ndarray:
+    """Counts of an element's tag and class words, added to those of the elements around it."""
+    tag, words = element
+    out = around.copy()
+    out[zlib.crc32(tag.encode()) % PATH] += 1
+    for w in words:
+        out[zlib.crc32(b"." + w.encode()) % PATH] += 1.5
+    return out
+
+
 def vectors(blocks: list) -> np.ndarray:
+    """A row for each block. Its whole tag path counts; the second and further equals of a path add only their logarithm, so that depth doesn't outweigh names."""
     x = np.zeros((len(blocks), INPUT), np.float32)
+    last: list = []
+    sums = [np.zeros(PATH, np.float32)]  # of the first 0, 1, ... elements of `last`
     for i, (path, text, linked) in enumerate(blocks):
-        for depth, (tag, words) in enumerate(path[-8:]):
-            x[i, zlib.crc32(tag.encode()) % PATH] += 1
-            for w in words:
-                x[i, zlib.crc32(b"." + w.encode()) % PATH] += 1.5
+        same = next((k for k, (a, b) in enumerate(zip(path, last, strict=False)) if a is not b), min(len(path), len(last)))
+        del sums[same + 1 :]
+        for element in path[same:]:
+            sums.append(_tag_path(element, sums[-1]))
+        last = path
+        x[i, :PATH] = np.where(sums[-1] > 2, 2 + np.log(np.maximum(sums[-1], 2) / 2), sums[-1])
         tokens = text.lower().split()
         for w in tokens:
             x[i, PATH + zlib.crc32(w.encode()) % WORDS] += 1 / (1 + len(tokens))
@@ -214,7 +234,7 @@ def _padded(pages: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 def train(pages: list[str]) -> Labeller:
     """A labeller fitted to the pages that mark their article; without any, one that takes nothing for granted."""
-    r = np.random.default_rng(5)
+    r, wraps = np.random.default_rng(5), np.random.default_rng(6)
     made = []
     for page in pages:
         blocks = blocks_of(page)[:STRETCH]
@@ -233,6 +253,8 @@ def train(pages: list[str]) -> Labeller:
                     path = [*path[:-1], ("div", (r.choice(_ASIDE_WORDS[r.choice(kinds)].split()),))]
                 changed.append((path, text, linked))
             made.append((vectors(changed), labels))
+        plain = [("div", ())] * int(2 ** wraps.uniform(1, 7))  # the page with its text nested deeper, for pages that nest more than these
+        made.append((vectors([([*path[:-1], *plain, *path[-1:]], text, linked) for path, text, linked in blocks]), labels))
     return Labeller().fit(made)
 
 

@@ -35,6 +35,28 @@ def test_unmarked_page(spark):
     assert [t for (_, t, _), q in zip(blocks, p) if q >= 0.5] == ["Of the ering", "Thing re and onle, that with the.", "Er edhe <x> & so."]
 
 
+def test_silent_elements_at_any_depth():
+    texts = lambda page: [t for _, t, _ in H.blocks_of(page)]
+    inner = "<g>" * 6 + "<title>no</title><text>no</text>" + "</g>" * 6
+    assert texts(f"<article><p>one <svg>{inner}</svg> two</p></article>") == ["one two"]
+    assert texts("<p>a<template><div><ul><li><p>no<li>no</ul></div></template>b</p><p>c") == ["ab", "c"]
+    assert texts("<div><noscript><div><div><div><div>no</div></div></div></div></noscript>yes</div>") == ["yes"]
+    assert texts("<section><object><b><i><u>no</section><p>yes") == ["yes"]
+
+
+def test_deep_nesting(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").limit(120).collect()]
+    model = H.train(pages)
+    deep = lambda tag, inner, n: f"<{tag}>" + "<div>" * n + inner + "</div>" * n + f"</{tag.split()[0]}>"
+    for n in (0, 12, 60):
+        page = "<body>" + deep("nav", '<a href="/">Home</a>', n) + deep("article", "<h1>Of the ering</h1><p>Thing re and onle, that with the.</p><p>Er edhe heed of the rouha.</p>", n) + deep("footer", "<p>Reouh and the erth of me.</p>", n) + "</body>"
+        blocks = H.blocks_of(page)
+        kept = [t for (_, t, _), q in zip(blocks, H.label(model, [blocks])[0]) if q >= 0.5]
+        assert kept == ["Of the ering", "Thing re and onle, that with the.", "Er edhe heed of the rouha."]
+    one, other = (H.vectors([([(tag, ()), *[("div", ())] * 20], "text", 0)]) for tag in ("nav", "article"))
+    assert (one != other).any()
+
+
 def test_gradients_are_right():
     r = np.random.default_rng(1)
     model = H.Labeller()
