@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 TRAIN_PAGES = 300
 PATH, WORDS, EXTRA, HIDDEN = 48, 16, 6, 8
 INPUT = PATH + WORDS + EXTRA
-#: Blocks of a page that are read together; a longer page is read in overlapping stretches.
-STRETCH, OVERLAP = 400, 40
+#: Blocks of a training page that are learned from at most, and blocks that are labelled at once, unless a page has more.
+TRAIN_BLOCKS, TOGETHER = 400, 25_600
 _VOID = frozenset("br img hr meta link input source wbr area base col embed track param".split())
 _BLOCK = frozenset("address article aside blockquote body button caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
 _SILENT = frozenset("script style noscript template svg iframe object".split())
@@ -167,7 +167,7 @@ class Labeller:
     def _sig(z: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    def _side(self, x: np.ndarray, mask: np.ndarray, side: str) -> tuple[np.ndarray, list]:
+    def _side(self, x: np.ndarray, mask: np.ndarray, side: str, learning: bool = True) -> tuple[np.ndarray, list]:
         pages, steps, _ = x.shape
         z = x @ self.w["x" + side] + self.w["c" + side]
         h = c = np.zeros((pages, HIDDEN), np.float32)
@@ -178,14 +178,15 @@ class Labeller:
             g = np.tanh(a[:, 3 * HIDDEN :])
             m = mask[:, t, None]
             new = f * c + i * g
-            tape.append((t, h, c, i, f, o, g, np.tanh(new), m))
+            if learning:
+                tape.append((t, h, c, i, f, o, g, np.tanh(new), m))
             c = m * new + (1 - m) * c
             h = m * o * np.tanh(new) + (1 - m) * h
             out[:, t] = h
         return out, tape
 
-    def forward(self, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, tuple]:
-        (hf, tf), (hb, tb) = self._side(x, mask, "f"), self._side(x, mask, "b")
+    def forward(self, x: np.ndarray, mask: np.ndarray, learning: bool = True) -> tuple[np.ndarray, tuple]:
+        (hf, tf), (hb, tb) = self._side(x, mask, "f", learning), self._side(x, mask, "b", learning)
         both = np.concatenate([hf, hb], axis=2)
         return self._sig(both @ self.w["o"] + self.w["q"]), (both, tf, tb)
 
@@ -237,7 +238,7 @@ def train(pages: list[str]) -> Labeller:
     r, wraps = np.random.default_rng(5), np.random.default_rng(6)
     made = []
     for page in pages:
-        blocks = blocks_of(page)[:STRETCH]
+        blocks = blocks_of(page)[:TRAIN_BLOCKS]
         labels = np.array([weak_label(path) for path, _, _ in blocks], np.float32)
         if not labels.sum() or labels.all():
             continue
@@ -259,22 +260,19 @@ def train(pages: list[str]) -> Labeller:
 
 
 def label(model: Labeller, pages: list[list]) -> list[np.ndarray]:
-    """Probability of main text for the blocks of each page."""
-    jobs = []
-    for k, blocks in enumerate(pages):
-        x = vectors(blocks)
-        for lo in range(0, max(1, len(x)), STRETCH - OVERLAP):
-            if lo == 0 or lo + OVERLAP < len(x):
-                jobs.append((k, lo, x[lo : lo + STRETCH]))
+    """Probability of main text for the blocks of each page, each block read with all others of its page, however many."""
     out = [np.zeros(len(b), np.float32) for b in pages]
-    jobs = sorted((j for j in jobs if len(j[2])), key=lambda j: (len(j[2]), j[1]))
-    for lo in range(0, len(jobs), 64):
-        held = jobs[lo : lo + 64]
-        x, mask, _ = _padded([(j[2], j[2][:0, 0]) for j in held])
-        p, _ = model.forward(x, mask)
-        for (k, start, own), row in zip(held, p, strict=True):
-            skip = OVERLAP // 2 if start else 0
-            out[k][start + skip : start + len(own)] = row[skip : len(own)]
+    order = sorted((k for k, b in enumerate(pages) if b), key=lambda k: len(pages[k]))
+    while order:
+        size = 1  # pages of like length, the longest first
+        while size < min(64, len(order)) and (size + 1) * len(pages[order[-1]]) <= TOGETHER:
+            size += 1
+        held, order = order[-size:], order[:-size]
+        xs = [vectors(pages[k]) for k in held]
+        x, mask, _ = _padded([(own, own[:0, 0]) for own in xs])
+        p, _ = model.forward(x, mask, learning=False)
+        for k, row in zip(held, p, strict=True):
+            out[k] = row[: len(pages[k])]
     return out
 
 

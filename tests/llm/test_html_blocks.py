@@ -57,6 +57,20 @@ def test_deep_nesting(spark):
     assert (one != other).any()
 
 
+def test_page_of_thousands_of_blocks(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").limit(120).collect()]
+    model = H.train(pages)
+    said = [f"Thing re and onle, that with the {k}." for k in range(3000)]
+    page = '<body><nav><ul>' + '<li><a href="/x">Er</a></li>' * 1500 + "</ul></nav><article><h1>Of the ering</h1>" + "".join(f"<p>{t}</p>" for t in said) + "</article><footer>" + '<p><a href="/">Er edhe</a></p>' * 1500 + "&copy; me</footer></body>"
+    short = H.blocks_of(pages[0])
+    blocks = H.blocks_of(page)
+    p, q = H.label(model, [blocks, short])
+    assert [t for (_, t, _), x in zip(blocks, p) if x >= 0.5] == ["Of the ering", *said]
+    x = H.vectors(blocks)[None]
+    assert np.abs(model.forward(x, np.ones(x.shape[:2], np.float32), learning=False)[0][0] - p).max() < 1e-4
+    assert np.abs(H.label(model, [short])[0] - q).max() < 1e-4
+
+
 def test_gradients_are_right():
     r = np.random.default_rng(1)
     model = H.Labeller()
