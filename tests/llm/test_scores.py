@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+
 from gritstone.llm.quality import scored
 from gritstone.llm.toxicity import Grammar, toxicity
 
@@ -37,6 +39,19 @@ def test_grammar_scores_clauses():
     assert weight("la vequique") == 1.5 and weight("") == weight("plain words") == 0.0
 
 
+def test_grammar_reads_all_words_and_whole_clauses(spark):
+    g = Grammar({"idiot": 2.0})
+    best, count = (lambda text: g.features(text)[2]), (lambda text: round(math.expm1(g.features(text)[3])))
+    assert all(count(t) == 1 for t in ("l'idiot", "l\u2019idiot", "you-idiot", "fine.Idiot", "and/or/idiot", "x_idiot", "1idiot"))
+    assert best("you-idiot") == best("you idiot") == 2.5 and best("you.idiot") == 2.0
+    assert best("it isn't-idiot") == best("it isn't idiot") == best("it not idiot") < 2.0
+    assert best("they said " + "plain " * 90 + "idiot") == 0.4 * 2.0
+    assert best("idiot " + "plain " * 90 + "you idiot") == 2.0 + 2.5
+    assert count("you idiot. " * 37) == 37 and count("idiot 3.5 idiot, idiot") == 2
+    docs = spark.createDataFrame([(1, 1, "you kill, " * 25, "v")], SCHEMA)
+    assert [r.n_clauses for r in toxicity(docs, spark.createDataFrame([], "doc_id bigint, toxic int")).collect()] == [25]
+
+
 def test_toxicity_of_odd_rows(spark):
     labels = "doc_id bigint, toxic int, score int"
     docs = spark.createDataFrame([(1, None, "a", "v"), (1, 2, None, "v"), (1, 3, "", "v"), (1, 3, "", "v")], SCHEMA)
