@@ -7,9 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-#: Longest run of host labels that list entries are looked up by; public lists name at most this many.
-LABELS = 6
-
 
 def host_of(url: Column) -> Column:
     """Lower-case host without port, user or trailing dots; null for anything that has none."""
@@ -18,14 +15,11 @@ def host_of(url: Column) -> Column:
 
 
 def suffixes(host: Column) -> Column:
-    """A host and its parent domains of two labels or more, longest first, the last LABELS labels at most; a host of one label is its own."""
+    """A host and all its parent domains of two labels or more, longest first; a host of one label is its own."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    longest = F.least(n, F.lit(LABELS))
-    shortest = F.least(n, F.lit(2))
-    cut = F.transform(F.sequence(longest, shortest, F.lit(-1)), lambda k: F.array_join(F.slice(labels, n - k + 1, k), "."))
-    exact = F.when(n > LABELS, F.concat(F.array(host), cut)).otherwise(cut)
-    return F.when(host.isNotNull(), exact)
+    cut = F.transform(F.sequence(n, F.least(n, F.lit(2)), F.lit(-1)), lambda k: F.array_join(F.slice(labels, n - k + 1, k), "."))
+    return F.when(host.isNotNull(), cut)
 
 
 def intervals(entries: DataFrame) -> DataFrame:
