@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .store import saved
+from .store import light, saved
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,3 +23,14 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.select("id", "component")
         if after.filter("fell").isEmpty():
             return labels
+
+
+def extended(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """groups(id, component) after more links(a, b), a saved table: only the components that these join are gone through anew."""
+    if links.isEmpty():
+        return groups
+    a, b = groups.toDF("a", "ca"), groups.toDF("b", "cb")
+    joined = components(links.join(light(a), "a", "left").join(light(b), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    old = groups.join(light(joined.toDF("component", "further")), "component", "left").select("id", F.coalesce("further", "component").alias("component"))
+    alone = joined.join(groups.select(F.col("id").alias("id")), "id", "left_anti")  # ids without a component until now
+    return saved(old.union(alone.select("id", "component")), "groups")
