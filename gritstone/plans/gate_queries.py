@@ -9,6 +9,7 @@ from gritstone.operators import geo, graphs, search
 from gritstone.sources.tables import table, upserted
 
 from .catalogue import query
+from .text_queries import lines_sql
 
 _KM = "2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
 
@@ -57,11 +58,7 @@ def q_intent_match(spark: SparkSession, d: str) -> DataFrame:
     return search.matched(table(spark, d, "part").select(F.col("p_type").alias("name")), asked).withColumnRenamed("name", "p_type")
 
 
-_LINES = r"""list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'),
- '(?i)</(p|div|li|h[1-6]|tr|section|article|ul|ol|table|title)>|<br[^>]*>', chr(10), 'g'), '(?i)</t[dh]>', ' | ', 'g'), '<[^>]*>', '', 'g'), '[ \t\r\f]+', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '')"""
-
-
-@query(f"SELECT page_id, len(kept) AS n_lines, md5(array_to_string(kept, chr(10))) AS digest FROM (SELECT page_id, list_filter(l, lambda x, i: i = 1 OR x <> l[i - 1]) AS kept FROM (SELECT page_id, {_LINES} AS l FROM pages))")
+@query(f"SELECT page_id, len(kept) AS n_lines, md5(array_to_string(kept, chr(10))) AS digest FROM (SELECT page_id, list_filter(l, lambda x, i: i = 1 OR x <> l[i - 1]) AS kept FROM (SELECT page_id, {lines_sql('html')} AS l FROM pages))")
 def q_html_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", T.lines(F.col("html")).alias("l")).select("page_id", F.size("l").alias("n_lines"), F.md5(F.array_join("l", "\n")).alias("digest"))
 

@@ -10,17 +10,22 @@ from gritstone.sources.tables import latest, table
 
 from .catalogue import query
 
-_NORM = r"""lower(trim(regexp_replace(regexp_replace(translate(regexp_replace(regexp_replace(regexp_replace({0},
- '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[*_`~]', '', 'g'), '<[^>]*>', ' ', 'g'), '‘’“”', '''''""'), '(?m)^[ \t]*[-•·][ \t]+', '', 'g'), '\s+', ' ', 'g')))"""
+
+def _norm_sql(column: str) -> str:
+    for pattern, to in T.UNMARK:
+        column = f"regexp_replace({column}, '{pattern.replace(chr(39), chr(39) * 2)}', '{to.replace('$', chr(92)).replace(chr(39), chr(39) * 2)}', 'g')"
+    return f"lower(trim({column}))"
+
+
 _TOKENS = r"list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}\p{{M}}]+'), lambda t: length(t) > 1)"
 
 
-@query(f"SELECT doc_id, item_id FROM (SELECT doc_id, {_NORM.format('text')} AS body FROM documents) d, (SELECT item_id, {_NORM.format('text')} AS passage FROM benchmark) b WHERE length(passage) >= 12 AND contains(body, passage)")
+@query(f"SELECT doc_id, item_id FROM (SELECT doc_id, {_norm_sql('text')} AS body FROM documents) d, (SELECT item_id, {_norm_sql('text')} AS passage FROM benchmark) b WHERE length(passage) >= 12 AND contains(body, passage)")
 def q_verbatim_audit(spark: SparkSession, d: str) -> DataFrame:
     return search.contained(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
-@query(f"SELECT item_id, length(n) AS n_chars, md5(n) AS digest FROM (SELECT item_id, {_NORM.format('text')} AS n FROM benchmark)")
+@query(f"SELECT item_id, length(n) AS n_chars, md5(n) AS digest FROM (SELECT item_id, {_norm_sql('text')} AS n FROM benchmark)")
 def q_norm_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", T.norm(F.col("text")).alias("n")).select("item_id", F.length("n").alias("n_chars"), F.md5("n").alias("digest"))
 
@@ -59,7 +64,7 @@ def q_bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
     return top.select("item_id", "doc_id", "rank", F.round("score", 3).alias("score"))
 
 
-@query(f"""WITH {_BM25.replace('{where}', '')}, held AS (SELECT item_id, doc_id FROM (SELECT doc_id, {_NORM.format('text')} AS body FROM documents) d, (SELECT item_id, {_NORM.format('text')} AS passage FROM benchmark) b WHERE length(passage) >= 12 AND contains(body, passage)),
+@query(f"""WITH {_BM25.replace('{where}', '')}, held AS (SELECT item_id, doc_id FROM (SELECT doc_id, {_norm_sql('text')} AS body FROM documents) d, (SELECT item_id, {_norm_sql('text')} AS passage FROM benchmark) b WHERE length(passage) >= 12 AND contains(body, passage)),
  best AS (SELECT item_id, min(rank) AS rank FROM held LEFT JOIN (SELECT * FROM ranked WHERE rank <= 30) r USING (item_id, doc_id) GROUP BY item_id)
  SELECT count(*) AS cases, round(avg(CASE WHEN rank IS NULL THEN 0 ELSE 1.0 / rank END), 6) AS mrr, count(*) FILTER (rank <= 5) AS hit_5, count(*) FILTER (rank <= 10) AS hit_10, count(*) FILTER (rank <= 20) AS hit_20, count(*) FILTER (rank <= 30) AS hit_30 FROM best""")
 def q_retrieval_eval(spark: SparkSession, d: str) -> DataFrame:
@@ -106,27 +111,55 @@ def q_redaction(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.size(F.regexp_extract_all("text", F.lit(T.EMAIL), F.lit(0))).alias("n_emails"), F.md5(T.masked(F.col("text"))).alias("digest"))
 
 
-_EL = r"trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<{0}[^>]*>(.*?)</{0}>', 1), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
+_BARE = "regexp_replace(regexp_replace({0}, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>|<svg[^>]*>.*?</svg>|<iframe[^>]*>.*?</iframe>', ' ', 'g')"
+_DECODED = (
+    "array_to_string(list_transform(string_split({0}, '&'), lambda p, i: CASE WHEN i = 1 THEN p "
+    + " ".join(f"WHEN regexp_matches(p, '^(?i){n};') THEN '{c.replace(chr(39), chr(39) * 2)}' || substr(p, {len(n) + 2})" for n, c in T.ENTITIES.items())
+    + " WHEN regexp_matches(p, '^#[0-9]+;') THEN chr(CAST(regexp_extract(p, '^#([0-9]+);', 1) AS INTEGER)) || regexp_replace(p, '^#[0-9]+;', '') ELSE '&' || p END), '')"
+)
+_TIDY = "trim(regexp_replace(" + _DECODED.replace("{0}", "regexp_replace({0}, '<[^>]*>', ' ', 'g')") + r", '\s+', ' ', 'g'))"
+
+
+def _element_sql(tag: str) -> str:
+    return _TIDY.replace("{0}", f"regexp_extract({_BARE.replace('{0}', 'html')}, '(?is)<{tag}[^>]*>(.*?)</{tag}>', 1)")
+
+
+def lines_sql(html: str) -> str:
+    s = _BARE.replace("{0}", html)
+    for pattern, to in ((r"(?i)</(p|div|li|h[1-6]|tr|section|article|ul|ol|table|title)>|<br[^>]*>", "chr(10)"), ("(?i)</t[dh]>", "' | '"), ("<[^>]*>", "' '")):
+        s = f"regexp_replace({s}, '{pattern}', {to}, 'g')"
+    s = f"regexp_replace({_DECODED.replace('{0}', s)}, '[ \\t\\r\\f]+', ' ', 'g')"
+    return f"list_filter(list_transform(string_split({s}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
 
 
-@query(f"SELECT page_id, {_EL.format('title')} AS title, {_EL.format('h1')} AS h1 FROM pages")
+@query(f"""SELECT page_id, {_element_sql('title')} AS title, {_element_sql('h1')} AS h1, {_TIDY.replace('{0}', "regexp_extract(html, '(?i)<meta[^>]+name=.description.[^>]+content=.([^<>]*?)[^<>/]/?>', 1)")} AS description FROM pages""")
 def q_html_meta(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", T.element(F.col("html"), "title").alias("title"), T.element(F.col("html"), "h1").alias("h1"))
+    html = F.col("html")
+    return table(spark, d, "pages").select("page_id", T.element(T.bare(html), "title").alias("title"), T.element(T.bare(html), "h1").alias("h1"), T.description(html).alias("description"))
 
 
-@query(f"SELECT page_id, regexp_matches(lower({_EL.format('title')} || ' ' || {_EL.format('h1')}), '404|not found|page missing') OR length(html) < 400 AS soft_404 FROM pages")
+@query(f"""WITH p AS (SELECT page_id, lower({_element_sql('title')} || ' ' || {_element_sql('h1')}) AS head, {lines_sql('html')} AS l FROM pages)
+ SELECT page_id, len(l) AS n_lines, regexp_matches(head, '{T.GONE_TITLE}') OR (length(array_to_string(l, chr(10))) < 400 AND regexp_matches(array_to_string(l, chr(10)), '{T.GONE_TEXT}')) AS soft_404 FROM
+ (SELECT page_id, head, list_filter(l, lambda x, i: i = 1 OR x <> l[i - 1]) AS l FROM p)""")
 def q_soft404(spark: SparkSession, d: str) -> DataFrame:
-    head = F.lower(F.concat(T.element(F.col("html"), "title"), F.lit(" "), T.element(F.col("html"), "h1")))
-    return table(spark, d, "pages").select("page_id", (head.rlike("404|not found|page missing") | (F.length("html") < 400)).alias("soft_404"))
+    html = F.col("html")
+    return table(spark, d, "pages").select("page_id", F.size(T.lines(html)).alias("n_lines"), T.soft_404(html).alias("soft_404"))
 
 
-@query("""SELECT page_id, href, min(pos) AS pos FROM (SELECT page_id, unnest(hrefs) AS href, unnest(range(len(hrefs))) AS pos FROM (SELECT page_id, regexp_extract_all(html, '<a[^>]*href="([^"#]+)"', 1) AS hrefs FROM pages)) GROUP BY page_id, href""")
+@query(rf"""WITH m AS (SELECT page_id, url, regexp_extract_all({_BARE.replace('{0}', 'html')}, '(?is)<a\b[^>]*\bhref=["'']([^"'']+)["''][^>]*>(.*?)</a>', 0) AS found FROM pages),
+ e AS (SELECT page_id, url AS base, unnest(found) AS a, unnest(range(len(found))) AS pos FROM m),
+ h AS (SELECT page_id, base, pos, regexp_replace(trim({_DECODED.replace('{0}', "regexp_extract(a, '(?is)<a\\b[^>]*\\bhref=[\"'']([^\"'']+)[\"'']', 1)")}), '#.*$', '') AS own,
+  nullif(left({_TIDY.replace('{0}', "regexp_extract(a, '(?is)^<a[^>]*>(.*?)</a>', 1)")}, 200), '') AS title FROM e),
+ f AS (SELECT page_id, pos, title, regexp_replace(CASE WHEN regexp_matches(own, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN own WHEN own LIKE '//%' THEN regexp_extract(base, '^[a-zA-Z]+:') || own WHEN own LIKE '/%' THEN regexp_extract(base, '^[a-zA-Z]+://[^/?#]*') || own
+  WHEN own LIKE '?%' THEN regexp_extract(base, '^[^?#]*') || own ELSE regexp_extract(base, '^[a-zA-Z]+://[^/?#]*') || coalesce(nullif(regexp_extract(base, '^[a-zA-Z]+://[^/?#]*([^?#]*/)', 1), ''), '/') || own END, '^(https?://[^/?]+)(\?.*)?$', '\1/\2') AS url FROM h WHERE own <> '')
+ SELECT page_id, pos, url, title FROM f WHERE regexp_matches(url, '^(?i)https?://') QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY pos) = 1""")
 def q_anchors(spark: SparkSession, d: str) -> DataFrame:
-    found = F.regexp_extract_all("html", F.lit('<a[^>]*href="([^"#]+)"'), F.lit(1))
-    return table(spark, d, "pages").select("page_id", F.posexplode(found).alias("pos", "href")).groupBy("page_id", "href").agg(F.min("pos").alias("pos"))
+    return table(spark, d, "pages").select("page_id", F.inline(T.anchors(F.col("html"), F.col("url")))).select("page_id", F.col("pos").cast("bigint").alias("pos"), "url", "title")
 
 
-@query(r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '([?&])(?:utm_[a-z]+|fbclid|gclid)=[^&]*', '\1', 'g'), '&+', '&', 'g'), '\?&', '?', 'g'), '[?&]+$', ''), '/+$', '') AS url FROM pages""")
+@query(r"""SELECT page_id, CASE WHEN origin = '' THEN url ELSE lower(origin) || coalesce(nullif(regexp_replace(path, '/+$', ''), ''), '/') || CASE WHEN q = '' THEN '' ELSE '?' || q END END AS url FROM
+ (SELECT page_id, url, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]+)', 1) AS origin, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]+([^?#]*)', 1) AS path,
+ array_to_string(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: NOT regexp_matches(x, '^(utm_|fbclid|gclid)')), '&') AS q FROM pages)""")
 def q_url_norm(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", T.clean_url(F.col("url")).alias("url"))
 
