@@ -189,8 +189,9 @@ def near_duplicates(docs: DataFrame, least: int = 75) -> DataFrame:
         groups = extended(groups, confirmed(across, sets))
 
     # classes are named by hashes: the smallest doc_id speaks for a component
-    least_of = groups.toDF("set_key", "component").join(reps.select("set_key", "rep"), "set_key").withColumn("component_id", F.min("rep").over(Window.partitionBy("component")))
-    by_set = reps.select("set_key", "rep").join(light(saved(least_of.select("set_key", "component_id"), "groups")), "set_key", "left").select("set_key", F.coalesce("component_id", "rep").alias("component_id"))
+    grouped = groups.toDF("set_key", "component")
+    least_of = saved(grouped.join(reps.select("set_key", "rep"), "set_key").groupBy("component").agg(F.min("rep").alias("component_id")), "least")
+    by_set = reps.select("set_key", "rep").join(light(saved(grouped.join(light(least_of), "component").select("set_key", "component_id"), "groups")), "set_key", "left").select("set_key", F.coalesce("component_id", "rep").alias("component_id"))
     out = told.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(by_set, "set_key", "left")
     return out.select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
