@@ -1,11 +1,15 @@
 """Byte-level BPE by folds of Spark's higher-order functions over the bytes of distinct words.
 
-Each task reads its documents in order and hands Spark the words that it has not met before:
-a word is one match of the pre-tokenizing pattern, as an array of its bytes. A fold merges, step
-by step, the leftmost of the adjacent pieces whose union has the least rank. Ranks come from a
-literal map, held as an array of small maps by hash so that a look-up touches one of them.
-The ids of new words come back to the task in the same order, right before the documents that
-need them. Nothing is shuffled, a task's memory is bounded, and a lost task is simply run again.
+A word is one match of the pre-tokenizing pattern. Documents are read once into blocks of bounded
+size: a block numbers its distinct words and holds its documents as sequences of these numbers.
+The words of all blocks meet by a hash of their bytes, each distinct word of the corpus is
+encoded and decoded once, and the answers go back to the blocks that asked. A fold merges, step by
+step, the leftmost of the adjacent pieces whose union has the least rank. Ranks come from a literal
+map, held as an array of small maps by hash so that a look-up touches one of them; decoding looks
+up the piece of each id in a literal array and concatenates the pieces.
+
+Blocks are kept as a table bucketed by block, so only words and answers are shuffled, never the
+documents. Word hashes are even, blocks are bounded: no key is hot.
 """
 
 from __future__ import annotations
@@ -13,16 +17,25 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Distinct words, and stretches of text between spaces, that a task remembers; then it forgets all and starts anew.
-WORDS, STRETCHES = 400_000, 400_000
-#: Words and documents of one message between Python and Spark.
-CHUNK, DOCS, TEXT_BYTES = 4_000, 256, 1 << 20
+from .store import shared_dir
+
+#: Distinct stretches, distinct words and bytes of text after which a block of documents ends, and documents of one of its rows.
+STRETCHES, WORDS, BLOCK_BYTES, DOCS = 350_000, 300_000, 48 << 20, 500
+#: Hash buckets of words; a block sends one row to each that it has words of.
+BUCKETS = 4096
+#: A word of more bytes is cut where no token can lie across, so that folds stay short.
+LONG = 64
 NONE = 1 << 30
+#: Between words, and between their ids: bytes are the characters up to U+00FF.
+_SEP = "\u0100"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -33,8 +46,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 def _key_hash(text: str, buckets: int) -> int:
     """What pmod(crc32(text), buckets) gives."""
-    import zlib
-
     return zlib.crc32(text.encode()) % buckets
 
 
@@ -48,6 +59,14 @@ def rank_map(ranks: dict[bytes, int]) -> Column:
     return F.from_json(F.lit(json.dumps(held)), "array<map<string,int>>")
 
 
+def piece_array(ranks: dict[bytes, int]) -> Column:
+    """The piece of each id as a literal array<string>, a character for a byte; ids must be below 2 ** 20."""
+    held = [""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        held[rank] = token.decode("latin-1")
+    return F.from_json(F.lit(json.dumps(held)), "array<string>")
+
+
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -84,116 +103,170 @@ def fold(word: Column, table: Column, buckets: int) -> Column:
     return F.when(whole < NONE, F.array(whole)).otherwise(_let(F.split(word, ""), pieces))
 
 
-def stretches(text: str) -> list[str]:
-    """The text cut before each single space that precedes a non-space: the pattern never matches across such a cut."""
-    import regex
+class Cuts:
+    """Where a long word can be cut: between two bytes that no token has side by side in the setting they stand in."""
 
-    bare = text.split(" ")
-    if bare == text.split():  # no white space but single spaces inside
-        return [bare[0], *[" " + x for x in bare[1:]]]
-    return [x for x in regex.split(r"(?= \S)", text) if x]
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.pairs = {t for t in ranks if len(t) == 2}
+        self.triples = {t[k : k + 3] for t in ranks for k in range(len(t) - 2)}
 
+    def __call__(self, word: bytes) -> list[bytes]:
+        """The word in parts. A piece of two bytes across a cut would be a token, a longer one would have a triple across it."""
+        if len(word) <= LONG:
+            return [word]
+        out, lo = [], 0
+        for i in range(1, len(word)):
+            if word[i - 1 : i + 1] not in self.pairs and word[i - 1 : i + 2] not in self.triples and (i < 2 or word[i - 2 : i + 1] not in self.triples):
+                out.append(word[lo:i])
+                lo = i
+        return [*out, word[lo:]]
 
-def _ask(pattern: str) -> Callable:
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of new words (kind 1), a row that says to forget all (kind 0), rows of documents (kind 2), in order."""
-        import regex
 
-        find = regex.compile(pattern).findall
-        known: set[str] = set()
-        words: set[str] = set()
-        names = ["kind", "doc_id", "text", "words"]
-        types = [pa.int32(), pa.int64(), pa.string(), pa.list_(pa.string())]
+_LOOSE = r" (?=\s|$)"
 
-        def rows(kind: int, ids: list, texts: list, lists: list) -> pa.RecordBatch:
-            n = max(len(ids), len(lists), 1)
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([kind] * n, ids or [None] * n, texts or [None] * n, lists or [None] * n), types, strict=True)], names)
 
-        for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            lo = 0
-            while lo < len(ids):
-                held, size, new = [], 0, []
-                while lo + len(held) < len(ids) and len(held) < DOCS and size < TEXT_BYTES:
-                    held.append(texts[lo + len(held)].as_py() or "")
-                    size += len(held[-1])
-                if len(known) > STRETCHES or len(words) > WORDS:
-                    known, words = set(), set()
-                    yield rows(0, [], [], [])
-                for text in held:
-                    fresh = set(stretches(text)) - known
-                    known |= fresh
-                    for s in fresh:
-                        for w in find(s):
-                            if w not in words:
-                                words.add(w)
-                                new.append(w.encode().decode("latin-1"))
-                for k in range(0, len(new), CHUNK):
-                    yield rows(1, [], [], [new[k : k + CHUNK]])
-                yield rows(2, ids[lo : lo + len(held)], held, [])
-                lo += len(held)
-
-    return ask
-
-
-def _answer(pattern: str, ranks: dict[bytes, int], full: bool) -> Callable:
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Ids and decoded bytes of the documents, from the words' ids that came before them."""
+def stretches(text: str, loose: Callable | None = None) -> list[str]:
+    """The text cut before each space that a non-space follows: the pattern never matches across such a cut. All but the first begin with a space, which is left out."""
+    if loose is None:
         import regex
 
-        find = regex.compile(pattern).findall
-        piece_of = {r: t for t, r in ranks.items()}
-        ids_of: dict[str, list[int]] = {}
-        known: dict[str, tuple[bytes, int, bytes]] = {}
+        loose = regex.compile(_LOOSE).search
+    parts = text.split(" ")
+    if not loose(text):
+        return parts
+    import regex
+
+    space = regex.compile(r"\s").match
+    out = [parts[0]]
+    for part in parts[1:]:
+        if not part or space(part):
+            out[-1] += " " + part
+        else:
+            out.append(part)
+    return out
+
 
-        def ready(stretch: str) -> tuple[bytes, int, bytes]:
-            ids = [i for w in find(stretch) for i in ids_of[w]]
-            return ",".join(map(str, ids)).encode(), len(ids), b"".join([piece_of[i] for i in ids])
+def _index(pattern: str, ranks: dict[bytes, int]) -> Callable:
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of documents (doc_ids, sizes, payload) and rows of words (bucket, words), block by block."""
+        import regex
+        from pyspark import TaskContext
+
+        find, loose, cuts = regex.compile(pattern).findall, regex.compile(_LOOSE).search, Cuts(ranks)
+        numbers: dict[bytes, int] = {}
+        known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # stretches at the start of a text, and after a space
+        held: list[tuple[int | None, bytes]] = []
+        block, size = TaskContext.get().partitionId() << 32, 0
+
+        def number(word: bytes) -> int:
+            return numbers.setdefault(word, len(numbers))
+
+        def learn(at: int, parts: list[str]) -> None:
+            own = known[at]
+            for x in set(parts) - own.keys():
+                own[x] = np.array([number(c) for w in find(" " * at + x) for c in cuts(w.encode())], "<u4").tobytes()
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            words = list(numbers)
+            bucket = np.array([zlib.crc32(w) % BUCKETS for w in words], np.int64)
+            order = np.argsort(bucket, kind="stable")
+            place = np.empty(len(words), "<u4")
+            place[order] = np.arange(len(words))
+            for lo in range(0, len(held), DOCS):
+                part = held[lo : lo + DOCS]
+                told = place[np.frombuffer(b"".join([x for _, x in part]), "<u4")]
+                planes = np.ascontiguousarray(told.view(np.uint8).reshape(-1, 4).T).tobytes()
+                yield row([block], [None], [None], [[d for d, _ in part]], [[len(x) // 4 for _, x in part]], [zlib.compress(planes, 1)])
+            starts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            lists = [_SEP.join([words[k].decode("latin-1") for k in part.tolist()]) for part in np.split(order, starts[1:])] if len(words) else []
+            n = len(lists)
+            if n:
+                yield row([block] * n, bucket[order][starts].tolist(), lists, [None] * n, [None] * n, [None] * n)
+
+        def row(*columns: list) -> pa.RecordBatch:
+            types = [pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["block", "bucket", "words", "doc_ids", "sizes", "payload"])
 
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for row, kind in enumerate(batch.column("kind").to_pylist()):
-                if kind == 0:
-                    ids_of, known = {}, {}
-                elif kind == 1:
-                    ids_of.update(zip([w.encode("latin-1").decode() for w in batch.column("words")[row].as_py()], batch.column("ids")[row].as_py(), strict=True))
-                else:
-                    parts = stretches(batch.column("text")[row].as_py() or "")
-                    for s in set(parts):
-                        if s not in known:
-                            known[s] = ready(s)
-                    if len(known) > 2 * STRETCHES:
-                        known = {s: known[s] for s in set(parts)}
-                    told = [known[s] for s in parts if s]
-                    joined, decoded = b",".join([t[0] for t in told]), b"".join([t[2] for t in told])
-                    out[0].append(batch.column("doc_id")[row].as_py())
-                    out[1].append(sum([t[1] for t in told]))
-                    out[2].append(hashlib.sha256(joined).hexdigest())
-                    out[3].append(hashlib.sha256(decoded).hexdigest())
-                    if full:
-                        out[4].append([int(x) for x in joined.split(b",") if x])
-                        out[5].append(decoded)
-            if out[0]:
-                arrays = [pa.array(x, t) for x, t in zip(out, [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.binary()], strict=True) if full or len(x)]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(arrays)])
-
-    return answer
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                text = text.as_py() or ""
+                parts = stretches(text, loose)
+                first, parts = parts[:1], parts[1:]
+                learn(0, first)
+                learn(1, parts)
+                held.append((doc_id, known[0][first[0]] + b"".join(map(known[1].__getitem__, parts))))
+                size += len(text)
+                if size > BLOCK_BYTES or len(numbers) > WORDS or len(known[0]) + len(known[1]) > STRETCHES:
+                    yield from rows()
+                    numbers, known, held, block, size = {}, ({}, {}), [], block + 1, 0
+        if held:
+            yield from rows()
+
+    return index
+
+
+def _join(full: bool) -> Callable:
+    def join(docs: pa.Table, told: pa.Table) -> pa.Table:
+        """Documents of a block from the answers to its words."""
+        ids, pieces = [], []
+        for own, decoded in zip(*(told.sort_by("bucket").column(c).to_pylist() for c in ("ids", "pieces")), strict=True):
+            ids += [x.encode() + b"," for x in own.split(_SEP)]
+            pieces += [x.encode("latin-1") for x in decoded.split(_SEP)]
+        count = np.array([x.count(b",") for x in ids], np.int64)
+        out: list[list] = [[], [], [], [], [], []]
+        for doc_ids, sizes, payload in zip(*(docs.column(c).to_pylist() for c in ("doc_ids", "sizes", "payload")), strict=True):
+            numbers = np.ascontiguousarray(np.frombuffer(zlib.decompress(payload), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+            end = 0
+            for doc_id, size in zip(doc_ids, sizes, strict=True):
+                own = numbers[end : end + size]
+                end += size
+                places = own.tolist()
+                joined, decoded = b"".join(map(ids.__getitem__, places))[:-1], b"".join(map(pieces.__getitem__, places))
+                out[0].append(doc_id)
+                out[1].append(int(count[own].sum()))
+                out[2].append(hashlib.sha256(joined).hexdigest())
+                out[3].append(hashlib.sha256(decoded).hexdigest())
+                if full:
+                    out[4].append([int(x) for x in joined.split(b",") if x])
+                    out[5].append(decoded)
+        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.binary()]
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
+        return pa.table({n: pa.array(x, t) for n, x, t in list(zip(names, out, types, strict=True))[: 6 if full else 4]})
+
+    return join
+
+
+def _blocks(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder as a table bucketed by block, so that what is joined by block needn't be shuffled."""
+    spark = df.sparkSession
+    name = f"blocks_{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
 
 
 def encode(docs: DataFrame, rank_path: str, pattern: str, full: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if full, ids and decoded of each row of docs(doc_id, text).
 
     Null texts are empty: no ids. Repeated rows and null doc_ids get a row each, an empty table
-    none; other columns are ignored. Special tokens in a text are ordinary text. The rank file is
-    read on the driver; its ranks travel with the plan. It must hold all 256 single bytes.
+    none; other columns are ignored. Special tokens in a text are ordinary text. A text of any
+    length is read whole and makes a block of its own where it must; a fold takes time with the
+    square of a word's length, so words of over LONG bytes are first cut where no token can lie
+    across (a run of one repeated letter can't be cut). The rank file is read on the driver; its
+    ranks travel with the plan. It must hold all 256 single bytes.
     """
     ranks = read_ranks(rank_path)
     buckets = 1 << max(4, len(ranks).bit_length())
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    asked = texts.mapInArrow(_ask(pattern), "kind int, doc_id bigint, text string, words array<string>")
-    folded = _let(rank_map(ranks), lambda table: F.transform("words", lambda w: fold(w, table, buckets)))
-    told = asked.withColumn("ids", F.when(F.col("kind") == 1, folded))
-    return told.mapInArrow(_answer(pattern, ranks, full), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * full)
+    held = _blocks(texts.mapInArrow(_index(pattern, ranks), "block bigint, bucket int, words string, doc_ids array<bigint>, sizes array<int>, payload binary"))
+    asked = held.filter("words is not null").select("bucket", "block", "words").repartition("bucket")
+    each = asked.select("bucket", "block", F.posexplode(F.split("words", _SEP)).alias("at", "word")).groupBy("bucket", "word").agg(F.collect_list(F.struct("block", "at")).alias("asked"))
+    join = lambda ids, pieces: F.struct(F.array_join(ids, ",").alias("ids"), F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "").alias("pieces"))
+    answer = _let(F.struct(rank_map(ranks).alias("ranks"), piece_array(ranks).alias("pieces")), lambda t: _let(fold(F.col("word"), t["ranks"], buckets), lambda ids: join(ids, t["pieces"])))
+    told = each.select("bucket", "asked", answer.alias("answer")).select("bucket", F.explode("asked").alias("asked"), "answer")
+    back = told.groupBy("bucket", F.col("asked.block").alias("block")).agg(F.sort_array(F.collect_list(F.struct("asked.at", "answer.ids", "answer.pieces"))).alias("told"))
+    back = back.select("block", "bucket", F.array_join("told.ids", _SEP).alias("ids"), F.array_join("told.pieces", _SEP).alias("pieces"))
+    rows = held.filter("doc_ids is not null").select("block", "doc_ids", "sizes", "payload")
+    return rows.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_join(full), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * full)
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

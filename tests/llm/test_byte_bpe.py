@@ -5,7 +5,7 @@ import hashlib
 import public_tokenizers as P
 import tiktoken
 
-from gritstone.llm.byte_bpe import encode, read_ranks, stretches
+from gritstone.llm.byte_bpe import Cuts, encode, read_ranks, stretches
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 ODD = [None, "", " ", "  ", "a", " a", "a  b", "a   b \n", "\n\n x", "it's we'll  I'm", "tab\t x \t y", "日本語 の テキスト 😀😀", "x" * 300, "<|endoftext|> é ü  z", "1234 56,7..!! \r\n q", "end ", " \n ", "  a", "a  b  c", "\x1c x", "a\x85 b"]
@@ -13,7 +13,7 @@ ODD = [None, "", " ", "  ", "a", " a", "a  b", "a   b \n", "\n\n x", "it's we'll
 
 def test_same_as_tiktoken(spark, sf):
     own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=read_ranks(RANKS), special_tokens={})
-    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()] + [(10_000 + i, t) for i, t in enumerate(ODD)]
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [(10_000 + i, t) for i, t in enumerate(ODD)]
     df = spark.createDataFrame([(i, t, 5, "y") for i, t in docs], "doc_id bigint, text string, ids int, kind string").repartition(3)
     got = {r.doc_id: r for r in encode(df, RANKS, P.PATTERN, full=True).collect()}
     assert len(got) == len(docs)
@@ -29,8 +29,21 @@ def test_stretches_never_cut_a_match():
 
     for text in ODD:
         parts = stretches(text or "")
-        assert "".join(parts) == (text or "")
-        assert [w for s in parts for w in regex.findall(P.PATTERN, s)] == regex.findall(P.PATTERN, text or "")
+        assert " ".join(parts) == (text or "")
+        assert [w for k, s in enumerate(parts) for w in regex.findall(P.PATTERN, " " * (k > 0) + s)] == regex.findall(P.PATTERN, text or "")
+
+
+def test_long_words_are_cut_where_no_token_lies_across(spark):
+    import random
+
+    ranks, rnd = read_ranks(RANKS), random.Random(2)
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    words = ["".join(rnd.choice("qxzjkvwQZX日本語的ßé") for _ in range(3000)), "x" * 700, "".join(chr(rnd.randrange(0x4E00, 0x9FA5)) for _ in range(20_000))]
+    for w in words:
+        parts = Cuts(ranks)(w.encode())
+        assert b"".join(parts) == w.encode() and [i for p in parts for i in own._core_bpe.encode_single_piece(p)] == own.encode_ordinary(w)
+    got = {r.doc_id: r.ids for r in encode(spark.createDataFrame(list(enumerate(words)), "doc_id int, text string"), RANKS, P.PATTERN, full=True).collect()}
+    assert all(got[k] == own.encode_ordinary(w) for k, w in enumerate(words))
 
 
 def test_repeated_null_and_no_rows(spark):
