@@ -7,25 +7,58 @@ from pyspark.sql import DataFrame, functions as F
 from gritstone.sources.tables import cut
 
 
-def closure(tree: DataFrame, depth: int = 16) -> DataFrame:
-    """id, ancestor_id, distance of tree(id, parent_id), each id its own ancestor at 0; links past `depth` levels or to missing rows end a line."""
-    level = tree.select("id", F.col("id").alias("ancestor_id"), F.lit(0).alias("distance"))
-    found, up = level, tree.select(F.col("id").alias("ancestor_id"), "parent_id").filter("parent_id is not null")
-    for k in range(1, depth + 1):
-        level = level.join(up, "ancestor_id").select("id", F.col("parent_id").alias("ancestor_id"), F.lit(k).alias("distance")).join(tree.select(F.col("id").alias("ancestor_id")), "ancestor_id", "left_semi").select("id", "ancestor_id", "distance")
-        if level.isEmpty():
-            return found
+def closure(tree: DataFrame) -> DataFrame:
+    """id, ancestor_id, distance of tree(id, parent_id), each id its own ancestor at 0; links to missing rows end a line, and a line that comes back to where it was ends there. Lines of any depth are followed, a level a round."""
+    up = tree.filter("parent_id is not null").join(tree.select(F.col("id").alias("parent_id")).distinct(), "parent_id", "left_semi").select(F.col("id").alias("ancestor_id"), "parent_id").distinct()
+    level = found = cut(tree.select("id", F.col("id").alias("ancestor_id"), F.lit(0).alias("distance")).distinct())
+    k = 0
+    while not level.isEmpty():
+        k += 1
+        onward = level.join(up, "ancestor_id").select("id", F.col("parent_id").alias("ancestor_id"), F.lit(k).alias("distance")).distinct()
+        level = cut(onward.join(found, ["id", "ancestor_id"], "left_anti").select("id", "ancestor_id", "distance"))
         found = found.union(level)
     return found
 
 
-def reached(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """id, distance of what edges(src, dst) reach from starts(id) in at most depth steps, at the least distance."""
-    seen = starts.select("id", F.lit(0).alias("distance")).distinct()
-    frontier = seen
-    for k in range(1, depth + 1):
+def resolved(asked: DataFrame, places: DataFrame) -> DataFrame:
+    """request_id, scope, level of asked(request_id, names): how deep places(id, parent_id, name) knows the names, from the top.
+
+    A place goes by its name, its id or the last part of its id, in lower case without blanks, underscores
+    and hyphens; of several the least id counts. The first unknown or null name ends the walk; scope is null and level 0
+    if the first is unknown.
+    """
+    plain = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"[\s_-]", "")
+    called = F.explode(F.array_distinct(F.array(plain(F.col("name")), plain(F.col("id")), plain(F.element_at(F.split("id", "-"), -1)))))
+    keys = places.select(F.coalesce("parent_id", F.lit("")).alias("above"), "id", called.alias("key")).groupBy("above", "key").agg(F.min("id").alias("id"))
+    depth = asked.agg(F.max(F.size("names"))).first()[0] or 0
+    told = asked.select("request_id", "names", F.lit("").alias("at"), F.lit(0).alias("level"))
+    for k in range(depth):  # as many levels as a question has names
+        next_ = keys.select(F.col("above").alias("at"), F.col("key").alias("asks"), F.col("id").alias("below"))
+        here = F.when(F.col("level") == k, plain(F.get("names", F.lit(k))))
+        told = told.withColumn("asks", here).join(next_, ["at", "asks"], "left").select("request_id", "names", F.coalesce("below", "at").alias("at"), (F.col("level") + F.col("below").isNotNull().cast("int")).alias("level"))
+    return told.select("request_id", F.nullif("at", F.lit("")).alias("scope"), "level")
+
+
+def named_goal(asked: DataFrame, services: DataFrame, rewrites: list[tuple[str, str]]) -> DataFrame:
+    """request_id, id, priority of asked(request_id, name): the service meant, by its id, its id after a rewrite of the name's start, its name, or an alias, in that order; of equals the first by ord."""
+    text = F.trim(F.col("name"))
+    low = F.lower(text)
+    turned = [F.when(low.startswith(old), F.concat(F.lit(new), F.substring(low, len(old) + 1, 1 << 20))) for old, new in rewrites]
+    tries = [(1, text), *((2, t) for t in turned), (3, F.concat(F.lit("name:"), low)), (4, F.concat(F.lit("alias:"), low))]
+    wanted = asked.select("request_id", F.explode(F.array(*(F.struct(F.lit(p).alias("priority"), c.alias("key")) for p, c in tries))).alias("t")).select("request_id", "t.priority", "t.key").filter("key is not null")
+    keys = services.select("id", "ord", F.explode(F.concat(F.array(F.col("id"), F.concat(F.lit("name:"), F.lower(F.trim("name")))), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.concat(F.lit("alias:"), F.lower(F.trim(a)))))).alias("key"))
+    best = wanted.join(keys, "key").groupBy("request_id").agg(F.min(F.struct("priority", "ord", "id")).alias("best"))
+    return asked.select("request_id").join(best, "request_id", "left").select("request_id", "best.id", "best.priority")
+
+
+def reached(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
+    """id, distance of what edges(src, dst) reach from starts(id) in at most depth steps (all, if null), at the least distance; cycles end where they began."""
+    seen = frontier = cut(starts.select("id", F.lit(0).alias("distance")).distinct())
+    k = 0
+    while (depth is None or k < depth) and not frontier.isEmpty():
+        k += 1
         onward = edges.join(frontier.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id")).distinct()
-        frontier = onward.join(seen, "id", "left_anti").select("id", F.lit(k).alias("distance"))
+        frontier = cut(onward.join(seen, "id", "left_anti").select("id", F.lit(k).alias("distance")))
         seen = seen.union(frontier)
     return seen
 

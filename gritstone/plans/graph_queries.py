@@ -22,7 +22,7 @@ def _places(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH RECURSIVE tree AS (SELECT 'r' || r_regionkey AS id, NULL AS parent_id FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer),
  up AS (SELECT id, id AS ancestor_id, 0 AS distance FROM tree UNION ALL SELECT up.id, t.parent_id, distance + 1 FROM up JOIN tree t ON t.id = up.ancestor_id WHERE t.parent_id IS NOT NULL) SELECT id, ancestor_id, distance FROM up""")
 def q_scope_chain(spark: SparkSession, d: str) -> DataFrame:
-    return graphs.closure(_places(spark, d), 4)
+    return graphs.closure(_places(spark, d))
 
 
 @query("""WITH rules(rule, scope) AS (VALUES ('all', NULL), ('region1', 'r1'), ('nation3', 'n3'), ('nation8', 'n8'), ('region2', 'r2'))
@@ -68,12 +68,6 @@ def q_traverse_bfs(spark: SparkSession, d: str) -> DataFrame:
     return graphs.reached(edges, spark.createDataFrame([("s1",)], "id string"), 2)
 
 
-@query("SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber) AS step, lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber) AS after FROM lineitem")
-def q_topo_layers(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber")
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.row_number().over(w).alias("step"), F.lag("l_linenumber").over(w).alias("after"))
-
-
 @query("SELECT 'step_' || lower(n_name) || '_' || t AS id, n_nationkey, t AS template FROM nation, (SELECT unnest(['apply', 'visit', 'track']) AS t)")
 def q_template_stamp(spark: SparkSession, d: str) -> DataFrame:
     nations = table(spark, d, "nation").select("n_nationkey", "n_name", F.explode(F.array(*map(F.lit, ("apply", "visit", "track")))).alias("template"))

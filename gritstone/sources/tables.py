@@ -34,10 +34,13 @@ def ledger(spark: SparkSession, path: str, schema: str, key: str, order: str) ->
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, kept in the folder that the cluster shares; only where none is set (tests) in one of our own."""
+    """df without its lineage, kept in the folder that the cluster shares; in local mode without one, in one of our own."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-shared-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-shared-"))
     return df.checkpoint()
 
 
