@@ -119,10 +119,6 @@ def soft_404(html: Column, content_type: Column | None = None) -> Column:
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 
 
-def masked(text: Column) -> Column:
-    return F.regexp_replace(text, EMAIL, "[email]")
-
-
 def input_hash(text: Column) -> Column:
     """Equal for inputs that differ in case, spacing and punctuation only."""
     return F.substring(F.sha2(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), 256), 1, 32)

@@ -102,15 +102,6 @@ def q_windows(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", "window_no", F.substring("text", F.col("window_no") * 1400 + 1, F.lit(2000)).alias("body"))
 
 
-_EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
-
-
-@query(f"SELECT doc_id, len(regexp_extract_all(text, '{_EMAIL}')) AS n_emails, md5(regexp_replace(text, '{_EMAIL}', '[email]', 'g')) AS digest FROM documents WHERE regexp_matches(text, '{_EMAIL}')")
-def q_redaction(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").filter(F.col("text").rlike(T.EMAIL))
-    return docs.select("doc_id", F.size(F.regexp_extract_all("text", F.lit(T.EMAIL), F.lit(0))).alias("n_emails"), F.md5(T.masked(F.col("text"))).alias("digest"))
-
-
 _BARE = "regexp_replace(regexp_replace({0}, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>|<svg[^>]*>.*?</svg>|<iframe[^>]*>.*?</iframe>', ' ', 'g')"
 _DECODED = (
     "array_to_string(list_transform(string_split({0}, '&'), lambda p, i: CASE WHEN i = 1 THEN p "
