@@ -23,7 +23,7 @@ def query(sql: str | None = None) -> Callable:
 
 
 def queries() -> dict:
-    from . import event_queries, field_queries, gate_queries, graph_queries, journey_queries, ledger_queries, text_queries  # noqa: F401
+    from . import event_queries, field_queries, gate_queries, graph_queries, journey_queries, ledger_queries, text_queries, validation_queries  # noqa: F401
 
     return dict(QUERIES)
 
