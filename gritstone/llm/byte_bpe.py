@@ -163,8 +163,9 @@ def _index(pattern: str, ranks: dict[bytes, int]) -> Callable:
 
         def learn(at: int, parts: list[str]) -> None:
             own = known[at]
-            for x in set(parts) - own.keys():
-                own[x] = np.array([number(c) for w in find(" " * at + x) for c in cuts(w.encode())], "<u4").tobytes()
+            for x in set(parts):
+                if x not in own:
+                    own[x] = np.array([number(c) for w in find(" " * at + x) for c in cuts(w.encode())], "<u4").tobytes()
 
         def rows() -> Iterator[pa.RecordBatch]:
             words = list(numbers)
