@@ -54,3 +54,16 @@ def active_leases(events: DataFrame, key: str, seconds: int) -> DataFrame:
     """events with the number of the key's leases of so many seconds that are live when each starts, its own included."""
     w = Window.partitionBy(key).orderBy(epoch_micros()).rangeBetween(-seconds * 1_000_000 + 1, 0)
     return events.withColumn("active", F.count("*").over(w))
+
+
+def queue_positions(waiting: DataFrame) -> DataFrame:
+    """waiting(ts, event_id) with position, first come first served, from 1.
+
+    Places are counted within an hour; what waited in earlier hours comes from a running sum of
+    the hours' counts, a row an hour, so no task sorts the whole queue.
+    """
+    held = waiting.withColumn("_hour", F.floor(epoch_seconds() / 3600))
+    counts = held.groupBy("_hour").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_hour")) - F.col("_n")).select("_hour", "_before")
+    own = F.row_number().over(Window.partitionBy("_hour").orderBy("ts", "event_id"))
+    return held.join(before, "_hour").withColumn("position", F.col("_before") + own).drop("_hour", "_before")

@@ -55,16 +55,15 @@ def q_loop_detection(spark: SparkSession, d: str) -> DataFrame:
     return E.runs(table(spark, d, "events"), "user_id", "event_type").filter("length > 3")
 
 
-@query("SELECT event_id, user_id % 10 AS bucket, count(*) OVER (PARTITION BY user_id % 10 ORDER BY epoch_us(ts) RANGE BETWEEN 2699999999 PRECEDING AND CURRENT ROW) AS active FROM events")
+@query("SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 2699999999 PRECEDING AND CURRENT ROW) AS active FROM events")
 def q_lease_overlap(spark: SparkSession, d: str) -> DataFrame:
-    leases = table(spark, d, "events").withColumn("bucket", F.col("user_id") % 10)
-    return E.active_leases(leases, "bucket", 2700).select("event_id", "bucket", "active")
+    return E.active_leases(table(spark, d, "events"), "user_id", 2700).select("event_id", "user_id", "active")
 
 
-@query("SELECT event_id, user_id % 100 AS bucket, row_number() OVER (PARTITION BY user_id % 100 ORDER BY ts, event_id) AS position FROM events WHERE event_type = 'view'")
+@query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS position, CAST(ceil(row_number() OVER (ORDER BY ts, event_id) / 10) * 45 AS BIGINT) AS wait FROM events WHERE event_type = 'view'")
 def q_queue_position(spark: SparkSession, d: str) -> DataFrame:
-    waiting = table(spark, d, "events").filter("event_type = 'view'").withColumn("bucket", F.col("user_id") % 100)
-    return waiting.select("event_id", "bucket", F.row_number().over(Window.partitionBy("bucket").orderBy("ts", "event_id")).alias("position"))
+    told = E.queue_positions(table(spark, d, "events").filter("event_type = 'view'"))
+    return told.select("event_id", "position", (F.ceil(F.col("position") / 10) * 45).cast("bigint").alias("wait"))
 
 
 @query("SELECT user_id, round(sum(greatest(0, least(value, 50) - 10)), 4) AS used FROM events GROUP BY 1")
@@ -74,12 +73,11 @@ def q_usage_sum(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT days, count(*) FILTER (ts < last - to_days(CAST(days AS INTEGER))) AS expired, count(*) AS total FROM events, (SELECT max(ts) AS last FROM events), (SELECT unnest([7, 14, 21, 28]) AS days) GROUP BY days")
 def q_retention_counts(spark: SparkSession, d: str) -> DataFrame:
-    per_day = table(spark, d, "events").groupBy("ts").agg(F.count("*").alias("n"))
-    last = per_day.agg(F.max("ts").alias("last"))
-    limits = F.explode(F.array(*(F.lit(x) for x in (7, 14, 21, 28)))).alias("days")
-    aged = per_day.crossJoin(F.broadcast(last)).select("ts", "n", "last", limits)  # last is one row
-    old = F.col("ts") < F.col("last") - F.make_dt_interval(F.col("days"))
-    return aged.groupBy("days").agg(F.sum(F.when(old, F.col("n")).otherwise(0)).alias("expired"), F.sum("n").alias("total"))
+    ev = table(spark, d, "events")
+    last = ev.agg(F.max("ts").alias("last"))
+    old = lambda days: F.count_if(F.col("ts") < F.col("last") - F.make_dt_interval(F.lit(days)))
+    counts = ev.crossJoin(F.broadcast(last)).agg(*(old(x).alias(f"d{x}") for x in (7, 14, 21, 28)), F.count("*").alias("total"))  # last is one row
+    return counts.select(F.inline(F.array(*(F.struct(F.lit(x).alias("days"), F.col(f"d{x}").alias("expired"), F.col("total").alias("total")) for x in (7, 14, 21, 28)))))
 
 
 @query("SELECT user_id, arg_min(event_id, (ts, event_id)) AS event_id, arg_min(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1")
@@ -95,7 +93,7 @@ def q_metadata_allowlist(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.element_at("kept", "k").try_cast("bigint")).alias("k_sum"), F.sum("dropped").cast("bigint").alias("dropped"))
 
 
-@query("SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, greatest(count(*) - 5, 0) AS refused FROM events GROUP BY 1, 2")
+@query("SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, greatest(count(*) - 5, 0) AS refused FROM events WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 6 HOUR GROUP BY 1, 2")
 def q_streaming_rate_limit(spark: SparkSession, d: str) -> DataFrame:
     from gritstone.streaming.limits import daily_counts
 

@@ -37,12 +37,20 @@ def q_geocode_gate(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", status.alias("status"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT c_nationkey AS src, CAST(arg_max(c_custkey, (c_acctbal, c_custkey)) % 25 AS BIGINT) AS dst FROM customer GROUP BY 1),
- c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON e.src = c.dst), loops AS (SELECT src AS id FROM c WHERE src = dst)
- SELECT CAST(src AS BIGINT) AS src, dst FROM e WHERE (src IN (SELECT id FROM loops) OR src IN (SELECT dst FROM c WHERE src IN (SELECT id FROM loops))) AND (dst IN (SELECT id FROM loops) OR dst IN (SELECT src FROM c WHERE dst IN (SELECT id FROM loops)))""")
+_PEEL = "SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_returnflag = 'R' UNION SELECT 'p' || l_partkey, 'o' || l_orderkey FROM lineitem WHERE l_returnflag = 'R' UNION SELECT 'o' || l_orderkey, 's' || l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity = 1"
+
+
+@query(f"""WITH RECURSIVE e AS MATERIALIZED ({_PEEL}), sup AS (SELECT DISTINCT a.src AS s, c.dst AS t FROM e a JOIN e b ON b.src = a.dst JOIN e c ON c.src = b.dst WHERE a.src LIKE 's%'),
+ far AS (SELECT s, t FROM sup UNION SELECT f.s, h.t FROM far f JOIN sup h ON h.s = f.t), ring AS (SELECT DISTINCT s FROM far WHERE s = t),
+ fore AS (SELECT s FROM ring UNION SELECT t FROM far WHERE s IN (SELECT s FROM ring)), aft AS (SELECT s FROM ring UNION SELECT s FROM far WHERE t IN (SELECT s FROM ring)),
+ p1 AS (SELECT DISTINCT dst AS n FROM e WHERE src IN (SELECT s FROM fore)), o1 AS (SELECT DISTINCT dst AS n FROM e WHERE src IN (SELECT n FROM p1)),
+ o2 AS (SELECT DISTINCT src AS n FROM e WHERE dst IN (SELECT s FROM aft)), p2 AS (SELECT DISTINCT src AS n FROM e WHERE dst IN (SELECT n FROM o2)),
+ fed AS (SELECT s AS n FROM fore UNION SELECT n FROM p1 UNION SELECT n FROM o1), led AS (SELECT s AS n FROM aft UNION SELECT n FROM p2 UNION SELECT n FROM o2)
+ SELECT src, dst FROM e WHERE src IN (SELECT n FROM fed) AND dst IN (SELECT n FROM led)""")
 def q_cycle_peel(spark: SparkSession, d: str) -> DataFrame:
-    best = table(spark, d, "customer").groupBy("c_nationkey").agg(F.max(F.struct("c_acctbal", "c_custkey"))["c_custkey"].alias("best"))
-    return graphs.cyclic(best.select(F.col("c_nationkey").cast("bigint").alias("src"), (F.col("best") % 25).alias("dst")))
+    li = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.concat(F.lit("s"), "l_suppkey").alias("s"), F.concat(F.lit("p"), "l_partkey").alias("p"), F.concat(F.lit("o"), "l_orderkey").alias("o"), "l_quantity")
+    edges = li.select(F.col("s").alias("src"), F.col("p").alias("dst")).union(li.select("p", "o")).union(li.filter("l_quantity = 1").select("o", "s"))
+    return graphs.cyclic(edges)
 
 
 _ASKED = [(1, "standard polished brass"), (2, "economy anodised steel please"), (3, "small plated coper boxes"), (4, "promo burnished nickel or tin"), (5, "large brushd items")]
@@ -63,10 +71,10 @@ def q_html_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", T.lines(F.col("html")).alias("l")).select("page_id", F.size("l").alias("n_lines"), F.md5(F.array_join("l", "\n")).alias("digest"))
 
 
-@query(r"SELECT probe, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM (SELECT conv_id, sha256(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')))[1:32] AS probe FROM conversations WHERE role = 'user') GROUP BY 1 HAVING count(*) > 1")
+@query(r"SELECT probe, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM (SELECT conv_id, sha256(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')))[1:32] AS probe FROM conversations WHERE role = 'user') GROUP BY 1")
 def q_input_hash(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "conversations").filter("role = 'user'").select("conv_id", T.input_hash(F.col("text")).alias("probe"))
-    return rows.groupBy("probe").agg(F.count("*").alias("n"), F.count_distinct("conv_id").alias("conversations")).filter("n > 1")
+    return rows.groupBy("probe").agg(F.count("*").alias("n"), F.count_distinct("conv_id").alias("conversations"))
 
 
 @query(r"SELECT host, count(DISTINCT section) AS sections, count(DISTINCT section) <= 5 AS identifying FROM (SELECT regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)), '^www\.', '') AS host, regexp_extract(url, '^[a-zA-Z]+://[^/?#]+/([^/?#]*)', 1) AS section FROM pages) GROUP BY 1")

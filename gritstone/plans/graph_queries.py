@@ -68,12 +68,6 @@ def q_traverse_bfs(spark: SparkSession, d: str) -> DataFrame:
     return graphs.reached(edges, spark.createDataFrame([("s1",)], "id string"), 2)
 
 
-@query("SELECT 'step_' || lower(n_name) || '_' || t AS id, n_nationkey, t AS template FROM nation, (SELECT unnest(['apply', 'visit', 'track']) AS t)")
-def q_template_stamp(spark: SparkSession, d: str) -> DataFrame:
-    nations = table(spark, d, "nation").select("n_nationkey", "n_name", F.explode(F.array(*map(F.lit, ("apply", "visit", "track")))).alias("template"))
-    return nations.select(F.concat_ws("_", F.lit("step"), F.lower("n_name"), "template").alias("id"), "n_nationkey", "template")
-
-
 @query("""SELECT 'DANGLING_CUSTOMER' AS code, count(*) AS n FROM orders ANTI JOIN customer ON o_custkey = c_custkey UNION ALL SELECT 'DANGLING_ORDER', count(*) FROM lineitem ANTI JOIN orders ON l_orderkey = o_orderkey
  UNION ALL SELECT 'DANGLING_PART', count(*) FROM lineitem ANTI JOIN part ON l_partkey = p_partkey UNION ALL SELECT 'DUPLICATE_LINE', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) UNION ALL SELECT 'BAD_DISCOUNT', count(*) FROM lineitem WHERE NOT l_discount BETWEEN 0 AND 0.1""")
 def q_integrity(spark: SparkSession, d: str) -> DataFrame:
@@ -86,9 +80,12 @@ def q_integrity(spark: SparkSession, d: str) -> DataFrame:
     return out.union(told("BAD_DISCOUNT", li.filter("not l_discount between 0 and 0.1")))
 
 
-@query("SELECT c_custkey FROM customer ANTI JOIN orders ON o_custkey = c_custkey")
+@query("SELECT 'customer' AS stored, c_custkey AS id FROM customer ANTI JOIN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P') s ON o_custkey = c_custkey UNION ALL SELECT 'part', p_partkey FROM part ANTI JOIN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50) s ON l_partkey = p_partkey")
 def q_orphans(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+    seed = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT' and o_orderstatus = 'P'")
+    customers = table(spark, d, "customer").join(seed, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.lit("customer").alias("stored"), F.col("c_custkey").alias("id"))
+    kept = table(spark, d, "lineitem").filter("l_quantity = 50")
+    return customers.union(table(spark, d, "part").join(kept, F.col("p_partkey") == F.col("l_partkey"), "left_anti").select(F.lit("part"), "p_partkey"))
 
 
 @query("SELECT r_name, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'P') AS p, count(o_orderkey) AS total FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
@@ -120,16 +117,10 @@ def q_conflict_judge(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT s_nationkey, count(*) AS n, array_to_string(list_sort(list(s_name))[1:6], '|') AS names, count(DISTINCT s_acctbal) > 1 AS differing FROM supplier GROUP BY 1")
 def q_office_consolidation(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("s_nationkey").orderBy("s_name")
-    few = table(spark, d, "supplier").select("s_nationkey", "s_name", "s_acctbal", F.row_number().over(w).alias("k"))
-    names = F.array_join(F.array_sort(F.collect_list(F.when(F.col("k") <= 6, F.col("s_name")))), "|")  # at most six are kept
-    return few.groupBy("s_nationkey").agg(F.count("*").alias("n"), names.alias("names"), (F.count_distinct("s_acctbal") > 1).alias("differing"))
-
-
-@query("SELECT l_partkey, min(o_custkey) AS owner, count(DISTINCT o_custkey) - 1 AS also_for FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1")
-def q_plan_merge(spark: SparkSession, d: str) -> DataFrame:
-    pairs = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).select("l_partkey", "o_custkey").distinct()
-    return pairs.groupBy("l_partkey").agg(F.min("o_custkey").alias("owner"), (F.count("*") - 1).alias("also_for"))
+    rows = table(spark, d, "supplier")
+    few = rows.withColumn("k", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_name"))).filter("k <= 6")  # a limit by group: each task keeps six of a nation
+    names = few.groupBy("s_nationkey").agg(F.array_join(F.array_sort(F.collect_list("s_name")), "|").alias("names"))
+    return rows.groupBy("s_nationkey").agg(F.count("*").alias("n"), (F.min("s_acctbal") < F.max("s_acctbal")).alias("differing")).join(names, "s_nationkey")
 
 
 @query("""SELECT c_custkey, coalesce(a.v, b.v, 'default') AS value, CASE WHEN a.v IS NOT NULL THEN 'segment' WHEN b.v IS NOT NULL THEN 'nation' ELSE 'none' END AS basis FROM customer

@@ -75,11 +75,11 @@ def q_retrieval_eval(spark: SparkSession, d: str) -> DataFrame:
     return best.agg(F.count("*").alias("cases"), F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"), *hits)
 
 
-@query(f"SELECT doc_id, item_id, count(*) AS n_terms FROM (SELECT DISTINCT doc_id, unnest({_TOKENS.format('text')}) AS term FROM documents) JOIN (SELECT DISTINCT item_id, unnest({_TOKENS.format('text')}) AS term FROM benchmark) USING (term) GROUP BY ALL HAVING count(*) >= 15")
+@query(f"SELECT doc_id, item_id, count(*) AS n_terms FROM (SELECT DISTINCT doc_id, unnest({_TOKENS.format('text')}) AS term FROM documents) JOIN (SELECT DISTINCT item_id, unnest({_TOKENS.format('text')}) AS term FROM benchmark) USING (term) GROUP BY ALL")
 def q_term_coverage(spark: SparkSession, d: str) -> DataFrame:
     asked = table(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
     own = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    return own.join(search.light(asked), "term").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_terms")).filter("n_terms >= 15")
+    return own.join(search.light(asked), "term").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_terms"))
 
 
 @query(f"SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source, array_to_string({_TOKENS.format('text')}, ' ') ORDER BY doc_id) AS n FROM documents) WHERE n > 1")

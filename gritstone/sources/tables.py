@@ -33,14 +33,22 @@ def ledger(spark: SparkSession, path: str, schema: str, key: str, order: str) ->
     return latest(rows, [key], [F.desc(order)])
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, kept in the folder that the cluster shares; in local mode without one, in one of our own."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, as spark.checkpoint.dir or the context's checkpoint folder names it; in local mode without either, one of our own."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    held = sc._jsc.sc().getCheckpointDir()
+    if held.isEmpty():
         if not folder and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-shared-"))
+        held = sc._jsc.sc().getCheckpointDir()
+    return (folder or held.get()).rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df without its lineage, kept in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -7,25 +7,26 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gritstone.operators.events import epoch_micros
+from gritstone.sources.tables import shared_folder
 
 
-def daily_counts(spark: SparkSession, sf_dir: str, lateness: str = "40 days") -> DataFrame:
+def daily_counts(spark: SparkSession, sf_dir: str, lateness: str = "6 hours") -> DataFrame:
     """user_id, day, n of the events files, read as a stream to its present end.
 
-    The windows' state is Spark's; what it has at the end goes to a table in the shared folder,
-    as does the stream's checkpoint.
+    A day is told, and its state dropped, once the watermark has passed it; later rows of it are
+    late and count no more. Days that the watermark hasn't passed at the end aren't told. The
+    table of days lies in the shared folder, as does the stream's checkpoint, so a stream that is
+    started again goes on where it was.
     """
     path = f"{sf_dir}/events.parquet"
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="spark-stream-")
-    own = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    own = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     parent, name = path.rsplit("/", 1)
-    events = spark.readStream.schema(spark.read.parquet(path).schema).option("recursiveFileLookup", "true").parquet(f"{parent}/{name}*")
+    still = spark.read.parquet(path)
+    alone = all(f.rsplit("/", 1)[-1] == name for f in still.inputFiles())  # one file of that name, not a folder of files
+    reader = spark.readStream.schema(still.schema)
+    events = reader.option("pathGlobFilter", name).parquet(parent) if alone else reader.parquet(path)
     counts = events.withColumn("at", F.timestamp_micros(epoch_micros("ts"))).withWatermark("at", lateness).groupBy("user_id", F.window("at", "1 day")).agg(F.count("*").alias("n"))
     told = counts.select("user_id", F.date_from_unix_date((F.unix_seconds("window.start") / 86_400).cast("int")).alias("day"), "n")
-    run = told.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{own}/state").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{own}/out")).start()
+    run = told.writeStream.outputMode("append").format("parquet").trigger(availableNow=True).option("checkpointLocation", f"{own}/state").start(f"{own}/out")
     run.awaitTermination()
-    return spark.read.parquet(f"{own}/out")
+    return spark.read.schema(told.schema).parquet(f"{own}/out")
