@@ -19,7 +19,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .store import BROADCAST_ROWS, rows_of, saved
+from .store import light, rows_of, saved
 
 SIZE = 5
 BLOCKS, BLOCK_BITS = 8, 16
@@ -96,7 +96,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.75) -> DataFra
     A window has as many words as the item, or all words of a shorter document. For each document
     and item the most similar window is returned, the first of equals; start counts words from 0.
     Null and empty texts, on either side, and rows with a null doc_id or item_id match nothing.
-    Repeated rows count once. Other columns are ignored; empty tables give an empty table.
+    Repeated rows count once. A text of any length is read whole. Other columns are ignored; empty
+    tables give an empty table. doc_id and item_id may be of any type that can be joined on.
     """
     items = (
         benchmark.select(F.col("item_id").alias("item_id"), _words("text").alias("item_words")).dropna().filter(F.size("item_words") > 0)
@@ -113,8 +114,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.75) -> DataFra
     told = saved(told, "items")
     held = saved(told.select(F.explode("hashes").alias("hash"), F.col("length").alias("item_length"), "size").distinct(), "item_shingles")
     known = held.select("hash").distinct()
-    small = held.count() <= BROADCAST_ROWS
-    light = F.broadcast if small else (lambda x: x)
 
     texts = docs.select("doc_id", "text").filter("doc_id is not null and text is not null").withColumn("text_key", F.xxhash64("text"))
     worded = texts.select("doc_id", "text_key", _words("text").alias("words"))

@@ -40,7 +40,7 @@ LONGS = -(-MINIMA // 64)
 LEAST_ESTIMATE = 0.67
 #: Sets whose minima are worked out together, so that a task holds little.
 TOGETHER = 256
-_SCHEMA = "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, signature array<bigint>"
+_SCHEMA = "doc_id bigint, text_key string, n_shingles bigint, set_key binary, bands array<bigint>, signature array<bigint>"
 
 
 def _factors() -> np.ndarray:
@@ -92,8 +92,8 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 full = count > 0
                 bands, packed = signatures(part, np.append(own[:-1][full], own[-1])) if full.any() else (np.zeros(0, np.int64), np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo + k, len(count)), pa.array(count), _set_keys(part, own), _lists(bands, BANDS, full), _lists(packed, BITS * LONGS, full)],
-                    ["doc_id", "n_shingles", "set_key", "bands", "signature"],
+                    [*(batch.column(c).slice(lo + k, len(count)) for c in ("doc_id", "text_key")), pa.array(count), _set_keys(part, own), _lists(bands, BANDS, full), _lists(packed, BITS * LONGS, full)],
+                    ["doc_id", "text_key", "n_shingles", "set_key", "bands", "signature"],
                 )
 
 
@@ -117,8 +117,8 @@ def _shared(a: str, b: str) -> Column:
     return F.size(F.array_intersect(a, b))
 
 
-def near_duplicates(docs: DataFrame, least: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text).
+def near_duplicates(docs: DataFrame, least: int = 75, keyed: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept and, if keyed, text_key (MD5 of the text) and set_key (of its shingles) for each row of docs(doc_id, text).
 
     Null and empty texts have no shingles and stay alone. A null doc_id stays alone too, with a
     null component_id, and is kept. Repeated rows of a doc_id each get a row; with different
@@ -127,7 +127,7 @@ def near_duplicates(docs: DataFrame, least: int = 75) -> DataFrame:
     are compared by 64-bit hashes. `least` below 75 would need a lower LEAST_ESTIMATE and more bands.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    told = saved(texts.mapInArrow(_describe, _SCHEMA), "shingled")
+    told = saved(texts.withColumn("text_key", F.md5("text") if keyed else F.lit(None).cast("string")).mapInArrow(_describe, _SCHEMA), "shingled")
     named = told.filter("doc_id is not null and n_shingles > 0")
     first = lambda c: F.first(c).alias(c)  # noqa: E731  equal sets have equal bands and signatures
     reps = saved(named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), first("bands"), first("signature")), "classes")
@@ -192,8 +192,9 @@ def near_duplicates(docs: DataFrame, least: int = 75) -> DataFrame:
     grouped = groups.toDF("set_key", "component")
     least_of = saved(grouped.join(reps.select("set_key", "rep"), "set_key").groupBy("component").agg(F.min("rep").alias("component_id")), "least")
     by_set = reps.select("set_key", "rep").join(light(saved(grouped.join(light(least_of), "component").select("set_key", "component_id"), "groups")), "set_key", "left").select("set_key", F.coalesce("component_id", "rep").alias("component_id"))
-    out = told.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(by_set, "set_key", "left")
+    out = told.select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(by_set, "set_key", "left")
     return out.select(
+        *(["text_key", "set_key"] if keyed else []),
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"),
     )

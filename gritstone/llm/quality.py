@@ -174,12 +174,11 @@ def _score(weights: np.ndarray):  # noqa: ANN202
     return score
 
 
-def scored(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """docs(doc_id, text) with votes (a sign for each labeller) and score, the probability of good quality.
+def fitted(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, dict[str, float]]:
+    """The scorer's weights, and the posterior of each vote pattern, of docs(doc_id, text).
 
-    Null and empty texts score 0. Repeated rows and rows with a null doc_id are scored like
-    others; equal texts score alike; an empty table gives an empty table. Only doc_id and text
-    come back.
+    Patterns are counted over all rows. The scorer is trained on at most train_rows of them, whose
+    shapes, not texts, come to the driver.
     """
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     counts = {r.votes: r.n for r in texts.select("text").mapInArrow(_vote, "votes string").groupBy("votes").agg(F.count("*").alias("n")).collect()}
@@ -188,12 +187,33 @@ def scored(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     told_rows = keyed.join(F.broadcast(few), ["h", "t"]).mapInArrow(_features, "h bigint, t bigint, votes string, slots array<int>, values array<double>")
     sample = told_rows.dropDuplicates(["h", "t"]).orderBy("h", "t").collect() if counts else []  # at most train_rows short rows
     told = fit_labellers(counts) if counts else {}
-    weights = train([dict(zip(r.slots, r["values"], strict=True)) for r in sample], np.array([told.get(r.votes, 0.5) for r in sample]))
+    return train([dict(zip(r.slots, r["values"], strict=True)) for r in sample], np.array([told.get(r.votes, 0.5) for r in sample])), told
+
+
+def scored(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """docs(doc_id, text) with votes (a sign for each labeller), score, the probability of good quality, and posterior.
+
+    Null and empty texts score 0. Repeated rows and rows with a null doc_id are scored like
+    others; equal texts score alike, and a text of any length is read whole; an empty table gives
+    an empty table. Only doc_id and text come back.
+    """
+    weights, told = fitted(docs, train_rows)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    out = texts.mapInArrow(_score(weights), texts.schema.simpleString()[7:-1] + ",votes:string,score:double")
     posterior = F.create_map(*(F.lit(x) for p in told.items() for x in p)) if told else None
-    out = texts.mapInArrow(_score(weights), docs.select("doc_id", F.col("text").cast("string").alias("text")).schema.simpleString()[7:-1] + ",votes:string,score:double")
     return out.withColumn("posterior", F.element_at(posterior, F.col("votes")) if told else F.lit(None).cast("double"))
 
 
+def kept(docs: DataFrame, least: float = 0.5, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of docs whose own text scores at least `least`, with all their columns as they are."""
+    weights, _ = fitted(docs, train_rows)
+    names = [f"own_{k}" for k in range(len(docs.columns))]  # names of no one else
+    rows = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index("text")]).cast("string"))
+    types = ",".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))
+    out = rows.mapInArrow(_score(weights), f"{types}, text string, votes string, score double").filter(F.col("score") >= least)
+    return out.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
+
+
 def op8_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = scored(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return told.select("doc_id", "score", "votes", F.round("posterior", 6).alias("posterior"), (F.col("score") >= 0.5).alias("kept"))

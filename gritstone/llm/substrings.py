@@ -10,12 +10,13 @@ for each symbol the stretch of words that it depends on.
 Each window of `span` words takes as its anchor the least-named group of four neighbouring symbols
 of the highest level that has one depending on nothing outside the window. This is a function of the window's words
 alone, so equal windows have equal anchors: only windows whose anchor occurs in two documents
-need to be compared, and none is missed. Those are compared by hashes of all their words.
+need to be compared, and none is missed. Those are compared by 128-bit hashes of all their words.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,12 +114,15 @@ def anchors(h: np.ndarray, rows: np.ndarray, span: int) -> tuple[np.ndarray, np.
     return start, chosen
 
 
-def window_hashes(h: np.ndarray, start: np.ndarray, span: int) -> np.ndarray:
-    """A hash of all words of each window."""
+def window_hashes(h: np.ndarray, start: np.ndarray, span: int) -> list[np.ndarray]:
+    """Two hashes of all words of each window, from words scrambled in two ways: 128 bits together."""
     up, down = W._power(len(h) + 1)
-    total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * up[: len(h)], out=total[1:])
-    return W.mix((total[start + span] - total[start]) * down[start])
+    out = []
+    for own in (h, W.mix(h + _PAIR)):
+        total = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(own * up[: len(h)], out=total[1:])
+        out.append(W.mix((total[start + span] - total[start]) * down[start]))
+    return out
 
 
 def _hex(h: np.ndarray) -> str:
@@ -155,9 +159,9 @@ def _compare(span: int):  # noqa: ANN202
                     pick[a:b] = np.isin(chosen[a:b].view(np.int64), wanted[i].values.to_numpy(zero_copy_only=False))
                 of = np.concatenate([[0], np.cumsum(pick)])[own].astype(np.int32)
                 at = start[pick] - np.repeat(rows[:-1], np.diff(of))
-                lists = [pa.ListArray.from_arrays(pa.array(of), x) for x in (pa.array(at.astype(np.int32)), pa.array(window_hashes(h, start[pick], span).view(np.int64)))]
+                lists = [pa.ListArray.from_arrays(pa.array(of), x) for x in (pa.array(at.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in window_hashes(h, start[pick], span)))]
                 keys = pa.array([_hex(h[a:b]) for a, b in zip(rows[:-1], rows[1:], strict=True)])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n), keys, *lists], ["doc_id", "text_key", "at", "window"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n), keys, *lists], ["doc_id", "text_key", "at", "window", "more"])
 
     return compare
 
@@ -192,13 +196,13 @@ def repeats(docs: DataFrame, span: int = 50) -> tuple[DataFrame, DataFrame]:
     owners = saved(long.groupBy("text_key").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")), "owners")
     own = long.join(owners, (long.text_key == owners.text_key) & (long.doc_id == owners.owner), "left_semi").dropDuplicates(["doc_id", "text_key"])
     named = own.select("doc_id", F.explode("anchors").alias("anchor"))
-    both = named.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("anchor")
+    both = saved(named.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("anchor"), "anchors")  # a table of its own, so that a hot anchor's rows can be split
     shared = saved(named.join(both, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared")), "shared")
     near = rows_of(texts, shared.select("doc_id"), "doc_id").join(shared, "doc_id")
-    compared = saved(near.mapInArrow(_compare(span), "doc_id bigint, text_key string, at array<int>, window array<bigint>"), "windows")
-    windows = compared.select("doc_id", "text_key", F.inline(F.arrays_zip("at", "window")))
-    earliest = windows.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("window", "low")
-    starts = saved(windows.join(earliest, "window").filter("low < doc_id").groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("starts")), "starts")
+    compared = saved(near.mapInArrow(_compare(span), "doc_id bigint, text_key string, at array<int>, window array<bigint>, more array<bigint>"), "windows")
+    windows = compared.select("doc_id", "text_key", F.inline(F.arrays_zip("at", "window", "more")))
+    earliest = saved(windows.groupBy("window", "more").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("window", "more", "low"), "earliest")
+    starts = saved(windows.join(earliest, ["window", "more"]).filter("low < doc_id").groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("starts")), "starts")
     cut = (
         rows_of(texts, starts.select("doc_id"), "doc_id").join(starts, "doc_id")
         .withColumn("own_key", _text_key("text")).filter("own_key = text_key").dropDuplicates(["doc_id", "text_key"])
@@ -228,7 +232,8 @@ def repeat_report(docs: DataFrame, span: int = 50) -> DataFrame:
     A word goes if a window of `span` words that covers it also starts in a document with a
     smaller doc_id. Null and empty texts have no words. Rows with a null doc_id lose nothing and
     take nothing from others. Repeated rows of a doc_id are judged alike; a doc_id isn't smaller
-    than itself, so they take nothing from each other. Other columns are ignored.
+    than itself, so they take nothing from each other. A text of any length is read whole. Other
+    columns are ignored; an empty table gives an empty table.
     """
     told, cuts = repeats(docs, span)
     marked = told.join(cuts.drop("kept_text").withColumnRenamed("kept_sha256", "cut_sha256"), "text_key", "left")
@@ -244,9 +249,10 @@ def repeat_report(docs: DataFrame, span: int = 50) -> DataFrame:
 def without_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
     """docs with the repeated words cut out of text, and n_chars, if there is such a column, counted anew. Texts that lose nothing stay as they are; of others the kept words are joined by one space."""
     _, cuts = repeats(docs, span)
-    keyed = docs.withColumn("_key", _text_key("text"))
-    marked = keyed.join(cuts.select(F.col("text_key").alias("_key"), F.col("owner").alias("_owner"), F.col("kept_text").alias("_kept")), "_key", "left")
-    text = F.when(F.col("doc_id") > F.col("_owner"), F.lit("")).when(F.col("doc_id").isNotNull(), F.coalesce("_kept", "text")).otherwise(F.col("text"))
+    key, owner, left = (f"{c}_{uuid.uuid4().hex}" for c in ("key", "owner", "kept"))
+    keyed = docs.withColumn(key, _text_key("text"))
+    marked = keyed.join(cuts.select(F.col("text_key").alias(key), F.col("owner").alias(owner), F.col("kept_text").alias(left)), key, "left")
+    text = F.when(F.col("doc_id") > F.col(owner), F.lit("")).when(F.col("doc_id").isNotNull(), F.coalesce(left, "text")).otherwise(F.col("text"))
     out = marked.withColumn("text", text).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 

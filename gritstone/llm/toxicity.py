@@ -178,7 +178,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
 
     Learned from at most train_rows rows of labels(doc_id, toxic) with crc32(doc_id) mod 5 not 0
     and a label of 0 or 1. Null and empty texts match no clause and get the score of such texts;
-    rows with a null doc_id are scored and not held out; repeated rows get a row each. Without
+    rows with a null doc_id are scored and not held out; repeated rows get a row each; a text of any
+    length is read whole; an empty table gives an empty table. Without
     usable labels every score is under a half. Other columns are never read.
     """
     usable = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").filter(~held_out())

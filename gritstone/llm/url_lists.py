@@ -9,17 +9,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def host_of(url: Column) -> Column:
-    """Lower-case host without port, user or trailing dots; null for anything that has none."""
-    host = F.lower(F.regexp_extract(url, r"^\s*(?i:[a-z][a-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:@]+)", 1))
+    """Lower-case host without port, user or trailing dots, an IPv6 address in its brackets; null for anything that has none."""
+    host = F.lower(F.regexp_extract(url, r"^\s*(?i:[a-z][a-z0-9+.\-]*:)?//(?:[^/?#@]*@)?(\[[0-9a-fA-F:.]+\]|[^/?#:@\[\]]+)", 1))
     return F.nullif(F.rtrim(host, F.lit(".")), F.lit(""))
 
 
 def suffixes(host: Column) -> Column:
-    """A host and all its parent domains of two labels or more, longest first; a host of one label is its own."""
+    """A host and all its parent domains of two labels or more, longest first; a host of one label, or an address, is its own."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
     cut = F.transform(F.sequence(n, F.least(n, F.lit(2)), F.lit(-1)), lambda k: F.array_join(F.slice(labels, n - k + 1, k), "."))
-    return F.when(host.isNotNull(), cut)
+    return F.when(host.rlike(r"^(\[.*\]|[0-9.]+)$"), F.array(host)).when(host.isNotNull(), cut)
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -41,8 +41,10 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """capture_id, url, host, fetched_at, blocked, matches (sorted array of domain and category) for each row of
     captures(capture_id, url, fetched_at), against the entries active at fetched_at.
 
-    An entry for a domain covers its subdomains. Captures without a host or time are never
-    blocked and have no matches. Repeated captures get a row each; other columns are ignored.
+    An entry for a domain of two labels or more covers its subdomains; one of a single label covers
+    that host alone. Captures without a host or time are never
+    blocked and have no matches. Repeated captures get a row each; other columns are ignored; without
+    captures there are no rows, without entries nothing is blocked. Urls of any length are read whole.
     Verdicts are worked out once for each host and time, however many captures share them.
     """
     seen = captures.select("capture_id", "url", host_of(F.col("url")).alias("host"), "fetched_at")
@@ -89,13 +91,13 @@ def op10_temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = """
 WITH seen AS (
-  SELECT page_id, url, nullif(rtrim(lower(regexp_extract(url, '^\\s*(?i:[a-z][a-z0-9+.\\-]*:)?//(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '.'), '') AS host,
+  SELECT page_id, url, nullif(rtrim(lower(regexp_extract(url, '^\\s*(?i:[a-z][a-z0-9+.\\-]*:)?//(?:[^/?#@]*@)?(\\[[0-9a-fA-F:.]+\\]|[^/?#:@\\[\\]]+)', 1)), '.'), '') AS host,
          DATE '2024-01-01' + CAST(((page_id * 7919) % 366 + 366) % 366 AS INTEGER) AS fetched_at
   FROM pages),
 hosts AS (SELECT DISTINCT host, string_split(host, '.') AS labels FROM seen WHERE host IS NOT NULL),
 suffix AS (
   SELECT DISTINCT host, array_to_string(labels[len(labels) - k + 1:], '.') AS domain
-  FROM hosts, unnest(generate_series(least(len(labels), 2), least(len(labels), 6))) AS g(k)
+  FROM hosts, unnest(generate_series(least(len(labels), 2), len(labels))) AS g(k) WHERE NOT regexp_matches(host, '^(\\[.*\\]|[0-9.]+)$')
   UNION SELECT host, host FROM hosts),
 part AS (
   SELECT domain, [CAST('0x' || substr(md5(domain), 1 + 4 * k, 4) AS INTEGER) FOR k IN range(6)] AS p
