@@ -47,7 +47,7 @@ def feature(image: np.ndarray) -> str:
 
 
 class _Sequence(HTMLParser):
-    """Text between block borders and media in page order; a figcaption belongs to the figure's media."""
+    """Text between block borders and media in page order; a figcaption belongs to the first media of its own figure, wherever in it they stand."""
 
     BLOCKS = frozenset("p div article section figure figcaption h1 h2 h3 h4 h5 h6 ul ol li table tr td blockquote pre body".split())
 
@@ -56,16 +56,16 @@ class _Sequence(HTMLParser):
         self.items: list[dict] = []
         self.held: list[str] = []
         self.caption = self.hidden = 0
+        self.figures: list[dict] = []  # open figures: place of the first media, caption
 
     def flush(self) -> None:
         text = " ".join("".join(self.held).split())
         self.held = []
         if not text:
             return
-        if self.caption:
-            last = next((x for x in reversed(self.items) if x["kind"] == "media"), None)
-            if last is not None:
-                last["caption"] = text
+        if self.caption and self.figures:
+            own = self.figures[-1]
+            own["caption"] = " ".join(filter(None, (own["caption"], text)))
             return
         self.items.append({"pos": len(self.items), "kind": "text", "text": text, "digest": None, "caption": None})
 
@@ -74,12 +74,16 @@ class _Sequence(HTMLParser):
             self.flush()
         if tag in ("script", "style"):
             self.hidden = 1
+        if tag == "figure":
+            self.figures.append({"media": None, "caption": None})
         if tag == "figcaption":
             self.caption = 1
         if tag in ("img", "audio", "video", "source"):
             self.flush()
             a = dict(attrs)
             src = a.get("src") or ""
+            if self.figures and self.figures[-1]["media"] is None:
+                self.figures[-1]["media"] = len(self.items)
             self.items.append({"pos": len(self.items), "kind": "media", "text": None, "digest": src.removeprefix("sha256:") if src.startswith("sha256:") else None, "caption": a.get("alt") or None})
 
     def handle_endtag(self, tag: str) -> None:
@@ -89,6 +93,16 @@ class _Sequence(HTMLParser):
             self.hidden = 0
         if tag == "figcaption":
             self.caption = 0
+        if tag == "figure" and self.figures:
+            self.end_figure()
+
+    def end_figure(self) -> None:
+        """Give the figure's caption to its media; a caption without media is text of the page."""
+        own = self.figures.pop()
+        if own["caption"] and own["media"] is not None:
+            self.items[own["media"]]["caption"] = own["caption"]
+        elif own["caption"]:
+            self.items.append({"pos": len(self.items), "kind": "text", "text": own["caption"], "digest": None, "caption": None})
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
@@ -100,6 +114,8 @@ def sequence_of(page: str | None) -> list[dict]:
     p.feed(page or "")
     p.close()
     p.flush()
+    while p.figures:
+        p.end_figure()
     return p.items
 
 
@@ -129,16 +145,20 @@ def resolve(told: DataFrame, media: DataFrame) -> DataFrame:
 
 def _page(text: str, digest: str) -> str:
     lines = [x for x in text.split("\n") if x.strip()]
-    figure = f'<figure><img src="sha256:{digest}" alt=""><figcaption>{html.escape(lines[0][:80].strip() if lines else "empty")}</figcaption></figure>'
+    figure = f'<figure><img src="sha256:{digest}" alt=""><figcaption>{html.escape(lines[0].strip() if lines else "empty")}</figcaption></figure>'
     paragraphs = [f"<p>{html.escape(x)}</p>" for x in lines]
     return "<article>" + "".join(paragraphs[:1]) + figure + "".join(paragraphs[1:]) + "</article>"
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Images of the texts, each but once in a task as far as it remembers."""
+    seen: set[str] = set()
     for batch in batches:
         for lo in range(0, batch.num_rows, 500):
-            images = [to_image((t.as_py() or "").encode()) for t in batch.column("text").slice(lo, 500)]
-            digests = [hashlib.sha256(x).hexdigest() for x in images]
+            made = {hashlib.sha256(x).hexdigest(): x for x in (to_image((t.as_py() or "").encode()) for t in batch.column("text").slice(lo, 500))}
+            digests = [x for x in made if x not in seen]
+            images = [made[x] for x in digests]
+            seen = (seen if len(seen) < 500_000 else set()) | set(digests)
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(images, pa.binary())], ["digest", "media"])
 
 
@@ -164,18 +184,18 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def stored_media(docs: DataFrame) -> DataFrame:
-    """digest, media of each text of docs(text), written to the shared folder; null texts are empty."""
+    """digest, media of each text of docs(text), written to the shared folder; null texts are empty, a text of any length is one image. Equal texts of a task are stored once; an empty table stores nothing."""
     return saved(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_store, "digest string, media binary"), "media")
 
 
 def described(media: DataFrame) -> DataFrame:
     """One row of lengths, checksums and features for each distinct digest, from the stored bytes as read back."""
     told = media.mapInArrow(_read, "digest string, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
-    return told.groupBy("digest").agg(*(F.min(c).alias(c) for c in told.columns[1:]))  # equal digests have equal rows
+    return saved(told.groupBy("digest").agg(*(F.min(c).alias(c) for c in told.columns[1:])), "described")  # equal digests have equal rows; a table, so that a hot digest's rows can be split in joins
 
 
 def op3_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pages = docs.mapInArrow(_compose, "id bigint, html string")
     out = resolve(sequences(pages), described(stored_media(docs)))
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption", "n_items")
