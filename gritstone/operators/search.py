@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gritstone.functions.text import norm, tokens
+from gritstone.sources.tables import cut
 
 K1, B = 1.2, 0.75
 #: Rows of a query-side table that may be broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 200_000
+#: Terms or keys of a query side that may become literals of a plan.
+LITERALS = 20_000
 
 
 def light(df: DataFrame) -> DataFrame:
@@ -23,23 +26,33 @@ def postings(docs: DataFrame) -> DataFrame:
     return exploded.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
+def few(df: DataFrame, column: str) -> list | None:
+    """The distinct values of a column if they are at most LITERALS, to become part of a plan; else null."""
+    told = [r[0] for r in df.select(column).distinct().limit(LITERALS + 1).collect()]
+    return told if len(told) <= LITERALS else None
+
+
 def bm25(docs: DataFrame, queries: DataFrame, keep: Column | None = None) -> DataFrame:
     """item_id, doc_id, score of every document that has a term of the query.
 
     Terms of a query count once. `keep` drops documents before scoring, while document
-    frequencies, lengths and counts stay those of all documents.
+    frequencies, lengths and counts stay those of all documents. Documents are read once: each
+    leaves its length and the counts of the terms that are asked for.
     """
     asked = queries.select("item_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    terms = light(asked.select("term").distinct())
-    sized = docs.select("doc_id", *([keep.alias("keep")] if keep is not None else []), tokens(F.col("text")).alias("words"))
-    total = sized.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avg_length"))
-    rows = sized.select("doc_id", *(["keep"] if keep is not None else []), F.size("words").alias("length"), F.explode("words").alias("term")).join(terms, "term")
-    found = rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"), *([F.first("keep").alias("keep")] if keep is not None else []))
+    terms = few(asked, "term")
+    words = tokens(F.col("text"))
+    own = F.filter(words, lambda w: w.isin(terms)) if terms is not None else words
+    sized = cut(docs.select("doc_id", (F.lit(True) if keep is None else keep).alias("keep"), F.size(words).alias("length"), own.alias("words")))
+    total = sized.agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
+    rows = sized.select("doc_id", "keep", "length", F.explode("words").alias("term"))
+    rows = rows if terms is not None else rows.join(asked.select("term").distinct(), "term", "left_semi")
+    found = rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"), F.first("keep").alias("keep"))
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    weighed = found.join(light(df), "term").crossJoin(F.broadcast(total))  # total is one row
-    weighed = weighed.filter("keep") if keep is not None else weighed
+    own = (lambda x: F.broadcast(x)) if terms is not None else (lambda x: x)  # at most LITERALS terms
+    weighed = found.filter("keep").join(own(df), "term").crossJoin(F.broadcast(total))  # total is one row
     return weighed.withColumn("part", part).join(light(asked), "term").groupBy("item_id", "doc_id").agg(F.sum("part").alias("score"))
 
 
@@ -71,17 +84,26 @@ def matched(names: DataFrame, asked: DataFrame, k: int = 5) -> DataFrame:
 def contained(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """doc_id, item_id where the normalised text holds the normalised passage of 12 characters or more.
 
-    Words inside a passage are whole words of the text too, so three of them make a key to join
-    on; passages of under five words have none and are held against each text, if they are few.
+    Words inside a passage are whole words of the text too, so three of them make a key: a text
+    is held against the passages whose keys it has. Up to LITERALS keys are looked for while the
+    texts are read; more are joined. Passages of under five words have no key and are held against
+    each text, if there are any.
     """
     texts = docs.select("doc_id", norm(F.col("text")).alias("body"))
-    asked = passages.select("item_id", norm(F.col("text")).alias("passage")).filter("length(passage) >= 12")
+    asked = cut(passages.select("item_id", norm(F.col("text")).alias("passage")).filter("length(passage) >= 12"))
     parts = F.split("passage", " ")
-    keyed = asked.withColumn("key", F.when(F.size(parts) >= 5, F.array_join(F.slice(parts, 2, 3), " ")))
-    words = F.split("body", " ")
-    grams = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
-    spread = texts.select("doc_id", "body", words.alias("w")).filter("size(w) >= 5").select("doc_id", F.explode(F.array_distinct(grams)).alias("key"))
-    near = spread.join(light(keyed.filter("key is not null")), "key").select("doc_id", "item_id", "passage")
-    long = near.join(texts, "doc_id").filter(F.contains("body", "passage")).select("doc_id", "item_id")
-    short = texts.join(light(keyed.filter("key is null").select("item_id", "passage")), F.contains("body", "passage")).select("doc_id", "item_id")
-    return long.union(short)
+    keyed = asked.withColumn("key", F.when(F.size(parts) >= 5, F.xxhash64(*(F.get(parts, F.lit(k)) for k in (1, 2, 3)))))
+    long, short = keyed.filter("key is not null"), keyed.filter("key is null").select("item_id", "passage")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
+    worded = texts.withColumn("w", F.split("body", " "))
+    keys = few(long, "key")
+    if keys is not None:
+        hits = worded.select("doc_id", "body", F.explode(F.array_intersect(grams, F.lit(keys).cast("array<bigint>") if keys else F.array().cast("array<bigint>"))).alias("key"))
+        found = hits.join(F.broadcast(long), "key").filter(F.contains("body", "passage")).select("doc_id", "item_id")
+    else:
+        spread = worded.filter("size(w) >= 5").select("doc_id", F.explode(F.array_distinct(grams)).alias("key"))
+        near = spread.join(long, "key").select("doc_id", "item_id", "passage")
+        found = near.join(texts, "doc_id").filter(F.contains("body", "passage")).select("doc_id", "item_id")
+    if short.isEmpty():
+        return found.distinct()
+    return found.union(texts.join(light(short), F.contains("body", "passage")).select("doc_id", "item_id")).distinct()
