@@ -9,7 +9,7 @@ map, held as an array of small maps by hash so that a look-up touches one of the
 up the piece of each id in a literal array and concatenates the pieces.
 
 Blocks are kept as a table bucketed by block, so only words and answers are shuffled, never the
-documents. Word hashes are even, blocks are bounded: no key is hot.
+documents; of decoded words, only those that differ from the word asked for travel. Word hashes are even, blocks are bounded: no key is hot.
 """
 
 from __future__ import annotations
@@ -17,8 +17,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -146,56 +148,98 @@ def stretches(text: str, loose: Callable | None = None) -> list[str]:
     return out
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers in one byte below 192, two below 12,480, three below 1,061,056 (all in four if any is beyond), first, second and third bytes apart, compressed."""
+    if len(numbers) and numbers.max() >= 12_480 + (16 << 16):
+        return b"4" + zlib.compress(numbers.astype("<u4").tobytes(), 1)
+    x = numbers.astype(np.int64)
+    more = x >= 192
+    y = x[more] - 192
+    three = y >= 48 << 8
+    z = y[three] - (48 << 8)
+    first, second = x.astype(np.uint8), (y & 255).astype(np.uint8)
+    lead = 192 + (y >> 8)
+    lead[three], second[three] = 240 + (z >> 16), z >> 8 & 255
+    first[more] = lead
+    return b"1" + struct.pack("<II", len(x), len(y)) + zlib.compress(first.tobytes() + second.tobytes() + (z & 255).astype(np.uint8).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    if data[:1] == b"4":
+        return np.frombuffer(zlib.decompress(data[1:]), "<u4").astype(np.int64)
+    n, m = struct.unpack_from("<II", data, 1)
+    raw = np.frombuffer(zlib.decompress(data[9:]), np.uint8)
+    x = raw[:n].astype(np.int64)
+    more = x >= 192
+    lead, second = x[more] - 192, raw[n : n + m].astype(np.int64)
+    y = lead << 8 | second
+    three = lead >= 48
+    y[three] = (48 << 8) + ((lead[three] - 48) << 16 | second[three] << 8 | raw[n + m :])
+    x[more] = y + 192
+    return x
+
+
+_DOC_ROW = {"doc_ids": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "payload": pa.binary()}
+_WORD_ROW = {"bucket": pa.int32(), "words": pa.string(), "steps": pa.list_(pa.int32())}
+_ROW = pa.schema([("block", pa.int64()), *_WORD_ROW.items(), *_DOC_ROW.items()])
+
+
+def _rows(block: int, **columns: list) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array([block] * n if f.name == "block" else columns.get(f.name, [None] * n), f.type) for f in _ROW], schema=_ROW)
+
+
 def _index(pattern: str, ranks: dict[bytes, int]) -> Callable:
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of documents (doc_ids, sizes, payload) and rows of words (bucket, words), block by block."""
+        """Rows of documents (doc_ids, sizes, payload) and rows of words (bucket, words, steps), block by block.
+
+        A block's words are numbered from the most frequent on; steps are the differences of the
+        numbers of a bucket's words, in ascending order.
+        """
         import regex
         from pyspark import TaskContext
 
         find, loose, cuts = regex.compile(pattern).findall, regex.compile(_LOOSE).search, Cuts(ranks)
-        numbers: dict[bytes, int] = {}
+        numbers: dict[str | bytes, int] = {}  # words as text, parts of long ones as bytes
         known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # stretches at the start of a text, and after a space
         held: list[tuple[int | None, bytes]] = []
         block, size = TaskContext.get().partitionId() << 32, 0
 
-        def number(word: bytes) -> int:
-            return numbers.setdefault(word, len(numbers))
+        def whole(words: list[str]) -> list[str | bytes]:
+            """Words, each long one in its parts."""
+            return [x for w in words for x in ([w] if len(w) <= LONG // 4 or len(w.encode()) <= LONG else cuts(w.encode()))]
 
         def learn(at: int, parts: list[str]) -> None:
-            own = known[at]
+            own, number = known[at], numbers.setdefault
             for x in set(parts):
                 if x not in own:
-                    own[x] = np.array([number(c) for w in find(" " * at + x) for c in cuts(w.encode())], "<u4").tobytes()
+                    words = find(" " + x if at else x)
+                    words = whole(words) if len(x) > LONG // 4 - 1 else words
+                    own[x] = array("I", [number(w, len(numbers)) for w in words]).tobytes()
 
         def rows() -> Iterator[pa.RecordBatch]:
-            words = list(numbers)
-            bucket = np.array([zlib.crc32(w) % BUCKETS for w in words], np.int64)
-            order = np.argsort(bucket, kind="stable")
-            place = np.empty(len(words), "<u4")
-            place[order] = np.arange(len(words))
+            words = [(w if isinstance(w, bytes) else w.encode()).decode("latin-1") for w in numbers]
+            seen = np.frombuffer(b"".join([x for _, x in held]), "<u4")
+            place = np.empty(len(words), np.int64)
+            place[np.argsort(-np.bincount(seen, minlength=len(words)), kind="stable")] = np.arange(len(words))
+            end = 0
             for lo in range(0, len(held), DOCS):
-                part = held[lo : lo + DOCS]
-                told = place[np.frombuffer(b"".join([x for _, x in part]), "<u4")]
-                planes = np.ascontiguousarray(told.view(np.uint8).reshape(-1, 4).T).tobytes()
-                yield row([block], [None], [None], [[d for d, _ in part]], [[len(x) // 4 for _, x in part]], [zlib.compress(planes, 1)])
-            starts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-            lists = [_SEP.join([words[k].decode("latin-1") for k in part.tolist()]) for part in np.split(order, starts[1:])] if len(words) else []
-            n = len(lists)
-            if n:
-                yield row([block] * n, bucket[order][starts].tolist(), lists, [None] * n, [None] * n, [None] * n)
-
-        def row(*columns: list) -> pa.RecordBatch:
-            types = [pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["block", "bucket", "words", "doc_ids", "sizes", "payload"])
+                sizes = [len(x) // 4 for _, x in held[lo : lo + DOCS]]
+                yield _rows(block, doc_ids=[[d for d, _ in held[lo : lo + DOCS]]], sizes=[sizes], payload=[packed(place[seen[end : end + sum(sizes)]])])
+                end += sum(sizes)
+            if len(words):
+                bucket = np.array([zlib.crc32(w.encode("latin-1")) % BUCKETS for w in words], np.int64)
+                order = np.lexsort((place, bucket))
+                parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
+                yield _rows(block, bucket=[int(bucket[x[0]]) for x in parts], words=[_SEP.join([words[k] for k in x.tolist()]) for x in parts], steps=[np.diff(place[x], prepend=0).tolist() for x in parts])
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 text = text.as_py() or ""
-                parts = stretches(text, loose)
-                first, parts = parts[:1], parts[1:]
-                learn(0, first)
+                first, *parts = stretches(text, loose)
+                learn(0, [first])
                 learn(1, parts)
-                held.append((doc_id, known[0][first[0]] + b"".join(map(known[1].__getitem__, parts))))
+                held.append((doc_id, known[0][first] + b"".join(map(known[1].__getitem__, parts))))
                 size += len(text)
                 if size > BLOCK_BYTES or len(numbers) > WORDS or len(known[0]) + len(known[1]) > STRETCHES:
                     yield from rows()
@@ -207,17 +251,25 @@ def _index(pattern: str, ranks: dict[bytes, int]) -> Callable:
 
 
 def _join(full: bool) -> Callable:
-    def join(docs: pa.Table, told: pa.Table) -> pa.Table:
+    def join(held: pa.Table, told: pa.Table) -> pa.Table:
         """Documents of a block from the answers to its words."""
-        ids, pieces = [], []
-        for own, decoded in zip(*(told.sort_by("bucket").column(c).to_pylist() for c in ("ids", "pieces")), strict=True):
-            ids += [x.encode() + b"," for x in own.split(_SEP)]
-            pieces += [x.encode("latin-1") for x in decoded.split(_SEP)]
+        answers = {b: (i, o) for b, i, o in zip(*(told.column(c).to_pylist() for c in ("bucket", "ids", "others")), strict=True)}
+        asked = [x for x in zip(*(held.column(c).to_pylist() for c in _WORD_ROW), strict=True) if x[1] is not None]
+        n = sum(len(steps) for _, _, steps in asked)
+        ids, pieces = [b""] * n, [b""] * n
+        for bucket, words, steps in asked:
+            coded, others = answers[bucket]
+            own = words.split(_SEP)
+            for x in others:  # where decoding doesn't give the word
+                own[x["at"]] = x["piece"]
+            for place, i, w in zip(np.cumsum(steps).tolist(), coded.split(_SEP), own, strict=True):
+                ids[place], pieces[place] = i.encode() + b",", w.encode("latin-1")
         count = np.array([x.count(b",") for x in ids], np.int64)
         out: list[list] = [[], [], [], [], [], []]
-        for doc_ids, sizes, payload in zip(*(docs.column(c).to_pylist() for c in ("doc_ids", "sizes", "payload")), strict=True):
-            numbers = np.ascontiguousarray(np.frombuffer(zlib.decompress(payload), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
-            end = 0
+        for doc_ids, sizes, payload in zip(*(held.column(c).to_pylist() for c in _DOC_ROW), strict=True):
+            if doc_ids is None:
+                continue
+            numbers, end = unpacked(payload), 0
             for doc_id, size in zip(doc_ids, sizes, strict=True):
                 own = numbers[end : end + size]
                 end += size
@@ -241,7 +293,7 @@ def _blocks(df: DataFrame) -> DataFrame:
     """df written once to the shared folder as a table bucketed by block, so that what is joined by block needn't be shuffled."""
     spark = df.sparkSession
     name = f"blocks_{uuid.uuid4().hex}"
-    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    df.write.option("compression", "zstd").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     return spark.table(name)
 
 
@@ -258,16 +310,19 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, full: bool = False) ->
     ranks = read_ranks(rank_path)
     buckets = 1 << max(4, len(ranks).bit_length())
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    held = _blocks(texts.mapInArrow(_index(pattern, ranks), "block bigint, bucket int, words string, doc_ids array<bigint>, sizes array<int>, payload binary"))
+    held = _blocks(texts.mapInArrow(_index(pattern, ranks), "block bigint, bucket int, words string, steps array<int>, doc_ids array<bigint>, sizes array<int>, payload binary"))
     asked = held.filter("words is not null").select("bucket", "block", "words").repartition("bucket")
     each = asked.select("bucket", "block", F.posexplode(F.split("words", _SEP)).alias("at", "word")).groupBy("bucket", "word").agg(F.collect_list(F.struct("block", "at")).alias("asked"))
-    join = lambda ids, pieces: F.struct(F.array_join(ids, ",").alias("ids"), F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "").alias("pieces"))
-    answer = _let(F.struct(rank_map(ranks).alias("ranks"), piece_array(ranks).alias("pieces")), lambda t: _let(fold(F.col("word"), t["ranks"], buckets), lambda ids: join(ids, t["pieces"])))
+    piece = lambda ids, pieces: F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")
+    answer = _let(
+        F.struct(rank_map(ranks).alias("ranks"), piece_array(ranks).alias("pieces")),
+        lambda t: _let(fold(F.col("word"), t["ranks"], buckets), lambda ids: F.struct(F.array_join(ids, ",").alias("ids"), F.nullif(piece(ids, t["pieces"]), F.col("word")).alias("piece"))),
+    )
     told = each.select("bucket", "asked", answer.alias("answer")).select("bucket", F.explode("asked").alias("asked"), "answer")
-    back = told.groupBy("bucket", F.col("asked.block").alias("block")).agg(F.sort_array(F.collect_list(F.struct("asked.at", "answer.ids", "answer.pieces"))).alias("told"))
-    back = back.select("block", "bucket", F.array_join("told.ids", _SEP).alias("ids"), F.array_join("told.pieces", _SEP).alias("pieces"))
-    rows = held.filter("doc_ids is not null").select("block", "doc_ids", "sizes", "payload")
-    return rows.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_join(full), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * full)
+    back = told.groupBy("bucket", F.col("asked.block").alias("block")).agg(F.sort_array(F.collect_list(F.struct("asked.at", "answer.ids", "answer.piece"))).alias("told"))
+    others = F.transform(F.filter("told", lambda x: x["piece"].isNotNull()), lambda x: F.struct(x["at"].alias("at"), x["piece"].alias("piece")))  # what decoding gives where that isn't the word
+    back = back.select("block", "bucket", F.array_join("told.ids", _SEP).alias("ids"), others.alias("others"))
+    return held.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_join(full), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * full)
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

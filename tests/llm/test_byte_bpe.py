@@ -2,13 +2,14 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import public_tokenizers as P
 import tiktoken
 
-from gritstone.llm.byte_bpe import Cuts, encode, read_ranks, stretches
+from gritstone.llm.byte_bpe import Cuts, encode, packed, read_ranks, stretches, unpacked
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
-ODD = [None, "", " ", "  ", "a", " a", "a  b", "a   b \n", "\n\n x", "it's we'll  I'm", "tab\t x \t y", "日本語 の テキスト 😀😀", "x" * 300, "<|endoftext|> é ü  z", "1234 56,7..!! \r\n q", "end ", " \n ", "  a", "a  b  c", "\x1c x", "a\x85 b"]
+ODD = [None, "", " ", "  ", "a", " a", "a  b", "a   b \n", "\n\n x", "it's we'll  I'm", "tab\t x \t y", "日本語 の テキスト 😀😀", "x" * 300, "<|endoftext|> é ü  z", "1234 56,7..!! \r\n q", "end ", " \n ", "  a", "a  b  c", "\x1c x", "a\x85 b", "Āb Ā ĀĀ", "Ā"]
 
 
 def test_same_as_tiktoken(spark, sf):
@@ -46,6 +47,14 @@ def test_long_words_are_cut_where_no_token_lies_across(spark):
     assert all(got[k] == own.encode_ordinary(w) for k, w in enumerate(words))
 
 
+def test_numbers_survive_packing():
+    rnd = np.random.default_rng(1)
+    for top in (1, 191, 192, 193, 12_479, 12_480, 12_481, 1_061_055, 1_061_056, 1 << 31):
+        x = np.append(rnd.integers(0, top + 1, 500), [top, 0, 191, 192 % (top + 1)])
+        assert np.array_equal(unpacked(packed(x)), x)
+    assert len(unpacked(packed(np.zeros(0, np.int64)))) == 0
+
+
 def test_repeated_null_and_no_rows(spark):
     schema = "doc_id bigint, text string"
     assert encode(spark.createDataFrame([], schema), RANKS, P.PATTERN).collect() == []
