@@ -173,3 +173,16 @@ FLAGGED = r"(?i)\bpretend\b|\bact as\b|developer mode|<\|[a-z_]+\|>|base64"
 def verdict(text: Column) -> Column:
     """REFUSE, FLAG or ALLOW for what a caller typed."""
     return F.when(text.rlike(REFUSED), "REFUSE").when(text.rlike(FLAGGED), "FLAG").otherwise("ALLOW")
+
+
+def common_prefix(quote: Column, page: Column) -> Column:
+    """Length of the longest beginning of a quote that stands somewhere in the page, found by halving."""
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["lo"] + s["hi"] + 1) / 2).cast("int")
+        there = F.contains(page, F.left(quote, middle))
+        return F.when(s["lo"] >= s["hi"], s).otherwise(F.struct(F.when(there, middle).otherwise(s["lo"]).alias("lo"), F.when(there, s["hi"]).otherwise(middle - 1).alias("hi")))
+
+    start = F.struct(F.lit(0).alias("lo"), F.length(quote).cast("int").alias("hi"))
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.length(quote) + 2)).cast("int") + 1)
+    return F.aggregate(steps, start, halve, lambda s: s["lo"])
