@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .programs import programs
+
 
 def journeys(bundles: DataFrame) -> DataFrame:
     """bundles without the template packs: those that stamp no templates."""
@@ -77,3 +79,31 @@ def registered(hosts: DataFrame, exact: DataFrame, rules: list[tuple[str, str]],
     told = hosts.join(exact.select("host", F.col("name").alias("exact")), "host", "left").withColumn("label", label).join(sure, "label", "left").withColumn("rule", by_rule)
     basis = F.when(F.col("exact").isNotNull(), "EXACT").when(F.col("rule").isNotNull(), "RULE").when(F.col("alias").isNotNull(), "ALIAS").otherwise("NONE")
     return told.select("host", F.coalesce("exact", "rule", "alias").alias("owner"), basis.alias("basis"))
+
+
+def graph_tables(bundles: DataFrame) -> dict[str, DataFrame]:
+    """nodes, edges, groups, members, sources, refs and questions of bundles as they are read: one graph, as the operators on journeys and rules take it.
+
+    Of things with one id the first counts, journeys before template packs. Templates from * become
+    an edge of every service. Conditions become programs.
+    """
+    held = bundles.withColumn("templates", F.coalesce("edgeTemplates", F.array().cast(bundles.schema["edgeTemplates"].dataType))).drop("edgeTemplates")
+    edge = lambda c: F.transform(F.coalesce(c, F.array().cast(bundles.schema["edges"].dataType)), lambda e: F.struct(e["id"].alias("id"), e["from"].alias("src"), e["to"].alias("dst"), e["type"].alias("type"), e["condition"].alias("condition"), e["jurisdictionId"].alias("scope"), e["verificationStatus"].alias("status"), e["validFrom"].alias("valid_from"), e["validUntil"].alias("valid_until"), e["sources"].alias("cited")))
+    held = held.withColumn("edges", edge(F.col("edges"))).withColumn("templates", edge(F.col("templates")))
+    part = {c: held.withColumn("part", F.col(c)) for c in ("nodes", "requirementGroups", "sources", "questions")}
+    nodes = folded(part["nodes"], "part").withColumnRenamed("jurisdictionId", "scope").withColumn("program", programs(F.try_element_at("metadata", F.lit("rule")))).withColumn("store_id", F.coalesce(F.try_element_at("metadata", F.lit("androidAppId")), F.try_element_at("metadata", F.lit("iosAppId"))))
+    plain = held.select("bundle", "templates", F.filter("edges", lambda e: e["id"].isNotNull()).alias("part"))
+    own = folded(plain, "part").drop("bundle")
+    services = nodes.filter("type = 'SERVICE'").select(F.col("id").alias("service"))
+    wild = held.select(F.inline("templates")).filter("src = '*'")
+    made = services.join(wild, F.lit(True))  # every template for every service
+    everyone = made.select(*(F.regexp_replace("id", F.lit(r"^([^*]*)\*"), F.concat(F.lit("$1"), "service")).alias("id") if c == "id" else F.col("service").alias("src") if c == "src" else F.col(c) for c in own.columns))
+    edges = own.unionByName(everyone).withColumn("program", programs(F.col("condition"))).withColumn("valid_from", F.col("valid_from").try_cast("date")).withColumn("valid_until", F.col("valid_until").try_cast("date"))
+    groups = folded(part["requirementGroups"], "part").withColumn("program", programs(F.col("condition")))
+    groups = groups.select("id", F.col("ownerNodeId").alias("owner"), "mode", F.col("minimumRequired").alias("need"), F.col("jurisdictionId").alias("scope"), "program", "members", F.col("sources").alias("cited"))
+    member = groups.select(F.col("id").alias("group_id"), F.inline("members")).select("group_id", F.col("nodeId").alias("node"), programs(F.col("condition")).alias("program"))
+    ref = lambda kind, rows, c: rows.select(F.lit(kind).alias("kind"), F.col("id").alias("subject"), F.inline(c)).select("kind", "subject", F.col("sourceId").alias("source_id"), "evidence", "confidence", F.col("verificationStatus").alias("status"))
+    return {
+        "nodes": nodes, "edges": edges.drop("condition", "cited"), "groups": groups.drop("members", "cited"), "members": member, "sources": folded(part["sources"], "part"),
+        "refs": ref("node", nodes, "sources").union(ref("edge", edges, "cited")).union(ref("group", groups, "cited")), "questions": folded(part["questions"], "part", "field"),
+    }

@@ -11,13 +11,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: One bundle per file: nodes, edges, requirement groups, sources and questions.
-_REF = "sources array<struct<sourceId:string,evidence:string,confidence:double,verificationStatus:string>>"
+#: One bundle per file: sources, nodes, edges, requirement groups, questions and edge templates. Conditions and nested metadata stay JSON.
+_REFS = "sources:array<struct<sourceId:string,evidence:string,confidence:double,verificationStatus:string>>"
+_EDGES = f"array<struct<id:string,from:string,to:string,type:string,condition:string,jurisdictionId:string,note:string,validFrom:string,validUntil:string,verificationStatus:string,{_REFS}>>"
 BUNDLE = (
     "id string, sources array<struct<id:string,url:string,title:string,domain:string,sourceType:string,retrievedAt:string,contentHash:string,tlsVerified:boolean>>, "
-    f"nodes array<struct<id:string,type:string,name:string,officialName:string,aliases:array<string>,description:string,jurisdictionId:string,{_REF.replace(' ', ':', 1)},lastVerifiedAt:string>>, "
-    f"edges array<struct<id:string,from:string,to:string,type:string,condition:string,jurisdictionId:string,note:string,validFrom:string,validUntil:string,verificationStatus:string,{_REF.replace(' ', ':', 1)}>>, "
-    "requirementGroups array<struct<id:string,ownerNodeId:string,mode:string,minimumRequired:int,condition:string,jurisdictionId:string,members:array<struct<nodeId:string,condition:string,note:string>>>>"
+    f"nodes array<struct<id:string,type:string,name:string,officialName:string,aliases:array<string>,description:string,jurisdictionId:string,metadata:map<string,string>,{_REFS},lastVerifiedAt:string>>, "
+    f"edges {_EDGES}, edgeTemplates {_EDGES}, questions array<struct<field:string,label:string,inputType:string>>, "
+    f"requirementGroups array<struct<id:string,ownerNodeId:string,mode:string,minimumRequired:int,condition:string,jurisdictionId:string,members:array<struct<nodeId:string,condition:string,note:string>>,{_REFS}>>"
 )
 
 
