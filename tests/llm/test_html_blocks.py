@@ -97,3 +97,15 @@ def test_odd_pages(spark):
     rows = [(1, 1, None, None), (1, 2, "u", ""), (1, None, "u", "<p>x"), (1, 3, "u", long), (1, 3, "u", long), (1, 4, "u", "<<a & b"), (1, 5, "u", "<nav>m</nav><article><p>good text here.</p></article>")]
     got = H.main_text(spark.createDataFrame(rows, SCHEMA)).collect()
     assert len(got) == 7 and [r.text for r in got if r.page_id in (1, 2)] == ["", ""]
+
+
+def test_pages_that_mark_no_article():
+    from gritstone.llm.html_blocks import blocks_of, label, train
+
+    page = lambda k: f'<body><div class="nav"><a href="/">Home</a> <a href="/x">News</a></div><div><h1>Title {k}</h1><p>A first sentence of the page {k}, which says something.</p><p>And a second one that goes on.</p></div><footer>(c) me</footer></body>'
+    model = train([page(k) for k in range(20)])
+    blocks = blocks_of(page(99))
+    kept = [text for (_, text, _), p in zip(blocks, label(model, [blocks])[0], strict=True) if p >= 0.5]
+    assert kept == ["Title 99", "A first sentence of the page 99, which says something.", "And a second one that goes on."]
+    lone = blocks_of("<p>only this</p>")
+    assert label(train(["<p>one</p>", "<p>two</p>"]), [lone])[0].tolist()[0] >= 0.5
