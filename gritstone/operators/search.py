@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gritstone.functions.text import norm, tokens
+from gritstone.functions.fields import NOT_EVIDENCE, intent_tokens
+from gritstone.functions.text import norm, stem, tokens
 from gritstone.sources.tables import cut
 
 K1, B = 1.2, 0.75
@@ -62,23 +63,46 @@ def ranked(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def matched(names: DataFrame, asked: DataFrame, k: int = 5) -> DataFrame:
-    """qid, name, confidence, rarity, rank: the k names(name) that share most of the words of each asked(qid, text), a stated and small set.
+def _neighbours(word: Column) -> Column:
+    """A word of six letters or more and what is left of it without one of them: words an edit apart share one of these."""
+    cut_one = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1)))
+    return F.when(F.length(word) >= 6, F.array_distinct(F.concat(F.array(word), cut_one))).otherwise(F.array().cast("array<string>"))
 
-    A word counts if a name has it, or one that is an edit away where both have six letters or
-    more. Confidence is the share of words that count, at least 0.3; rarity sums what each is
-    worth by the names that have it.
+
+def matched(services: DataFrame, asked: DataFrame, k: int = 5) -> DataFrame:
+    """qid, id, confidence, rarity, rank of the k services(id, name, phrases) that asked(qid, text), a stated set, may mean.
+
+    Of a question's words each counts 2 if it is a whole phrase of the service, else 1 if it is a
+    word of it, else 1 for the first of its words that is one edit away; conjunctions count
+    nothing, but the question is as long with them. A service is meant if the words count 0.3 of
+    the question's length, if over half of one phrase was asked for, and if one hit at least is no
+    word of a tenth of all services. Equals go by how rare their hits are, then by name.
     """
-    words = names.distinct().select("name", F.explode(F.array_distinct(tokens(F.col("name")))).alias("word"))
-    weights = words.groupBy("word").agg(F.count("*").alias("df"))
-    own = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
-    terms = asked.select("qid", F.size(own).alias("n"), F.explode(own).alias("token")).filter("length(token) > 1")
-    near = (F.length("word") >= 6) & (F.length("token") >= 6) & (F.levenshtein("word", "token") <= 1)
-    hits = weights.join(light(terms), (F.col("word") == F.col("token")) | near)
-    found = words.join(light(hits), "word").groupBy("qid", "name", "token", "n").agg(F.max(1.0 / F.col("df")).alias("rare"))
-    scores = found.groupBy("qid", "name").agg(F.round(F.count("*") / F.max("n"), 6).alias("confidence"), F.round(F.sum("rare"), 6).alias("rarity")).filter("confidence >= 0.3")
+    phrases = services.select("id", F.posexplode("phrases").alias("at", "phrase")).select("id", "at", F.lower("phrase").alias("phrase")).filter("phrase <> ''")
+    words = phrases.select("id", "at", "phrase", F.posexplode(intent_tokens(F.col("phrase"))).alias("pos", "word"))
+    own = cut(words.groupBy("id", "word").agg(F.min(F.struct("at", "pos")).alias("ord")))
+    stems = own.select("id", stem(F.col("word")).alias("stem")).groupBy("stem").agg(F.count_distinct("id").alias("df"))
+    total = services.agg(F.greatest(F.lit(2.0), F.count("*") * 0.1).alias("ceiling"))
+    counts = light(cut(stems.crossJoin(F.broadcast(total)).select("stem", "df", (F.col("df") > F.col("ceiling")).alias("common"))))  # total is one row
+    query = asked.select("qid", F.posexplode(intent_tokens(F.col("text"))).alias("q", "token"))
+    tokens_ = cut(query.filter(~F.col("token").isin(NOT_EVIDENCE)))
+    exact = phrases.select("id", F.col("phrase").alias("token")).distinct().join(light(tokens_), "token").select("qid", "q", "id", F.lit(0).alias("how"), F.lit(None).cast(own.schema["ord"].dataType).alias("ord"), F.col("token").alias("word"))
+    same = own.join(light(tokens_), own.word == F.col("token")).select("qid", "q", "id", F.lit(1).alias("how"), "ord", "word")
+    keyed = own.select("word").distinct().select("word", F.explode(_neighbours(F.col("word"))).alias("key"))
+    typed = tokens_.select("qid", "q", "token", F.explode(_neighbours(F.col("token"))).alias("key"))
+    close = keyed.join(light(typed), "key").filter((F.levenshtein("word", "token") <= 1) & (F.col("word") != F.col("token"))).select("qid", "q", "word").distinct()
+    near = own.join(light(close), "word").select("qid", "q", "id", F.lit(2).alias("how"), "ord", "word")
+    hits = cut(exact.union(same).union(near).groupBy("qid", "q", "id").agg(F.min(F.struct("how", "ord", "word")).alias("hit")).select("qid", "q", "id", "hit.how", "hit.word"))
+    size = query.groupBy("qid").agg(F.count("*").alias("n"))
+    scores = hits.withColumn("stem", stem(F.col("word"))).join(counts, "stem", "left").groupBy("qid", "id").agg(
+        F.sum(F.when(F.col("how") == 0, 2).otherwise(1)).alias("score"), F.bool_or(~F.coalesce("common", F.lit(False))).alias("telling"), F.round(F.sum(1.0 / F.coalesce("df", F.lit(1))), 6).alias("rarity")
+    )
+    reached = words.join(hits.select("qid", "id", "word").distinct(), ["id", "word"]).groupBy("qid", "id", "at").agg(F.count("*").alias("asked"))
+    named = reached.join(words.groupBy("id", "at").agg(F.count("*").alias("words")), ["id", "at"]).groupBy("qid", "id").agg(F.max(F.col("asked") / F.col("words")).alias("named"))
+    confidence = F.round(F.least(F.lit(1.0), F.col("score") / F.col("n")), 6)
+    meant = scores.join(named, ["qid", "id"]).join(F.broadcast(size), "qid").withColumn("confidence", confidence).filter("telling and named > 0.5 and confidence >= 0.3")
     w = Window.partitionBy("qid").orderBy(F.desc("confidence"), F.desc("rarity"), "name")
-    return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return meant.join(services.select("id", "name"), "id").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("qid", "id", "confidence", "rarity", "rank")
 
 
 def contained(docs: DataFrame, passages: DataFrame) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from gritstone.functions import text as T
+from gritstone.functions import fields as X, text as T
 from gritstone.operators import geo, graphs, search
 from gritstone.sources.tables import table, upserted
 
-from .catalogue import query
+from .catalogue import SQL, query
 from .text_queries import lines_sql
 
 _KM = "2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
@@ -53,17 +53,37 @@ def q_cycle_peel(spark: SparkSession, d: str) -> DataFrame:
     return graphs.cyclic(edges)
 
 
-_ASKED = [(1, "standard polished brass"), (2, "economy anodised steel please"), (3, "small plated coper boxes"), (4, "promo burnished nickel or tin"), (5, "large brushd items")]
+_ASKED = [(1, "i want the small ring"), (2, "red widgett and a bolt please"), (3, "economy"), (4, "purple widget gadget or cum ring"), (5, "help with nothing at all"), (6, "green gadgets promo"), (7, "standrd blue bolt bolt")]
+_STOP = "', '".join(X.STOPWORDS)
 
 
-@query(f"""WITH asked AS (SELECT qid, unnest(list_distinct(regexp_extract_all(lower(t), '[a-z]+'))) AS token, len(list_distinct(regexp_extract_all(lower(t), '[a-z]+'))) AS n FROM (VALUES {', '.join(f"({i}, '{t}')" for i, t in _ASKED)}) v(qid, t)),
- words AS (SELECT p_type, unnest(list_distinct(list_filter(regexp_extract_all(lower(p_type), '[\\p{{L}}\\p{{N}}\\p{{M}}]+'), lambda t: length(t) > 1))) AS word FROM (SELECT DISTINCT p_type FROM part)), dfs AS (SELECT word, count(*) AS df FROM words GROUP BY 1),
- hit AS (SELECT qid, p_type, token, n, max(1.0 / df) AS rare FROM words JOIN dfs USING (word) JOIN asked ON word = token OR (length(word) >= 6 AND length(token) >= 6 AND levenshtein(word, token) <= 1) WHERE length(token) > 1 GROUP BY ALL),
- m AS (SELECT qid, p_type, count(*) / max(n) AS confidence, round(sum(rare), 6) AS rarity FROM hit GROUP BY ALL HAVING count(*) / max(n) >= 0.3)
- SELECT qid, p_type, round(confidence, 6) AS confidence, rarity, row_number() OVER (PARTITION BY qid ORDER BY round(confidence, 6) DESC, rarity DESC, p_type) AS rank FROM m QUALIFY rank <= 5""")
+def _words_sql(column: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({column}), '[^\\p{{L}}\\p{{N}}\\p{{M}}'']+'), lambda t: length(t) > 1 AND t NOT IN ('{_STOP}'))"
+
+
+@query(f"""WITH svc AS (SELECT p_name AS id, p_name AS name, [p_name, lower(min(p_type)), split_part(p_name, ' ', 2) || ' for ' || lower(max(p_type))] AS phrases FROM part GROUP BY p_name),
+ ph AS (SELECT id, unnest(phrases) AS phrase, unnest(range(3)) AS at_ FROM svc), wd AS (SELECT id, at_, unnest(w) AS word, unnest(range(len(w))) AS pos FROM (SELECT id, at_, {_words_sql('phrase')} AS w FROM ph)),
+ own AS (SELECT id, word, min(at_ * 1000 + pos) AS ord FROM wd GROUP BY ALL), st AS (SELECT CASE WHEN length(word) > 3 AND word LIKE '%s' THEN left(word, length(word) - 1) ELSE word END AS stem, count(DISTINCT id) AS df FROM own GROUP BY 1), cat AS (SELECT stem, df, df > greatest(2, (SELECT count(*) FROM svc) * 0.1) AS common FROM st),
+ qs AS (SELECT qid, unnest(w) AS token, unnest(range(len(w))) AS q, len(w) AS n FROM (SELECT qid, {_words_sql('t')} AS w FROM (VALUES {', '.join(f"({i}, '{t}')" for i, t in _ASKED)}) v(qid, t))), tk AS (SELECT * FROM qs WHERE token NOT IN ('and', 'or', 'amp', 'cum')),
+ h AS (SELECT qid, q, n, id, 0 AS how, -1 AS ord, token AS word FROM tk JOIN (SELECT DISTINCT id, lower(phrase) AS phrase FROM ph) ON phrase = token UNION ALL SELECT qid, q, n, id, 1, ord, word FROM tk JOIN own ON word = token UNION ALL SELECT qid, q, n, id, 2, ord, word FROM tk JOIN own ON length(word) >= 6 AND length(token) >= 6 AND levenshtein(word, token) = 1),
+ b AS (SELECT qid, q, id, n, min(how) AS how, arg_min(word, how * 100000 + ord) AS word FROM h GROUP BY qid, q, id, n),
+ sc AS (SELECT qid, id, n, sum(CASE WHEN how = 0 THEN 2 ELSE 1 END) AS score, bool_or(NOT coalesce(common, FALSE)) AS telling, round(sum(1.0 / coalesce(df, 1)), 6) AS rarity FROM b LEFT JOIN cat ON stem = CASE WHEN length(word) > 3 AND word LIKE '%s' THEN left(word, length(word) - 1) ELSE word END GROUP BY ALL),
+ nm AS (SELECT qid, id, max(asked / words) AS named FROM (SELECT qid, wd.id, at_, count(*) AS asked FROM wd JOIN (SELECT DISTINCT qid, id, word FROM b) USING (id, word) GROUP BY ALL) JOIN (SELECT id, at_, count(*) AS words FROM wd GROUP BY ALL) USING (id, at_) GROUP BY ALL)
+ SELECT qid, id, round(least(1.0, score / n), 6) AS confidence, rarity, row_number() OVER (PARTITION BY qid ORDER BY round(least(1.0, score / n), 6) DESC, rarity DESC, id) AS rank FROM sc JOIN nm USING (qid, id) WHERE telling AND named > 0.5 AND round(least(1.0, score / n), 6) >= 0.3 QUALIFY rank <= 5""")
 def q_intent_match(spark: SparkSession, d: str) -> DataFrame:
-    asked = spark.createDataFrame(_ASKED, "qid int, text string")
-    return search.matched(table(spark, d, "part").select(F.col("p_type").alias("name")), asked).withColumnRenamed("name", "p_type")
+    parts = table(spark, d, "part").groupBy("p_name").agg(F.lower(F.min("p_type")).alias("low"), F.lower(F.max("p_type")).alias("high"))
+    services = parts.select(F.col("p_name").alias("id"), F.col("p_name").alias("name"), F.array("p_name", "low", F.concat(F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit(" for "), "high")).alias("phrases"))
+    return search.matched(services, spark.createDataFrame(_ASKED, "qid int, text string"))
+
+
+#: What each of the questions means, null for nothing.
+_WANT = [(1, "small ring"), (2, "red widget"), (3, "small ring"), (5, None), (7, "blue bolt")]
+
+
+@query(SQL["q_intent_match"].replace("WITH svc AS", "WITH want(qid, want) AS (VALUES (1, 'small ring'), (2, 'red widget'), (3, 'small ring'), (5, NULL), (7, 'blue bolt')), svc AS", 1).replace(" SELECT qid, id, round(least", ", told AS (SELECT qid, id, round(least", 1) + ") SELECT count(*) AS cases, count(*) FILTER (want IS NOT DISTINCT FROM id) AS hits FROM want LEFT JOIN (SELECT qid, id FROM told WHERE rank = 1) USING (qid)")
+def q_intent_eval(spark: SparkSession, d: str) -> DataFrame:
+    first = q_intent_match(spark, d).filter("rank = 1").select("qid", "id")
+    return spark.createDataFrame(_WANT, "qid int, want string").join(first, "qid", "left").agg(F.count("*").alias("cases"), F.count_if(F.col("want").eqNullSafe(F.col("id"))).alias("hits"))
 
 
 @query(f"SELECT page_id, len(kept) AS n_lines, md5(array_to_string(kept, chr(10))) AS digest FROM (SELECT page_id, list_filter(l, lambda x, i: i = 1 OR x <> l[i - 1]) AS kept FROM (SELECT page_id, {lines_sql('html')} AS l FROM pages))")
