@@ -31,9 +31,9 @@ ONE, TWO = 2048, 4096
 #: Outcomes: predicted by order 2, by order 1, from the list at a place of 0 to 12 bits, new.
 OUTCOMES, LISTED, NEW = 16, 2, 15
 #: What an outcome adds to its frequency, and the sum from which frequencies are halved.
-STEP, MOST = 32, 1 << 13
+STEP, MOST = 32, 1 << 14
 #: Stretches of text between spaces whose ids a Python worker remembers, over all its tasks; then it forgets the older half.
-STRETCHES = 400_000
+STRETCHES = 250_000
 MAGIC = b"IDS2"
 _EXTRA = np.array([0, 0, 0, 0, *range(1, 12), 16], np.int64)  # bits that follow an outcome
 _FROM = np.array([0, 0, 0, *(1 << k for k in range(12)), 0], np.int64)  # least place of a listed outcome
@@ -97,7 +97,9 @@ class _Model:
             runs = self.own[k] + more
             full = np.flatnonzero(runs[:, -1] > MOST)
             if len(full):
-                runs[full] = np.cumsum((np.diff(runs[full], axis=1, prepend=np.uint16(0)) + 1) >> 1, axis=1)
+                own = runs[full]
+                own[:, 1:] -= own[:, :-1].copy()
+                runs[full] = np.cumsum((own + 1) >> 1, axis=1)
             _put(self.runs[k], self.row[k], runs)
             held = self.held[k]
             sure = held & 15
@@ -120,7 +122,7 @@ def encode_ids(ids: np.ndarray) -> bytes:
     if not len(ids):
         return struct.pack("<I", 0)
     table, n, rest = _blocks(ids)
-    names = np.stack([np.unique(row, return_inverse=True)[1] for row in table]).astype(np.int64)
+    names = np.stack([np.unique(row, return_inverse=True)[1].astype(np.int16) for row in table])
     steps = BLOCK if n > 1 else rest
     model, lane = _Model(n, BLOCK), np.arange(n)
     places = np.full(n * (BLOCK + 1), -1, np.int16)  # of a name in the list
@@ -128,7 +130,7 @@ def encode_ids(ids: np.ndarray) -> bytes:
     low, width = np.zeros(n, np.int64), np.full(n, 1 << 48, np.int64)
     for step in range(steps):
         m = n if step < rest else n - 1
-        now, name, base = table[:m, step], names[:m, step], lane[:m] * (BLOCK + 1)
+        now, name, base = table[:m, step], names[:m, step].astype(np.int64), lane[:m] * (BLOCK + 1)
         two, one, sums = model.predict(m)
         place = places[base + name].astype(np.int64)
         outcome = np.where(two == now, 0, np.where(one == now, 1, np.where(place < 0, NEW, LISTED + _BITS[place])))
