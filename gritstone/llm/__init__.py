@@ -1,4 +1,4 @@
-"""Corpus preparation for language-model training: ten operators over documents and pages.
+"""Corpus preparation for language-model training: thirteen operators over documents, pages and embeddings.
 
 Nothing else in the package imports this subpackage; it can be deleted as a whole.
 """

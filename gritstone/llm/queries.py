@@ -16,6 +16,8 @@ MODULES = {
     "op8_weak_quality": "quality",
     "op9_context_mixing_ids": "id_files",
     "op10_temporal_url_lists": "url_lists",
+    "op12_laesa_vector_codes": "vector_codes",
+    "op13_blockmatrix_whitening": "whitening",
 }
 
 
@@ -24,6 +26,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import url_lists
+    from . import url_lists, vector_codes
 
-    return {"op10_temporal_url_lists": url_lists.ORACLE_SQL}
+    return {"op10_temporal_url_lists": url_lists.ORACLE_SQL, "op12_laesa_vector_codes": vector_codes.ORACLE_SQL}
