@@ -16,6 +16,7 @@ MODULES = {
     "op8_weak_quality": "quality",
     "op9_context_mixing_ids": "id_files",
     "op10_temporal_url_lists": "url_lists",
+    "op11_tiled_jaccard_join": "jaccard_join",
     "op12_laesa_vector_codes": "vector_codes",
     "op13_blockmatrix_whitening": "whitening",
 }
