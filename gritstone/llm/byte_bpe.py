@@ -253,7 +253,7 @@ def _index(pattern: str, ranks: dict[bytes, int]) -> Callable:
 def _join(full: bool) -> Callable:
     def join(held: pa.Table, told: pa.Table) -> pa.Table:
         """Documents of a block from the answers to its words."""
-        answers = {b: (i, o) for b, i, o in zip(*(told.column(c).to_pylist() for c in ("bucket", "ids", "others")), strict=True)}
+        answers = {x["bucket"]: (x["ids"], x["others"]) for x in told.column("told").to_pylist()}
         asked = [x for x in zip(*(held.column(c).to_pylist() for c in _WORD_ROW), strict=True) if x[1] is not None]
         n = sum(len(steps) for _, _, steps in asked)
         ids, pieces = [b""] * n, [b""] * n
@@ -321,7 +321,8 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, full: bool = False) ->
     told = each.select("bucket", "asked", answer.alias("answer")).select("bucket", F.explode("asked").alias("asked"), "answer")
     back = told.groupBy("bucket", F.col("asked.block").alias("block")).agg(F.sort_array(F.collect_list(F.struct("asked.at", "answer.ids", "answer.piece"))).alias("told"))
     others = F.transform(F.filter("told", lambda x: x["piece"].isNotNull()), lambda x: F.struct(x["at"].alias("at"), x["piece"].alias("piece")))  # what decoding gives where that isn't the word
-    back = back.select("block", "bucket", F.array_join("told.ids", _SEP).alias("ids"), others.alias("others"))
+    # one struct: of a cogroup's separate columns, the optimizer drops some when a caller takes only part of the result
+    back = back.select("block", F.struct("bucket", F.array_join("told.ids", _SEP).alias("ids"), others.alias("others")).alias("told"))
     return held.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_join(full), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * full)
 
 

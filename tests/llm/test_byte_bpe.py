@@ -60,3 +60,13 @@ def test_repeated_null_and_no_rows(spark):
     assert encode(spark.createDataFrame([], schema), RANKS, P.PATTERN).collect() == []
     rows = encode(spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b")], schema), RANKS, P.PATTERN).collect()
     assert len(rows) == 3 and len({r.ids_sha256 for r in rows}) == 1
+
+
+def test_any_part_of_the_result(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None), (3, "a  bc a")], "doc_id bigint, text string")
+    got = encode(df, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, full=True)
+    whole = {r.doc_id: r for r in got.collect()}
+    for c in got.columns:
+        assert sorted((str(r[0]) for r in got.select(c).collect())) == sorted(str(r[c]) for r in whole.values())
+    assert got.count() == 3
+    assert got.agg({"n_tokens": "sum"}).first()[0] == sum(r.n_tokens for r in whole.values())
