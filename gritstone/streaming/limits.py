@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gritstone.operators.events import epoch_micros
-from gritstone.sources.tables import shared_folder
+
+from .runs import files_as_stream, run_to_end
 
 
 def daily_counts(spark: SparkSession, sf_dir: str, lateness: str = "6 hours") -> DataFrame:
@@ -18,15 +17,7 @@ def daily_counts(spark: SparkSession, sf_dir: str, lateness: str = "6 hours") ->
     table of days lies in the shared folder, as does the stream's checkpoint, so a stream that is
     started again goes on where it was.
     """
-    path = f"{sf_dir}/events.parquet"
-    own = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    parent, name = path.rsplit("/", 1)
-    still = spark.read.parquet(path)
-    alone = all(f.rsplit("/", 1)[-1] == name for f in still.inputFiles())  # one file of that name, not a folder of files
-    reader = spark.readStream.schema(still.schema)
-    events = reader.option("pathGlobFilter", name).parquet(parent) if alone else reader.parquet(path)
+    events = files_as_stream(spark, f"{sf_dir}/events.parquet")
     counts = events.withColumn("at", F.timestamp_micros(epoch_micros("ts"))).withWatermark("at", lateness).groupBy("user_id", F.window("at", "1 day")).agg(F.count("*").alias("n"))
     told = counts.select("user_id", F.date_from_unix_date((F.unix_seconds("window.start") / 86_400).cast("int")).alias("day"), "n")
-    run = told.writeStream.outputMode("append").format("parquet").trigger(availableNow=True).option("checkpointLocation", f"{own}/state").start(f"{own}/out")
-    run.awaitTermination()
-    return spark.read.schema(told.schema).parquet(f"{own}/out")
+    return run_to_end(told)
