@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -20,75 +22,72 @@ JUNK = re.compile(r"\S{200}")
 SCHEMA = "array<struct<start:int,end:int,heading:string>>"
 
 
-def reads_as_heading(line: str) -> bool:
-    """A short line that names what follows: marked as a heading, or ending in a colon, or of several words with a capital first, and without the end of a sentence."""
-    s = line.strip()
-    if not s or len(s) > 90:
-        return False
-    if HEADING.match(s) or BOLD.match(s):
-        return True
-    words = s.split()
-    if s[-1] in ".!?,;" or len(words) > 12:
-        return False
-    return (s[-1] == ":" and len(s) > 3) or (("A" <= s[0] <= "Z" or "઀" <= s[0] <= "૿") and len(words) > 1)
-
-
-def heading_of(line: str) -> str:
-    s = re.sub(r"^#{1,6}\s+", "", line)
-    return re.sub(r":$", "", re.sub(r"^\*\*|\*\*:?$", "", s)).strip()[:120]
-
-
-class _Cutter:
-    """The passages of one page, as they are found."""
-
-    def __init__(self, page: str, most: int, least: int) -> None:
-        self.page, self.most, self.least = page, most, least
-        self.made: list[list] = []
-        self.start, self.newest, self.own = 0, None, None  # newest heading seen, heading of the open passage
-
-    def close(self, end: int) -> None:
-        if self.page[self.start : end].strip():
-            self.made.append([self.start, end, self.own])
-        self.start, self.own = end, self.newest
-
-    def line(self, at: int, line: str, before: str | None, after: str) -> None:
-        grown, blank = at - self.start, not line.strip()
-        in_table = before is not None and bool(ROW.match(line)) and bool(ROW.match(before))  # a table stays whole
-        if not in_table and (any(p.match(line) for p in (HEADING, BOLD, STEP, QUESTION)) or (reads_as_heading(line) and len(after.strip()) > len(line.strip()))):
-            if grown >= self.least:
-                self.close(at)
-            self.newest = heading_of(line)
-            if not self.page[self.start : at].strip():
-                self.own = self.newest
-        elif blank and not in_table and grown >= 0.6 * self.most:
-            self.close(at)
+#: Short lines that name what follows: a few words and a colon, or several words with a capital first and no end of a sentence.
+TITLES = (
+    re.compile(r"(?=.{4,90}\Z)(?:\S+\s+){0,11}\S*:\Z", re.S),
+    re.compile(r"(?=.{1,90}\Z)[A-Z\u0A80-\u0AFF]\S*(?:\s+\S+){1,11}(?<![.!?,;])\Z", re.S),
+)
+MARKUP = re.compile(r"^(?:#{1,6}\s+)?(?:\*\*)?|:?(?:\*\*)?:?$")
+NEVER = float("inf")
+
+
+def opens(line: str, after: str) -> bool:
+    """Whether a passage may begin at a line because of what the line is: marked, numbered, a question, or a title over a longer line."""
+    bare = line.strip()
+    return any(p.match(line) for p in (HEADING, BOLD, STEP, QUESTION)) or (len(after.strip()) > len(bare) and any(p.match(bare) for p in (*TITLES, BOLD)) and len(bare) <= 90)
+
+
+def edges(page: str, most: int, least: int) -> tuple[list[tuple[int, float]], list[int], list[str]]:
+    """Where a page can be cut, as (place, characters that the open passage must have), in order; and the places and texts of its headings.
+
+    A table has no edge but its first line. A heading needs `least`, a blank line three fifths of `most`, any other line `most`; inside a line
+    longer than that there is an edge every `most` characters that needs nothing.
+    """
+    lines = page.split("\n")
+    starts = [0, *accumulate(len(line) + 1 for line in lines[:-1])]
+    rows = [bool(ROW.match(line)) for line in lines]
+    found: list[tuple[int, float]] = []
+    places, texts = [], []
+    for at, line, row, row_before, after in zip(starts, lines, rows, [False, *rows], [*lines[1:], ""], strict=False):
+        if row and row_before:
+            need = NEVER
+        elif opens(line, after):
+            found.append((at, least))
+            places.append(at)
+            texts.append(MARKUP.sub("", line).strip()[:120])
+            continue
         else:
-            if grown >= self.most and not in_table:
-                self.close(at)
-            for mark in range(at + self.most, at + len(line), self.most):  # a line longer than a passage
-                self.close(mark)
-
-    def glued(self) -> list[list]:
-        """Passages, each that is too short joined to the one before it, from the end, unless the two would be half as much again as a passage may be."""
-        out: list[list] = []
-        for start, end, heading in reversed(self.made):
-            if out and len(self.page[out[-1][0] : out[-1][1]].strip()) < self.least and out[-1][1] - out[-1][0] + end - start <= 1.5 * self.most:
-                out[-1] = [start, out[-1][1], heading]
-            else:
-                out.append([start, end, heading])
-        return out[::-1]
+            need = most if line.strip() else 0.6 * most
+        found.append((at, need))
+        found += [(mark, 0) for mark in range(at + most, at + len(line), most)]
+    return found, places, texts
 
 
 def passages(page: str | None, most: int = MOST, least: int = LEAST) -> list[tuple[int, int, str | None]]:
-    """(start, end, heading) of a page's passages; those with a token of 200 characters or more are left out."""
+    """(start, end, heading) of a page's passages; those with a token of 200 characters or more are left out.
+
+    A passage's heading is the last one at or before its first letter. One that is too short joins the one before it,
+    unless the two would be half as much again as a passage may be.
+    """
     if not page or not page.strip():
         return []
-    cutter, lines, at = _Cutter(page, most, least), page.split("\n"), 0
-    for i, line in enumerate(lines):
-        cutter.line(at, line, lines[i - 1] if i else None, lines[i + 1] if i + 1 < len(lines) else "")
-        at += len(line) + 1
-    cutter.close(len(page))
-    return [(a, b, h) for a, b, h in cutter.glued() if not JUNK.search(page[a:b])]
+    found, places, texts = edges(page, most, least)
+    cuts = [0]
+    for at, need in found:
+        if at - cuts[-1] >= need and at > cuts[-1]:
+            cuts.append(at)
+    whole = [(a, b) for a, b in pairwise([*cuts, len(page)]) if page[a:b].strip()]
+    kept: list[tuple[int, int]] = []  # the last first
+    for a, b in reversed(whole):
+        short = kept and len(page[kept[-1][0] : kept[-1][1]].strip()) < least and kept[-1][1] - kept[-1][0] + b - a <= 1.5 * most
+        kept.append((a, kept.pop()[1] if short else b))
+
+    def heading(start: int) -> str | None:
+        first = start + len(page[start:]) - len(page[start:].lstrip())
+        k = bisect_right(places, first)
+        return texts[k - 1] if k else None
+
+    return [(a, b, heading(a)) for a, b in reversed(kept) if not JUNK.search(page, a, b)]
 
 
 def chunked(pages: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gritstone.sources.tables import cut
+
 from .programs import programs
 
 
@@ -22,15 +24,23 @@ def folded(bundles: DataFrame, part: str, key: str = "id") -> DataFrame:
     return first.select(key, "x.*")
 
 
-def numbered(rows: DataFrame, key: str) -> DataFrame:
-    """rows with ord, their place by key from 1: places within a range of keys, after those of the ranges before it."""
-    dealt = rows.repartitionByRange(key).withColumn("_part", F.spark_partition_id())
+def numbered(rows: DataFrame, *order: str | Column) -> DataFrame:
+    """rows with ord, their place in a total order from 1: places within a range of keys, after those of the ranges before it.
+
+    Which range a row lies in is kept with the rows, once, so that whoever reads them later finds the same.
+    """
+    dealt = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).select("_part", "_before")  # a row a range
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(key))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return dealt.join(F.broadcast(before), "_part").withColumn("ord", F.col("_before") + own).drop("_part", "_before")
 
 
+def small(rows: DataFrame, most: int = 10_000) -> DataFrame:
+    """rows, marked for broadcast if there are no more than `most`."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def stamped(bundles: DataFrame) -> DataFrame:
     """bundle, edge columns: all edges, and each template from * once for every service, the first * in its id replaced by the service's id.
 
@@ -39,8 +49,7 @@ def stamped(bundles: DataFrame) -> DataFrame:
     plain = bundles.select("bundle", F.inline("edges"))
     services = folded(bundles, "nodes").filter("type = 'SERVICE'").select(F.col("id").alias("service"))
     templates = bundles.filter("size(templates) > 0").select("bundle", F.inline("templates"))
-    wild = templates.filter("src = '*'")
-    wild = F.broadcast(wild) if wild.limit(10_001).count() <= 10_000 else wild
+    wild = small(templates.filter("src = '*'"))
     made = services.join(wild, F.lit(True)).select("bundle", F.regexp_replace("id", F.lit(r"^([^*]*)\*"), F.concat(F.lit("$1"), "service")).alias("id"), F.col("service").alias("src"), "dst", "type")
     return plain.unionByName(made).unionByName(templates.filter("src <> '*'"))
 
@@ -95,7 +104,7 @@ def graph_tables(bundles: DataFrame) -> dict[str, DataFrame]:
     plain = held.select("bundle", "templates", F.filter("edges", lambda e: e["id"].isNotNull()).alias("part"))
     own = folded(plain, "part").drop("bundle")
     services = nodes.filter("type = 'SERVICE'").select(F.col("id").alias("service"))
-    wild = held.select(F.inline("templates")).filter("src = '*'")
+    wild = small(held.select(F.inline("templates")).filter("src = '*'"))
     made = services.join(wild, F.lit(True))  # every template for every service
     everyone = made.select(*(F.regexp_replace("id", F.lit(r"^([^*]*)\*"), F.concat(F.lit("$1"), "service")).alias("id") if c == "id" else F.col("service").alias("src") if c == "src" else F.col(c) for c in own.columns))
     edges = own.unionByName(everyone).withColumn("program", programs(F.col("condition"))).withColumn("valid_from", F.col("valid_from").try_cast("date")).withColumn("valid_until", F.col("valid_until").try_cast("date"))

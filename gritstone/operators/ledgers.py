@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gritstone.functions.text import norm
 
+from .bundles import numbered
+
 #: Fixed: hours that a failed address isn't asked again, by reason; 24 for others.
 BACKOFF_HOURS = {"HTTP_404": 8760, "HTTP_410": 8760, "SOFT_404": 8760, "BLOCKED_BY_SITE": 24, "TIMEOUT": 24, "TLS_FAIL": 24, "DNS_FAIL": 168, "HTTP_ERROR": 24, "TOO_THIN": 720, "NOT_TEXT": 8760, "SCANNED_PDF": 8760, "EMPTY_RENDER": 720, "AUTH_REQUIRED": 8760, "CAPTCHA": 8760}
 #: Fixed: kinds of facts, and reasons of rejections in the order in which a fact is asked for them.
@@ -29,14 +31,14 @@ def gated(facts: DataFrame, pages: DataFrame) -> DataFrame:
     """
     quote = norm(F.col("evidence"))
     asked = facts.withColumn("kind", F.upper(F.trim("kind"))).withColumn("quote", quote)
-    # a page is normalised once for each fact that is still in question, and only these
-    held = asked.join(pages.select("page_id", "text", F.lit(True).alias("there")), "page_id", "left")
-    body = norm(F.col("text"))
+    # pages that are asked about are normalised once each, before they meet their facts
+    bodies = pages.join(facts.select("page_id").distinct(), "page_id", "left_semi").select("page_id", norm(F.col("text")).alias("body"), F.lit(True).alias("there"))
+    held = asked.join(bodies, "page_id", "left")
     rules = first_reason(
         ("INVALID_SCHEMA", F.col("evidence").isNull() & F.col("kind").isNull()), ("MISSING_SOURCE", F.col("there").isNull()), ("UNSUPPORTED_KIND", ~F.coalesce(F.col("kind").isin(KINDS), F.lit(False))),
-        ("EVIDENCE_NOT_VERBATIM", ~F.coalesce((F.length("quote") >= 12) & F.contains(body, F.col("quote")), F.lit(False))),
+        ("EVIDENCE_NOT_VERBATIM", ~F.coalesce((F.length("quote") >= 12) & F.contains("body", F.col("quote")), F.lit(False))),
     )
-    told = held.withColumn("reason", rules).drop("text", "there")
+    told = held.withColumn("reason", rules).drop("body", "there")
     w = Window.partitionBy("page_id", "kind", "subject", "object", "quote", F.col("reason").isNull()).orderBy("fact_id")
     reason = F.when(F.col("reason").isNull() & (F.row_number().over(w) > 1), "DUPLICATE").otherwise(F.col("reason"))
     note = F.when(reason == "EVIDENCE_NOT_VERBATIM", F.when(F.coalesce(F.length("quote"), F.lit(0)) < 12, "shorter than a quote").otherwise("not on the page"))
@@ -67,12 +69,10 @@ def replaced(stored: DataFrame, rows: DataFrame, stages: list[str]) -> DataFrame
 def discovered(links: DataFrame, most: int, least: int) -> DataFrame:
     """links(url, score) with rank and state: the best `most` of those scoring at least `least` are DISCOVERED, others SKIPPED_OVER_CAP or SKIPPED_LOW_SCORE.
 
-    Ranks come from counts by score, so only urls of the score at the cap are ordered against each other.
+    Urls are ranked in ranges of score and url, which are ordered apart.
     """
     eligible = links.filter(F.col("score") >= least)
-    counts = eligible.groupBy("score").agg(F.count("*").alias("n"))
-    above = counts.alias("a").join(counts.alias("b"), F.col("b.score") > F.col("a.score"), "left").groupBy("a.score").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("above"))  # a row a score
-    ranked = eligible.join(above, "score").withColumn("rank", F.col("above") + F.row_number().over(Window.partitionBy("score").orderBy("url")))
+    ranked = numbered(eligible, F.desc("score"), F.col("url")).withColumnRenamed("ord", "rank")
     state = F.when(F.col("rank") <= most, "DISCOVERED").otherwise("SKIPPED_OVER_CAP")
     low = links.filter(F.col("score") < least).select("url", "score", F.lit(None).cast("bigint").alias("rank"), F.lit("SKIPPED_LOW_SCORE").alias("state"))
     return ranked.select("url", "score", "rank", state.alias("state")).union(low)

@@ -99,6 +99,6 @@ def q_host_registry(spark: SparkSession, d: str) -> DataFrame:
     from gritstone.functions.text import host
 
     hosts = table(spark, d, "pages").select(host(F.col("url")).alias("host")).distinct()
-    exact = hosts.withColumn("k", F.row_number().over(Window.orderBy("host")) % 3).filter("k = 0").select("host", F.col("host").alias("name"))  # a row a host: the registry itself
+    exact = B.numbered(hosts, "host").filter("ord % 3 = 0").select("host", F.col("host").alias("name"))
     aliases = hosts.select(F.split_part("host", F.lit("."), F.lit(1)).alias("label"), F.split_part("host", F.lit("."), F.lit(1)).alias("name"))
     return B.registered(hosts, exact, [("^a", "rule:a")], aliases).select("host", "basis", "owner")

@@ -25,10 +25,13 @@ def write_json_lines(rows: DataFrame, path: str, append: bool = False) -> None:
 
 
 def url_list(spark: SparkSession, path: str) -> DataFrame:
-    """url of the lines of a text file: comments after blank and # cut off, blank lines left out, the first of equals in order of line."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-    bare = lines.select("line", F.trim(F.regexp_replace("value", r"(^|\s)#.*$", "")).alias("url")).filter("url <> ''")
-    return bare.groupBy("url").agg(F.min("line").alias("line")).orderBy("line").select("url")
+    """url of the lines of a text file: comments after blank and # cut off, blank lines left out, the first of equals in order of line.
+
+    A long file is read in splits; a line's place is its split's start in the file, then its place in the split.
+    """
+    lines = spark.read.text(path).select(F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line")).alias("place"), "value")
+    bare = lines.select("place", F.trim(F.regexp_replace("value", r"(^|\s)#.*$|\r$", "")).alias("url")).filter("url <> ''")
+    return bare.groupBy("url").agg(F.min("place").alias("place")).orderBy("place").select("url")
 
 
 def registry(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -51,12 +54,27 @@ def evidence(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def checked_overwrite(rows: DataFrame, path: str, least_share: float = 0.8) -> int:
-    """Overwrite a JSON folder with rows, unless they are fewer than that share of what is there: then ValueError. Gives the number of rows."""
-    spark, n = rows.sparkSession, rows.count()
-    before = spark.read.text(path).count() if exists(spark, path) else 0
+    """Put rows in the place of a JSON folder, unless they are fewer than that share of the rows that are there: then ValueError. Gives the number of rows.
+
+    They are written beside it first and the folders change names afterwards, so a write that fails leaves what was there; rows may be read from the very folder.
+    """
+    spark = rows.sparkSession
+    fresh, old = f"{path.rstrip('/')}__new", f"{path.rstrip('/')}__old"
+    rows.write.mode("overwrite").json(fresh)
+    count = lambda folder: spark.read.schema(rows.schema).json(folder).count() if exists(spark, folder) else 0
+    n, before = count(fresh), count(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path
+    store = where(path).getFileSystem(spark._jsc.hadoopConfiguration())
     if n < least_share * before:
+        store.delete(where(fresh), True)
         raise ValueError(f"{n} rows would replace {before}")
-    rows.write.mode("overwrite").json(path)
+    store.delete(where(old), True)
+    if exists(spark, path) and not store.rename(where(path), where(old)):
+        raise OSError(f"{path} can't be moved away")
+    if not store.rename(where(fresh), where(path)):
+        store.rename(where(old), where(path))
+        raise OSError(f"{fresh} can't be moved to {path}")
+    store.delete(where(old), True)
     return n
 
 

@@ -7,51 +7,51 @@ from pyspark.sql import functions as F
 from gritstone.operators import bundles as B, journeys as J, validation as V
 from gritstone.sources.tables import bundles
 
-REF = [{"sourceId": "src:page", "evidence": "Bring the receipt of last year's tax.", "confidence": 0.9, "verificationStatus": "VERIFIED"}]
-DEMO = {
-    "id": "demo",
-    "sources": [{"id": "src:page", "url": "https://demo.example/permit", "title": "Permit"}],
+REF = [{"sourceId": "src:page", "evidence": "Every boat shows the policy that covers the season.", "confidence": 0.9, "verificationStatus": "VERIFIED"}]
+HARBOUR = {
+    "id": "harbour",
+    "sources": [{"id": "src:page", "url": "https://harbour.example/berth", "title": "Berths"}],
     "nodes": [
-        {"id": "service:permit", "type": "SERVICE", "name": "Tree permit", "sources": REF},
-        {"id": "document:receipt", "type": "DOCUMENT", "name": "Receipt", "sources": REF},
-        {"id": "document:deed", "type": "DOCUMENT", "name": "Deed", "sources": REF},
-        {"id": "document:card", "type": "DOCUMENT", "name": "Card", "sources": REF},
-        {"id": "document:proof", "type": "DOCUMENT_GROUP", "name": "Proof", "sources": REF},
-        {"id": "payment:fee", "type": "PAYMENT", "name": "Fee", "sources": REF},
-        {"id": "portal:web", "type": "PORTAL", "name": "Portal", "sources": REF},
-        {"id": "eligibility:adult", "type": "ELIGIBILITY", "name": "Adult", "sources": REF, "metadata": {"rule": {"field": "age", "operator": "GTE", "value": 18}, "blockedBy": "CITIZEN"}},
+        {"id": "service:berth", "type": "SERVICE", "name": "A berth for the season", "sources": REF},
+        {"id": "document:policy", "type": "DOCUMENT", "name": "Insurance policy", "sources": REF},
+        {"id": "document:crewlist", "type": "DOCUMENT", "name": "Crew list", "sources": REF},
+        {"id": "document:skipper", "type": "DOCUMENT", "name": "Skipper's licence", "sources": REF},
+        {"id": "document:crew", "type": "DOCUMENT_GROUP", "name": "Who sails", "sources": REF},
+        {"id": "payment:dues", "type": "PAYMENT", "name": "Harbour dues", "sources": REF},
+        {"id": "portal:quay", "type": "PORTAL", "name": "Quay office online", "sources": REF},
+        {"id": "eligibility:of_age", "type": "ELIGIBILITY", "name": "Of age", "sources": REF, "metadata": {"rule": {"field": "age", "operator": "GTE", "value": 18}, "blockedBy": "CITIZEN"}},
     ],
     "edges": [
-        {"id": "e:1", "from": "service:permit", "to": "document:receipt", "type": "REQUIRES", "verificationStatus": "VERIFIED", "sources": REF},
-        {"id": "e:2", "from": "service:permit", "to": "payment:fee", "type": "REQUIRES", "condition": {"field": "age", "operator": "LT", "value": 60}, "sources": REF},
-        {"id": "e:3", "from": "service:permit", "to": "portal:web", "type": "APPLY_AT", "sources": REF},
-        {"id": "e:4", "from": "service:permit", "to": "eligibility:adult", "type": "REQUIRES", "sources": REF},
-        {"id": "e:5", "from": "service:permit", "to": "document:proof", "type": "REQUIRES", "sources": REF},
+        {"id": "e:1", "from": "service:berth", "to": "document:policy", "type": "REQUIRES", "verificationStatus": "VERIFIED", "sources": REF},
+        {"id": "e:2", "from": "service:berth", "to": "payment:dues", "type": "REQUIRES", "condition": {"field": "age", "operator": "LT", "value": 60}, "sources": REF},
+        {"id": "e:3", "from": "service:berth", "to": "portal:quay", "type": "APPLY_AT", "sources": REF},
+        {"id": "e:4", "from": "service:berth", "to": "eligibility:of_age", "type": "REQUIRES", "sources": REF},
+        {"id": "e:5", "from": "service:berth", "to": "document:crew", "type": "REQUIRES", "sources": REF},
     ],
-    "requirementGroups": [{"id": "rg:proof", "ownerNodeId": "document:proof", "mode": "ANY_OF", "members": [{"nodeId": "document:deed"}, {"nodeId": "document:card"}], "sources": REF}],
-    "questions": [{"field": "age", "label": "How old are you?", "inputType": "NUMBER"}],
+    "requirementGroups": [{"id": "rg:crew", "ownerNodeId": "document:crew", "mode": "ANY_OF", "members": [{"nodeId": "document:crewlist"}, {"nodeId": "document:skipper"}], "sources": REF}],
+    "questions": [{"field": "age", "label": "How old is the skipper?", "inputType": "NUMBER"}],
 }
-PACK = {"id": "pack", "nodes": [{"id": "grievance:desk", "type": "GRIEVANCE_CHANNEL", "name": "Desk"}], "edges": [], "sources": [], "requirementGroups": [], "questions": [], "edgeTemplates": [{"id": "e:*_escalate*", "from": "*", "to": "grievance:desk", "type": "ESCALATE_TO"}]}
+PACK = {"id": "pack", "nodes": [{"id": "grievance:master", "type": "GRIEVANCE_CHANNEL", "name": "Harbour master"}], "edges": [], "sources": [], "requirementGroups": [], "questions": [], "edgeTemplates": [{"id": "e:*_escalate*", "from": "*", "to": "grievance:master", "type": "ESCALATE_TO"}]}
 
 
 def test_a_bundle_from_file_to_journey(spark, tmp_path):
-    for name, text in (("demo", DEMO), ("a_pack", PACK), ("jurisdictions", [])):
+    for name, text in (("harbour", HARBOUR), ("a_pack", PACK), ("jurisdictions", [])):
         (tmp_path / f"{name}.json").write_text(json.dumps(text, indent=1))
     g = B.graph_tables(bundles(spark, str(tmp_path)))
-    assert {r.id: (r.src, r.type) for r in g["edges"].collect() if r.id.startswith("e:s")} == {"e:service:permit_escalate*": ("service:permit", "ESCALATE_TO")}
+    assert {r.id: (r.src, r.type) for r in g["edges"].collect() if r.id.startswith("e:s")} == {"e:service:berth_escalate*": ("service:berth", "ESCALATE_TO")}
     assert [tuple(r) for r in g["questions"].select("field", "inputType").collect()] == [("age", "NUMBER")]
     places = spark.createDataFrame([("XX", None, "COUNTRY")], "id string, parent_id string, level string")
     faults = V.graph_issues(g["nodes"], g["edges"], g["groups"], g["members"], g["sources"], g["refs"], places).collect()
     assert [(r.code, r.subject) for r in faults if r.severity == "ERROR"] == []
-    asked = spark.createDataFrame([("young", "service:permit", ["XX"], {"age": "30"}), ("old", "service:permit", ["XX"], {"age": "70"}), ("mute", "service:permit", ["XX"], {})], "request_id string, goal string, chain array<string>, facts map<string,string>")
-    held = J.held_closure(asked, spark.createDataFrame([("old", "document:card")], "request_id string, node string"), g["groups"], g["members"])
+    asked = spark.createDataFrame([("young", "service:berth", ["XX"], {"age": "30"}), ("old", "service:berth", ["XX"], {"age": "70"}), ("mute", "service:berth", ["XX"], {})], "request_id string, goal string, chain array<string>, facts map<string,string>")
+    held = J.held_closure(asked, spark.createDataFrame([("old", "document:skipper")], "request_id string, node string"), g["groups"], g["members"])
     reached, used = J.expand(asked, g["nodes"], g["edges"], g["groups"], g["members"], held, F.lit("2024-01-01").cast("date"))
     got = {}
     for r in reached.collect():
         got.setdefault(r.request_id, set()).add(r.node.split(":")[1])
-    assert got["young"] == {"permit", "receipt", "fee", "adult", "proof", "deed", "card"} and got["old"] == {"permit", "receipt", "adult", "proof"} and got["mute"] == got["young"] - {"fee"}
+    assert got["young"] == {"berth", "policy", "dues", "of_age", "crew", "crewlist", "skipper"} and got["old"] == {"berth", "policy", "of_age", "crew"} and got["mute"] == got["young"] - {"dues"}
     assert [(r.request_id, r.id, r.pending) for r in used.filter("truth is null").collect()] == [("mute", "e:2", ["age"])]
     layers = {(r.request_id, r.node): r.layer for r in J.layered(reached.withColumn("ord", F.col("node")), J.order_pairs(used)).collect()}
-    assert layers["young", "payment:fee"] < layers["young", "service:permit"] and layers["young", "document:deed"] < layers["young", "document:proof"] < layers["young", "service:permit"]
+    assert layers["young", "payment:dues"] < layers["young", "service:berth"] and layers["young", "document:crewlist"] < layers["young", "document:crew"] < layers["young", "service:berth"]
     tied = J.attached(reached, asked, g["nodes"], g["edges"], ["APPLY_AT", "ESCALATE_TO"], places.select("id", F.col("id").alias("ancestor_id")), F.lit("2024-01-01").cast("date"))
-    assert {(r.dst, r.type) for r in tied.collect()} == {("portal:web", "APPLY_AT"), ("grievance:desk", "ESCALATE_TO")}
+    assert {(r.dst, r.type) for r in tied.collect()} == {("portal:quay", "APPLY_AT"), ("grievance:master", "ESCALATE_TO")}
