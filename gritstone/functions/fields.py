@@ -165,9 +165,24 @@ def redacted(text: Column) -> Column:
     return text
 
 
+#: Words for setting rules aside and for rules, for telling and for what isn't told, and for other people; English, Hindi and Gujarati, the latter two in Latin letters too.
+_FORGET = r"\b(ignore|forget|disregard|bypass|override|skip|bhool|bhul|bhuli|chhodo|andekha)\b|भूल|अनदेखा|नज़रअंदाज़|ભૂલી|અવગણ"
+_RULES = r"\b(instructions?|rules|guidelines|guardrails?|restrictions?|system prompt|niyam|nirdesh)\b|निर्देश|नियम|સૂચના|નિયમ"
+_TELL = r"\b(tell|show|reveal|print|give|leak|dump|repeat|output|batao|bata|dikhao|batavo|aapo)\b|बताओ|बताइए|दिखाओ|दो|બતાવો|જણાવો|આપો"
+_SECRET = r"\b(system prompt|hidden prompt|your prompt|api ?keys?|secret keys?|access tokens?|environment variables?|env vars?|your instructions)\b|सिस्टम प्रॉम्प्ट|सिस्टम प्रॉम्प्ट|एपीआई की|સિસ્ટમ પ્રોમ્પ્ટ|એપીઆઈ કી"
+_OTHERS = r"\b(previous|last|other|another|earlier) (caller|user|citizen|person|customer)('s)?\b|\b(pichle|pichhle|dusre|agla) (caller|user|aadmi)\b|पिछले कॉलर|दूसरे (कॉलर|व्यक्ति|यूज़र)|અગાઉના કૉલર|બીજા (કૉલર|વપરાશકર્તા)"
+_QUERY = r"\bselect\b.{1,60}\bfrom\b.{0,20}\b[a-z]+_[a-z]+|\b(drop|truncate|alter) table\b|\b(run|execute) (this |the )?(sql|query|command|code)\b|\bunion select\b"
+_NEAR = r"[^.!?\n]{0,60}"
+
+
+def _together(a: str, b: str) -> str:
+    """Two kinds of words in one clause, in either order: a verb stands after its object in half of these languages."""
+    return f"({a}){_NEAR}({b})|({b}){_NEAR}({a})"
+
+
 #: Patterns of inputs that try to take over, and of those that are only odd.
-REFUSED = r"(?i)ignore (all |any )?(the )?(previous|prior|above) (instructions|rules)|system prompt|you are now|reveal (your|the) (instructions|prompt)|\bjailbreak\b"
-FLAGGED = r"(?i)\bpretend\b|\bact as\b|developer mode|<\|[a-z_]+\|>|base64"
+REFUSED = f"(?i){_together(_FORGET, _RULES)}|{_together(_TELL, _SECRET)}|{_OTHERS}|{_QUERY}|\\byou are now\\b|\\bjailbreak\\b"
+FLAGGED = r"(?i)\bpretend\b|\bact as\b|developer mode|<\|[a-z_]+\|>|base64|\bi am (the |an? )?(admin|administrator|developer|owner)\b|\bunlock everything\b|\b(increase|raise|remove) my\b.{0,20}\blimit|environment variables?|system prompt"
 
 
 def verdict(text: Column) -> Column:
