@@ -82,8 +82,7 @@ def fold(word: Column, table: Column, buckets: int) -> Column:
         """Join the two pieces at the least rank and look up the pairs on either side anew."""
         parts, ranks = state["parts"], state["ranks"]
 
-        def joined(i: Column) -> Column:  # i: 0-based place of the left piece
-            both = F.concat(at(parts, i), at(parts, i + 1))
+        def joined(i: Column, both: Column) -> Column:  # i: 0-based place of the left piece
             before = F.when(i > 0, F.array(rank(F.concat(at(parts, i - 1), both)))).otherwise(F.array().cast("array<int>"))
             after = F.when(i + 2 < F.size(parts), F.array(rank(F.concat(both, at(parts, i + 2))))).otherwise(F.array().cast("array<int>"))
             return F.struct(
@@ -91,18 +90,21 @@ def fold(word: Column, table: Column, buckets: int) -> Column:
                 F.concat(F.slice(ranks, 1, F.greatest(i - 1, F.lit(0))), before, after, F.slice(ranks, i + 3, F.size(ranks) + 1)).alias("ranks"),
             )
 
-        least = F.array_min(ranks)
-        return F.when((F.size(ranks) > 0) & (least < NONE), _let((F.array_position(ranks, least) - 1).cast("int"), joined)).otherwise(state)
+        least = state["least"]
+        return F.when(least < NONE, _let((F.array_position(ranks, least) - 1).cast("int"), lambda i: _let(F.concat(at(parts, i), at(parts, i + 1)), lambda both: whole_state(joined(i, both))))).otherwise(state)
+
+    def whole_state(new: Column) -> Column:
+        """The least rank is found once for each merge and kept, so that steps after the last merge look at one number only."""
+        return _let(new, lambda s: F.struct(s["parts"].alias("parts"), s["ranks"].alias("ranks"), F.coalesce(F.array_min(s["ranks"]), F.lit(NONE)).alias("least")))
 
     def pieces(parts: Column) -> Column:
         n = F.size(parts)
         pairs = F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), lambda i: rank(F.concat(at(parts, i), at(parts, i + 1))))).otherwise(F.array().cast("array<int>"))
-        start = F.struct(parts.alias("parts"), pairs.alias("ranks"))
+        start = whole_state(F.struct(parts.alias("parts"), pairs.alias("ranks")))
         steps = F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))
         return F.transform(F.aggregate(steps, start, lambda state, _: merge(state))["parts"], rank)
 
-    whole = rank(word)
-    return F.when(whole < NONE, F.array(whole)).otherwise(_let(F.split(word, ""), pieces))
+    return _let(rank(word), lambda whole: F.when(whole < NONE, F.array(whole)).otherwise(_let(F.split(word, ""), pieces)))
 
 
 class Cuts:
