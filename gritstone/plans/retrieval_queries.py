@@ -13,11 +13,16 @@ from gritstone.sources.tables import cut, table
 from .catalogue import query
 from .text_queries import _TOKENS
 
-_HITS = f"""WITH own AS (SELECT doc_id, source, lang, {_TOKENS.format('text')} AS words FROM documents), term AS (SELECT DISTINCT doc_id, source, lang, unnest(words) AS term FROM own),
- part AS (SELECT item_id, half, unnest(list_distinct(CASE half WHEN 'head' THEN words[1:6] ELSE words[7:] END)) AS term FROM (SELECT item_id, {_TOKENS.format('text')} AS words FROM benchmark), (SELECT unnest(['head', 'tail']) AS half)),
- hit AS (SELECT item_id, half, doc_id, count(*) AS score FROM part JOIN term USING (term) GROUP BY ALL HAVING count(*) >= 3),
+#: Words that every question brings along; a passage needs one of the others.
+_COMMON = "the and of to in is that for on with as are at be this by an it or from de la le et les en der die und das".split()
+#: Where a document lies, in SQL that both engines read; an item's own pages are those whose number ends as its own does, on its own host.
+_HOST, _URL = "source || '.' || lang || '.example'", "'https://' || source || '.' || lang || '.example/' || doc_id"
+
+_HITS = f"""WITH own AS (SELECT doc_id, {_TOKENS.format('text')} AS words, {_TOKENS.format("split_part(text, chr(10), 1)")} AS heading, {_URL} AS url, {_HOST} AS host FROM documents), term AS (SELECT DISTINCT doc_id, unnest(words) AS term FROM own),
+ item AS (SELECT item_id, {_TOKENS.format('text')} AS iw FROM benchmark), part AS (SELECT item_id, half, unnest(list_distinct(CASE half WHEN 'head' THEN iw[1:6] ELSE iw[7:] END)) AS term FROM item, (SELECT unnest(['head', 'tail']) AS half)),
+ hit AS (SELECT item_id, half, doc_id, count(*) AS score FROM part JOIN term USING (term) GROUP BY ALL HAVING count(*) >= 3 AND bool_or(NOT list_contains({_COMMON!r}, term))),
  best AS (SELECT item_id, doc_id, max(score) AS score, arg_min(half, (-score, half)) AS query, bool_or(half = 'head' AND score = 6) AS whole FROM hit GROUP BY ALL),
- topical AS (SELECT b.*, CASE WHEN item_id % 5 = length(source) % 5 THEN 1 ELSE 0 END AS topical FROM best b JOIN documents USING (doc_id)),
+ topical AS (SELECT b.*, CASE WHEN o.doc_id % 100 = item_id % 100 AND len(host) % 5 = item_id % 5 THEN 3 WHEN list_has_all(heading, iw[1:2]) OR list_has_all(heading, iw[3:4]) THEN 2 WHEN list_has_all({_TOKENS.format('url')}, iw[1:2]) OR list_has_all({_TOKENS.format('url')}, iw[3:4]) OR host = 'src' || (item_id % 20) || '.en.example' THEN 1 ELSE 0 END AS topical FROM best b JOIN own o USING (doc_id) JOIN item USING (item_id)),
  few AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY whole DESC, topical DESC, score DESC, doc_id) AS rank FROM topical QUALIFY rank <= 30)
 """
 
@@ -26,14 +31,20 @@ def _shortlists(spark: SparkSession, d: str) -> DataFrame:
     docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
     words = T.tokens(F.col("text"))
     halves = items.select("item_id", F.explode(F.array(F.struct(F.lit("head").alias("query"), F.slice(words, 1, 6).alias("w")), F.struct(F.lit("tail").alias("query"), F.slice(words, 7, 1 << 30).alias("w")))).alias("q"))
-    asked = halves.select("item_id", "q.query", F.explode(F.array_distinct("q.w")).alias("term"))
-    own = docs.select("doc_id", "source", F.explode(F.array_distinct(words)).alias("term"))
-    hits = own.join(light(asked), "term").groupBy("item_id", "query", "doc_id").agg(F.count("*").alias("score"), F.first("source").alias("source")).filter("score >= 3")
-    told = hits.select(
-        F.col("item_id").alias("question_id"), "query", F.col("doc_id").alias("chunk_id"), "score", ((F.col("query") == "head") & (F.col("score") == 6)).alias("whole"),
-        F.when(F.col("item_id") % 5 == F.length("source") % 5, 1).otherwise(0).alias("topical"),
-    )
-    return R.retrieved(items.select(F.col("item_id").alias("question_id")), told)
+    asked = halves.select("item_id", "q.query", F.explode(F.array_distinct("q.w")).alias("term")).withColumn("anchor", ~F.col("term").isin(_COMMON))
+    own = docs.select("doc_id", F.explode(F.array_distinct(words)).alias("term"))
+    hits = own.join(light(asked), "term").groupBy("item_id", "query", "doc_id").agg(F.count("*").alias("score"), F.bool_or("anchor").alias("anchored")).filter("score >= 3 and anchored")
+    # where what was found lies, and what its services' own pages, hosts and phrases are
+    lies = docs.select("doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("heading"), F.expr(_URL).alias("url"), F.expr(_HOST).alias("host"))
+    phrases = items.select("item_id", F.array(F.slice(words, 1, 2), F.slice(words, 3, 2)).alias("phrases"))
+    k, own_page = F.col("item_id"), F.col("doc_id") % 100 == F.col("item_id") % 100
+    own_urls = F.when(own_page & (F.length("host") % 5 == k % 5), F.array("url")).otherwise(F.array().cast("array<string>"))
+    own_hosts = F.array(F.concat(F.lit("src"), k % 20, F.lit(".en.example")))
+    told = hits.join(lies, "doc_id").join(light(phrases), "item_id").select(
+        k.alias("question_id"), "query", F.col("doc_id").alias("chunk_id"), "score", ((F.col("query") == "head") & (F.col("score") == 6)).alias("whole"),
+        R.topicality(F.col("heading"), F.col("url"), F.col("host"), F.col("phrases"), own_urls, own_hosts).alias("topical"),
+    )
+    return R.retrieved(items.select(k.alias("question_id")), told)
 
 
 @query(_HITS + "SELECT item_id, doc_id, score, query, whole, topical, rank, CASE WHEN doc_id IS NULL THEN 'NO_EVIDENCE_FOUND' ELSE 'FOUND' END AS status FROM (SELECT item_id FROM benchmark) LEFT JOIN few USING (item_id)")
