@@ -316,3 +316,16 @@ def jaccard_join(docs: DataFrame, least: int = 80) -> DataFrame:
 
 def op11_tiled_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Every pair of distinct sets of fitting sizes that shares a shingle, counted, and what their links reach.
+ORACLE_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ s AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+ k AS MATERIALIZED (SELECT doc_id, len(s) AS n, hash(list_sort(s)) AS h FROM s),
+ r AS MATERIALIZED (SELECT h, min(doc_id) AS doc_id, any_value(n) AS n FROM k WHERE n > 0 GROUP BY h),
+ e AS MATERIALIZED (SELECT doc_id, n, md5_number_lower(unnest(s)) AS x FROM s JOIN r USING (doc_id)),
+ l AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id AND a.n * 100 >= 80 * b.n AND b.n * 100 >= 80 * a.n GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+ t AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+ c(id, r) AS (SELECT doc_id, doc_id FROM r UNION SELECT c.id, t.b FROM c JOIN t ON t.a = c.r),
+ m AS (SELECT id, min(r) AS component_id FROM c GROUP BY id)
+SELECT k.doc_id, k.n AS n_shingles, coalesce(m.component_id, k.doc_id) AS component_id FROM k LEFT JOIN r ON r.h = k.h AND k.n > 0 LEFT JOIN m ON m.id = r.doc_id"""

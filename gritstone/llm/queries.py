@@ -27,6 +27,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import url_lists, vector_codes
+    from . import jaccard_join, url_lists, vector_codes
 
-    return {"op10_temporal_url_lists": url_lists.ORACLE_SQL, "op12_laesa_vector_codes": vector_codes.ORACLE_SQL}
+    return {"op10_temporal_url_lists": url_lists.ORACLE_SQL, "op11_tiled_jaccard_join": jaccard_join.ORACLE_SQL, "op12_laesa_vector_codes": vector_codes.ORACLE_SQL}

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -49,6 +50,13 @@ def test_given_documents(spark, sf):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_join(df).collect()} == brute(rows)
 
 
+def test_same_as_sql(spark, sf):
+    con = duckdb.connect()
+    con.sql(f"create view documents as from '{sf}/documents.parquet'")
+    want = sorted(con.sql(f"select doc_id, n_shingles, component_id from ({J.ORACLE_SQL})").fetchall())
+    assert sorted(tuple(r) for r in J.op11_tiled_jaccard_join(spark, sf).collect()) == want
+
+
 def test_exact_borders_common_passages_and_edited_copies(spark, monkeypatch):
     """Pairs at, just over and just under the threshold; a passage that most texts hold; copies of a common original that link with each other but not with it."""
     monkeypatch.setattr(J, "GATHERED", 3000)
