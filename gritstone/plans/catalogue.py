@@ -23,7 +23,7 @@ def query(sql: str | None = None) -> Callable:
 
 
 def queries() -> dict:
-    from . import admission_queries, assembly_queries, bundle_queries, claim_queries, depth_queries, event_queries, field_queries, gate_queries, graph_queries, journey_queries, layout_queries, ledger_queries, naming_queries, placement_queries, report_queries, retrieval_queries, site_queries, text_queries, validation_queries  # noqa: F401
+    from . import admission_queries, assembly_queries, bundle_queries, claim_queries, depth_queries, event_queries, field_queries, gate_queries, graph_queries, journey_queries, layout_queries, ledger_queries, naming_queries, office_queries, placement_queries, report_queries, retrieval_queries, site_queries, text_queries, validation_queries  # noqa: F401
 
     return dict(QUERIES)
 
