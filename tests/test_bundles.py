@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import json
+import random
+from itertools import pairwise
 
 from pyspark.sql import functions as F
 
@@ -55,3 +57,21 @@ def test_a_bundle_from_file_to_journey(spark, tmp_path):
     assert layers["young", "payment:dues"] < layers["young", "service:berth"] and layers["young", "document:crewlist"] < layers["young", "document:crew"] < layers["young", "service:berth"]
     tied = J.attached(reached, asked, g["nodes"], g["edges"], ["APPLY_AT", "ESCALATE_TO"], places.select("id", F.col("id").alias("ancestor_id")), F.lit("2024-01-01").cast("date"))
     assert {(r.dst, r.type) for r in tied.collect()} == {("portal:quay", "APPLY_AT"), ("grievance:master", "ESCALATE_TO")}
+
+
+def test_passages_are_slices_that_leave_nothing_out():
+    from gritstone.functions.chunks import JUNK, edges, passages
+
+    rnd = random.Random(7)
+    lines = ["# Head", "**Bold thing:**", "Step 1: do", "What is it for now?", "Title Words Here", "", "   ", "| a | b |", "| c |", "plain text. " * 20, "x" * 250, "word " * 700, "A short. ", "12) item"]
+    for _ in range(300):
+        page = "\n".join(rnd.choice(lines) for _ in range(rnd.randrange(1, 30)))
+        most, least = rnd.choice([(1500, 200), (100, 30)])
+        found, starts = passages(page, most, least), {0, *(at for at, _ in edges(page, most, least)[0])}
+        assert all(a < b and a in starts and (b in starts or b == len(page)) for a, b, _ in found)
+        assert all(x[1] <= y[0] for x, y in pairwise(found))
+        gaps = [page[x:y] for x, y in pairwise([0, *(e for a, b, _ in found for e in (a, b)), len(page)])][::2]
+        assert all(not g.strip() or JUNK.search(g) for g in gaps) and not any(JUNK.search(page[a:b]) for a, b, _ in found)
+        rows = page.split("\n")
+        tables = [sum(len(r) + 1 for r in rows[:k]) for k in range(1, len(rows)) if rows[k].startswith("|") and rows[k - 1].startswith("|")]
+        assert not {a for a, _, _ in found} & set(tables)  # a table stays whole
