@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from gritstone.sources.tables import cut
+from gritstone.sources.tables import cut, latest
 
 
 def closure(tree: DataFrame) -> DataFrame:
@@ -20,6 +20,13 @@ def closure(tree: DataFrame) -> DataFrame:
     return found
 
 
+def parents_first(rows: DataFrame, key: str, parent: str, *order: str) -> DataFrame:
+    """rows, the first of each key by `order`, with level: how many rows of the table stand above one, so that whoever writes level by level never writes a child before its parent. A parent that isn't there counts as none."""
+    one = latest(rows, [key], [F.col(c) for c in order])
+    depth = closure(one.select(F.col(key).alias("id"), F.col(parent).alias("parent_id"))).groupBy(F.col("id").alias(key)).agg(F.max("distance").alias("level"))
+    return one.join(depth, key)
+
+
 def resolved(asked: DataFrame, places: DataFrame) -> DataFrame:
     """request_id, scope, level of asked(request_id, names): how deep places(id, parent_id, name) knows the names, from the top.
 
