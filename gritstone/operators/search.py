@@ -33,14 +33,8 @@ def few(df: DataFrame, column: str) -> list | None:
     return told if len(told) <= LITERALS else None
 
 
-def bm25(docs: DataFrame, queries: DataFrame, keep: Column | None = None) -> DataFrame:
-    """item_id, doc_id, score of every document that has a term of the query.
-
-    Terms of a query count once. `keep` drops documents before scoring, while document
-    frequencies, lengths and counts stay those of all documents. Documents are read once: each
-    leaves its length and the counts of the terms that are asked for.
-    """
-    asked = queries.select("item_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+def _weighed(docs: DataFrame, asked: DataFrame, keep: Column | None) -> DataFrame:
+    """doc_id, term, part: what each asked term adds to a kept document's score. Document frequencies, lengths and counts are those of all documents, which are read once."""
     terms = few(asked, "term")
     words = tokens(F.col("text"))
     own = F.filter(words, lambda w: w.isin(terms)) if terms is not None else words
@@ -53,8 +47,48 @@ def bm25(docs: DataFrame, queries: DataFrame, keep: Column | None = None) -> Dat
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
     own = (lambda x: F.broadcast(x)) if terms is not None else (lambda x: x)  # at most LITERALS terms
-    weighed = found.filter("keep").join(own(df), "term").crossJoin(F.broadcast(total))  # total is one row
-    return weighed.withColumn("part", part).join(light(asked), "term").groupBy("item_id", "doc_id").agg(F.sum("part").alias("score"))
+    return found.filter("keep").join(own(df), "term").crossJoin(F.broadcast(total)).select("doc_id", "term", part.alias("part"))  # total is one row
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select("item_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, keep: Column | None = None) -> DataFrame:
+    """item_id, doc_id, score of every document that has a term of the query.
+
+    Terms of a query count once. `keep` drops documents before scoring, while document
+    frequencies, lengths and counts stay those of all documents.
+    """
+    asked = _asked(queries)
+    return _weighed(docs, asked, keep).join(light(asked), "term").groupBy("item_id", "doc_id").agg(F.sum("part").alias("score"))
+
+
+def bm25_top(docs: DataFrame, queries: DataFrame, k: int, keep: Column | None = None, seeds: int = 4) -> DataFrame:
+    """item_id, doc_id, score, rank: what ranked(bm25(...), k) gives, without scoring documents that can't be among the k best.
+
+    Each term has a greatest part, over all documents. The `seeds` strongest terms of a query give k documents a
+    score that the k-th best can't be below. Terms whose greatest parts together stay below that can't bring a document
+    in by themselves, and common words are among them: only documents with one of the others become candidates, are dropped
+    if what they have and all the weak terms together can't reach, and get their weak terms looked up one by one.
+    """
+    asked = _asked(queries)
+    weighed = cut(_weighed(docs, asked, keep))
+    most = weighed.groupBy("term").agg(F.max("part").alias("most"))
+    own = asked.join(light(cut(most)), "term")  # terms that no document has are gone
+    by_query = Window.partitionBy("item_id").orderBy(F.desc("most"), "term")  # a query's terms
+    own = cut(own.withColumn("n", F.row_number().over(by_query)).withColumn("from_here", F.sum("most").over(by_query.rowsBetween(0, Window.unboundedFollowing))))
+    sums = lambda terms: weighed.join(light(terms), "term").groupBy("item_id", "doc_id").agg(F.sum("part").alias("score"))
+    seeded = sums(own.filter(F.col("n") <= seeds).select("item_id", "term"))
+    floor = seeded.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score")))).filter(F.col("r") == k).select("item_id", (F.col("score") - 1e-4).alias("floor"))
+    told = own.join(light(cut(floor)), "item_id", "left").withColumn("strong", F.coalesce(F.col("from_here") >= F.col("floor"), F.lit(True)))
+    told = cut(told.select("item_id", "term", "most", "floor", "strong"))
+    strong, weak = told.filter("strong").select("item_id", "term"), told.filter("not strong")
+    reach = told.groupBy("item_id").agg(F.first("floor").alias("floor"), F.coalesce(F.sum(F.when(~F.col("strong"), F.col("most"))), F.lit(0.0)).alias("rest"))
+    near = cut(sums(strong).join(light(reach), "item_id").filter("floor is null or score + rest >= floor").select("item_id", "doc_id", "score"))
+    looked = near.select("item_id", "doc_id").join(light(weak.select("item_id", "term")), "item_id").join(weighed, ["doc_id", "term"])
+    added = looked.groupBy("item_id", "doc_id").agg(F.sum("part").alias("more"))
+    return ranked(near.join(added, ["item_id", "doc_id"], "left").select("item_id", "doc_id", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score")), k)
 
 
 def ranked(scores: DataFrame, k: int) -> DataFrame:

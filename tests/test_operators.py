@@ -1,11 +1,12 @@
 from __future__ import annotations
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from gritstone.functions import text as T
-from gritstone.operators import conditions as C, graphs
+from gritstone.operators import conditions as C, graphs, search
 from gritstone.sources import tables
 
 AGE = {"field": "age", "operator": "GTE", "value": 18}
@@ -65,3 +66,17 @@ def test_bundles_and_ledgers(spark, tmp_path):
     assert [tuple(r) for r in got] == [("demo", "A", "b")]
     (tmp_path / "l.jsonl").write_text('{"k": 1, "v": "a", "t": 1}\nbroken\n{"k": 1, "v": "b", "t": 2}\n')
     assert [(r.k, r.v) for r in tables.ledger(spark, str(tmp_path / "l.jsonl"), "k int, v string, t int", "k", "t").collect()] == [(1, "b")]
+
+
+def test_bounded_top_same_as_full_ranking(spark):
+    rnd = random.Random(9)
+    words = [f"w{k}" for k in range(60)]
+    weights = [60 / (k + 1) for k in range(60)]
+    text = lambda n: " ".join(rnd.choices(words, weights, k=n))
+    docs = spark.createDataFrame([(k, text(rnd.randrange(1, 40)), k % 3 == 0) for k in range(150)] + [(900, None, True), (901, "", False)], "doc_id int, text string, odd boolean")
+    queries = spark.createDataFrame([(k, text(rnd.randrange(1, 15))) for k in range(12)] + [(90, "nowhere to be found"), (91, None)], "item_id int, text string")
+    told = lambda df: sorted((r.item_id, r.doc_id, r["rank"], round(r.score, 6)) for r in df.collect())
+    for k in (1, 5, 500):
+        for keep in (None, F.col("odd")):
+            assert told(search.bm25_top(docs, queries, k, keep, seeds=2)) == told(search.ranked(search.bm25(docs, queries, keep), k))
+    assert search.bm25_top(docs.limit(0), queries, 3).collect() == []
