@@ -86,21 +86,21 @@ def q_case_pages(spark: SparkSession, d: str) -> DataFrame:
     return R.read(listed, pages)
 
 
-_JUDGED = f"""WITH l AS (SELECT l_suppkey AS case_id, {_SAID} AS t, 'Permit ' || (l_partkey % 4) AS permission, CASE WHEN l_partkey % 3 = 0 THEN 'p' || (l_partkey % 4) END AS pid, 'h' || (l_orderkey % 3) AS host, CASE WHEN l_suppkey % 5 = 0 THEN '' WHEN l_suppkey % 5 = 1 THEN 'Over 5' WHEN l_linenumber % 2 = 0 THEN 'over  10 t' ELSE 'Over 10 T' END AS trigger, l_orderkey * 10 + l_linenumber AS pos FROM lineitem WHERE l_suppkey % 7 > 0),
+_JUDGED = f"""WITH l AS (SELECT l_suppkey AS case_id, {_SAID} AS t, 'Permit ' || (l_partkey % 4) AS permission, CASE WHEN l_partkey % 3 = 0 THEN 'p' || (l_partkey % 4) END AS pid, 'h' || (l_orderkey % 3) AS host, CASE WHEN l_suppkey % 5 = 0 THEN '' WHEN l_suppkey % 5 = 1 THEN 'Over 5' WHEN l_linenumber % 2 = 0 THEN 'over  10 t' ELSE 'Over 10 T' END AS trigger, l_orderkey * 10 + l_linenumber AS pos FROM lineitem),
  k AS (SELECT * FROM l WHERE length(t) >= 40 AND len(string_split_regex(t, '\\s+')) >= 8 AND regexp_matches(t, {_q(S.RULE_MARKER)}) AND NOT regexp_matches(t, {_q(S.FORM_ROW)}) AND NOT contains(t, '|') AND NOT (len(regexp_extract_all(lower(t), '[a-z]{{4,}}')) >= 8 AND len(list_distinct(regexp_extract_all(lower(t), '[a-z]{{4,}}'))) / len(regexp_extract_all(lower(t), '[a-z]{{4,}}')) < 0.65)),
  e AS (SELECT case_id, coalesce(pid, lower(permission)) AS key, count(DISTINCT host) >= 2 AND count(DISTINCT nullif(trim(regexp_replace(lower(trigger), '\\s+', ' ', 'g')), '')) > 1 AS bad FROM k GROUP BY 1, 2), b AS (SELECT case_id, count(*) FILTER (bad) AS conflicts FROM e GROUP BY 1),
  a AS (SELECT case_id, count(*) AS claims, bool_or(trigger <> '') AS conditional FROM k GROUP BY 1), p AS (SELECT case_id, string_agg(permission, '|' ORDER BY mp, permission) AS permissions FROM (SELECT case_id, permission, min(pos) AS mp FROM k GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY min(pos), permission) <= 12) GROUP BY 1),
- j AS (SELECT s_suppkey AS case_id, CASE WHEN claims IS NULL THEN 'UNVERIFIED' WHEN conflicts > 0 THEN 'CONFLICTING' WHEN conditional THEN 'VERIFIED' ELSE 'EXTRACTED_PENDING_REVIEW' END AS status, coalesce(claims, 0) AS claims, coalesce(conflicts, 0) AS conflicts, coalesce(permissions, '') AS permissions FROM supplier LEFT JOIN a ON a.case_id = s_suppkey LEFT JOIN b ON b.case_id = s_suppkey LEFT JOIN p ON p.case_id = s_suppkey)"""
+ j AS (SELECT c_custkey AS case_id, CASE WHEN claims IS NULL THEN 'UNVERIFIED' WHEN conflicts > 0 THEN 'CONFLICTING' WHEN conditional THEN 'VERIFIED' ELSE 'EXTRACTED_PENDING_REVIEW' END AS status, coalesce(claims, 0) AS claims, coalesce(conflicts, 0) AS conflicts, coalesce(permissions, '') AS permissions FROM customer LEFT JOIN a ON a.case_id = c_custkey LEFT JOIN b ON b.case_id = c_custkey LEFT JOIN p ON p.case_id = c_custkey)"""
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("l_suppkey")
     trigger = F.when(k % 5 == 0, "").when(k % 5 == 1, "Over 5").when(F.col("l_linenumber") % 2 == 0, "over  10 t").otherwise("Over 10 T")
-    claims = table(spark, d, "lineitem").filter(k % 7 > 0).select(
+    claims = table(spark, d, "lineitem").select(
         k.alias("case_id"), F.expr(_SAID).alias("evidence"), F.concat(F.lit("Permit "), F.col("l_partkey") % 4).alias("permission"), F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit("p"), F.col("l_partkey") % 4)).alias("permission_id"),
         F.concat(F.lit("h"), F.col("l_orderkey") % 3).alias("host"), F.lit("https://lake.gujarat.gov.in/r").alias("source_url"), trigger.alias("trigger"), F.lit("").alias("exemption"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"),
     )
-    return R.judged(table(spark, d, "supplier").select(F.col("s_suppkey").alias("case_id")), R.standing(claims))
+    return R.judged(table(spark, d, "customer").select(F.col("c_custkey").alias("case_id")), R.standing(claims))
 
 
 @query(f"{_JUDGED} SELECT * FROM j")
