@@ -80,3 +80,29 @@ def test_stream_tells_what_a_replay_tells(spark, tmp_path, seed):
     ended = lambda x: {t[:4] for t in x if t[1] is None}  # noqa: E731  timers may tell of ends after the last request
     assert ended(want) <= ended(told) and len(told) == len(set(told))
     assert {t[5] for t in want} >= {"ADMITTED", "BUSY", "COOLDOWN", "RATE_LIMITED", "GUEST_QUOTA", "CLAIM_INVALID", "WAITING", "PROMOTED", "GONE", "LEFT", "LIVE", "EXPIRED", "NOTED", "COOLED", "RELEASED", "REFUNDED", "KEPT"}
+
+
+class Counted(dict):
+    """A map that counts how often it is read whole."""
+
+    read = 0
+
+    def items(self):
+        self.read += 1
+        return super().items()
+
+
+def test_long_queue_is_not_read_for_each_place():
+    rnd, maps = random.Random(5), {n: Counted() for n in Gate.STATES}
+    gate = Gate(Policy(lines=2, lease_ms=900, ticket_ms=4000, claim_ms=70, rate=1 << 30), maps)
+    for k in range(3000):
+        action, who = rnd.choice(["join", "join", "poll", "leave", "admit", "release"]), rnd.randrange(400)
+        gate.swept(5 * k)
+        verdict, place, _ = gate.act(5 * k, Row(*FIELDS)("p", 5 * k, k, action, f"s{who}", "u", False, None if action == "release" else f"t{who}", "x", 0))
+        live = {t: v for t, v in dict.items(maps["tickets"]) if v[2] >= 5 * k and (v[3] is None or v[3] >= 5 * k)}
+        assert live == dict(dict.items(maps["tickets"]))
+        if verdict == "WAITING":
+            mine = live[f"t{who}"]
+            assert place == 1 + sum(v[3] is None and (v[1], v[0]) < (mine[1], mine[0]) for v in live.values())
+    assert gate.queue == sorted((v[1], v[0]) for v in live.values() if v[3] is None) and len(gate.queue) > 100
+    assert sum(m.read for m in maps.values()) == 2  # once each for leases and tickets, when the rules were opened
