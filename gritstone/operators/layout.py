@@ -1,19 +1,23 @@
 """Orders and places of the nodes of small graphs, one for each request: a stable topological order, and columns and rows for drawing.
 
-A request's graph is what one reader sees, so it is one group; many requests run side by side. What a
-group function holds is its own nodes and edges.
+A request's graph is what one reader sees, so it is one row, its nodes and edges arrays that Spark has collected; a task goes through
+its rows batch by batch, and many requests share one call into Python.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Fixed: distance of columns and rows, and turns of the rows.
 COLUMN, ROW, SWEEPS = 260, 70, 4
+#: Requests whose rows leave a task at once.
+GRAPHS = 1000
 
 
 def _kahn(nodes: list[str], pairs: set[tuple[str, str]]) -> tuple[list[str], list[str]]:
@@ -38,9 +42,24 @@ def _kahn(nodes: list[str], pairs: set[tuple[str, str]]) -> tuple[list[str], lis
     return order + stuck, stuck
 
 
-def _listed(rows: pd.DataFrame) -> list[str]:
-    """Nodes in the caller's order, each once."""
-    return list(dict.fromkeys(rows.sort_values(["place", "node"])["node"]))
+def _graphs(nodes: DataFrame, links: DataFrame, fields: list[str], told: Callable[[list[str], list[dict]], Iterator[tuple]], columns: str) -> DataFrame:
+    """What `told` yields for each request: rows of `columns`, by its nodes in the caller's order, each once, and its links as dicts of `fields`."""
+    id_type = dict(nodes.dtypes)["request_id"]
+    first = nodes.groupBy("request_id", "node").agg(F.min(F.struct(F.col("place").isNull().alias("none"), "place")).alias("at"))
+    listed = first.groupBy("request_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "node"))), lambda x: x["node"]).alias("nodes"))
+    tied = links.groupBy(F.col("request_id").alias("of")).agg(F.collect_list(F.struct(*fields)).alias("links"))
+    whole = listed.join(tied, F.col("request_id").eqNullSafe(F.col("of")), "left").select("request_id", "nodes", F.coalesce("links", F.array().cast(tied.schema["links"].dataType)).alias("links"))
+    schema = f"request_id {id_type}, {columns}"
+    arrow = to_arrow_schema(nodes.sparkSession.createDataFrame([], schema).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, GRAPHS):
+                part = batch.slice(at, GRAPHS)
+                rows = [(key, *row) for key, ns, ls in zip(*(c.to_pylist() for c in part.columns)) for row in told(ns, ls)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+    return whole.mapInArrow(run, schema)
 
 
 def topological(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -49,13 +68,13 @@ def topological(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     Ties go by place, then by name. Repeated pairs count once, pairs with a node that isn't there not at all, a pair of a node with itself holds it
     back for good. Nodes in a cycle, and those behind one, come last, by place, and are `unordered`. An empty table gives an empty table.
     """
-    id_type = dict(nodes.dtypes)["request_id"]
 
-    def run(key: tuple, mine: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        order, stuck = _kahn(_listed(mine), set(zip(links["before"], links["after"], strict=True)))
-        return pd.DataFrame({"request_id": [key[0]] * len(order), "node": order, "ord": range(1, len(order) + 1), "unordered": [n in set(stuck) for n in order]})
+    def told(listed: list[str], links: list[dict]) -> Iterator[tuple]:
+        order, stuck = _kahn(listed, {(p["before"], p["after"]) for p in links})
+        held = set(stuck)
+        return ((n, k, n in held) for k, n in enumerate(order, 1))
 
-    return nodes.groupBy("request_id").cogroup(pairs.select(F.col("request_id").alias("of"), "before", "after").groupBy("of")).applyInPandas(run, f"request_id {id_type}, node string, ord int, unordered boolean")
+    return _graphs(nodes, pairs.select("request_id", "before", "after").distinct(), ["before", "after"], told, "node string, ord int, unordered boolean")
 
 
 def _columns(nodes: list[str], out: dict[str, list[str]]) -> dict[str, int]:
@@ -98,22 +117,20 @@ def laid_out(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
     Edges back to the root, loops and edges of nodes that aren't there don't count; parallel edges weigh as often as they come. Columns are by the longest path, so an edge leads to the right;
     rows are turned four times so that edges cross less, and each column is centred against the fullest.
     """
-    id_type = dict(nodes.dtypes)["request_id"]
 
-    def run(key: tuple, mine: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        listed = _listed(mine)
+    def told(listed: list[str], links: list[dict]) -> Iterator[tuple]:
         there = set(listed)
         out: dict[str, list[str]] = {n: [] for n in listed}
         into: dict[str, list[str]] = {n: [] for n in listed}
-        for a, b, root in sorted(zip(links["src"], links["dst"], links["root"], strict=True)):
-            if a in there and b in there and a != b and b != root:
+        for a, b, root in sorted((e["src"], e["dst"], e["root"]) for e in links if e["src"] in there and e["dst"] in there):
+            if a != b and b != root:
                 out[a].append(b)
                 into[b].append(a)
         col = _columns(listed, out)
         row = _rows(col, out, into)
-        size = pd.Series(list(col.values())).value_counts()
-        tallest = int(size.max()) if len(size) else 0
-        return pd.DataFrame([(key[0], n, col[n], row[n], float(col[n] * COLUMN), (row[n] + (tallest - int(size[col[n]])) / 2) * ROW) for n in listed], columns=["request_id", "node", "col", "row", "x", "y"])
+        size = Counter(col.values())
+        tallest = max(size.values())
+        return ((n, col[n], row[n], float(col[n] * COLUMN), (row[n] + (tallest - size[col[n]]) / 2) * ROW) for n in listed)
 
-    links = edges.join(roots, "request_id", "left").select(F.col("request_id").alias("of"), "src", "dst", F.coalesce("root", F.lit("")).alias("root"))
-    return nodes.groupBy("request_id").cogroup(links.groupBy("of")).applyInPandas(run, f"request_id {id_type}, node string, col int, row int, x double, y double")
+    links = edges.join(roots, "request_id", "left").select("request_id", "src", "dst", F.coalesce("root", F.lit("")).alias("root"))
+    return _graphs(nodes, links, ["src", "dst", "root"], told, "node string, col int, row int, x double, y double")

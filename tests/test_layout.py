@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from gritstone.operators.layout import COLUMN, ROW, laid_out, topological
 
@@ -62,3 +63,16 @@ def test_turns_leave_fewer_crossings(spark):
         assert sorted(got[x].row for x in left) == list(range(8))
         less, more = less + (after < before), more + (after > before)
     assert less == 6 and not more
+
+
+def test_many_requests_share_a_call(spark):
+    n = spark.range(2500).selectExpr("id as request_id", "explode(array('a', 'b', 'c')) as node", "1 as place")
+    p = spark.range(2500).selectExpr("id as request_id", "if(id % 2 = 0, 'c', 'b') as before", "'a' as after").withColumn("src", F.col("before")).withColumn("dst", F.col("after"))
+    order = topological(n, p)
+    plot = laid_out(n, p.select("request_id", "src", "dst"), spark.createDataFrame([(0, "a")], "request_id bigint, root string"))
+    for told in (order, plot):  # a call into Python for each request took most of the time
+        assert "CoGroup" not in told._jdf.queryExecution().toString()
+    got = {r.request_id: r.nodes for r in order.orderBy("ord").groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("ord", "node")))["node"].alias("nodes")).collect()}
+    assert got == {k: list("bca") if k % 2 == 0 else list("bac") for k in range(2500)}
+    cols = plot.filter("node = 'a'").groupBy("col").agg(F.collect_set("request_id").alias("of")).collect()
+    assert {r.col: len(r.of) for r in cols} == {0: 1, 1: 2499}
