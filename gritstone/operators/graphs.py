@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from gritstone.sources.tables import cut, latest
+from gritstone.sources.tables import cut, latest, light
 
 
 def closure(tree: DataFrame) -> DataFrame:
@@ -47,15 +47,21 @@ def resolved(asked: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def named_goal(asked: DataFrame, services: DataFrame, rewrites: list[tuple[str, str]]) -> DataFrame:
-    """request_id, id, priority of asked(request_id, name): the service meant, by its id, its id after a rewrite of the name's start, its name, or an alias, in that order; of equals the first by ord."""
+    """request_id, id, priority of asked(request_id, name): the service meant, by its id, its id after a rewrite of the name's start, its name, or an alias, in that order; of equals the first by ord.
+
+    Names are looked up once each, however many ask them, and each key leads to its first service only.
+    """
+    named = asked.select("name").distinct()
     text = F.trim(F.col("name"))
     low = F.lower(text)
     turned = [F.when(low.startswith(old), F.concat(F.lit(new), F.substring(low, len(old) + 1, 1 << 20))) for old, new in rewrites]
     tries = [(1, text), *((2, t) for t in turned), (3, F.concat(F.lit("name:"), low)), (4, F.concat(F.lit("alias:"), low))]
-    wanted = asked.select("request_id", F.explode(F.array(*(F.struct(F.lit(p).alias("priority"), c.alias("key")) for p, c in tries))).alias("t")).select("request_id", "t.priority", "t.key").filter("key is not null")
+    wanted = named.select("name", F.explode(F.array(*(F.struct(F.lit(p).alias("priority"), c.alias("key")) for p, c in tries))).alias("t")).select("name", "t.priority", "t.key").filter("key is not null")
     keys = services.select("id", "ord", F.explode(F.concat(F.array(F.col("id"), F.concat(F.lit("name:"), F.lower(F.trim("name")))), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.concat(F.lit("alias:"), F.lower(F.trim(a)))))).alias("key"))
-    best = wanted.join(keys, "key").groupBy("request_id").agg(F.min(F.struct("priority", "ord", "id")).alias("best"))
-    return asked.select("request_id").join(best, "request_id", "left").select("request_id", "best.id", "best.priority")
+    first = keys.filter("key is not null").groupBy("key").agg(F.min(F.struct("ord", "id")).alias("first"))  # an alias of many services leads to one of them
+    best = wanted.join(first, "key").groupBy("name").agg(F.min(F.struct("priority", "first.ord", "first.id")).alias("best"))
+    best = light(cut(best.select("name", "best.id", "best.priority")))
+    return asked.select("request_id", "name").join(best, "name", "left").select("request_id", "id", "priority")
 
 
 def reached(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:

@@ -6,20 +6,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gritstone.functions.fields import NOT_EVIDENCE, intent_tokens
 from gritstone.functions.text import norm, stem, tokens
-from gritstone.sources.tables import cut
+from gritstone.sources.tables import cut, light
 
 K1, B = 1.2, 0.75
-#: Rows of a query-side table that may be broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 200_000
 #: Terms or keys of a query side that may become literals of a plan.
 LITERALS = 20_000
 
 
-def light(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it is small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def postings(docs: DataFrame) -> DataFrame:
     """doc_id, term, tf, length of docs(doc_id, text)."""
     worded = docs.select("doc_id", tokens(F.col("text")).alias("words"))

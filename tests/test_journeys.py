@@ -128,3 +128,13 @@ def test_sound_graph_has_no_issues(spark):
     assert V.graph_issues(nodes, edges, groups, members, sources, refs, places).collect() == []
     bad = V.graph_issues(nodes, edges.union(edges), groups, members, sources, refs.withColumn("confidence", F.lit(None).cast("double")), places).collect()
     assert {(r.code, r.subject) for r in bad} == {("DUPLICATE_EDGE", "e:1"), ("BAD_CONFIDENCE", "service:a")}
+
+
+def test_an_alias_of_many_services_leads_to_the_first(spark):
+    services = spark.range(2000).selectExpr("concat('s', id) as id", "2000 - id as ord", "concat('Service ', id) as name", "array('Town', null) as aliases")
+    asked = spark.range(3000).selectExpr("id as request_id", "case id % 4 when 0 then 'town' when 1 then 'nobody' when 2 then concat('service ', id % 7) end as name")
+    told = graphs.named_goal(asked, services, [])
+    assert "Aggregate" not in told._jdf.queryExecution().optimizedPlan().toString()  # names are looked up before requests come in, not for each request
+    got = {tuple(r) for r in told.collect()}
+    want = {0: ("s1999", 4), 1: (None, None), 3: (None, None)}
+    assert got == {(k, *(want[k % 4] if k % 4 != 2 else (f"s{k % 7}", 3))) for k in range(3000)}
