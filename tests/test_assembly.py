@@ -60,3 +60,17 @@ def test_owned_ids_dangling_edges_and_silent_services(spark):
     nodes, edges, services, _ = built(spark, facts, taken=[S])
     assert services == [] and S not in nodes and (S, "REQUIRES", "document:card") in edges  # an owned service keeps its own node
     assert built(spark, [])[:3] == ({}, {}, [])
+
+
+def test_large_part_numbers_keep_the_order_of_lines(spark, tmp_path):
+    import duckdb
+
+    from gritstone.plans import catalogue
+
+    spark.createDataFrame([(1, 1, 200_005), (1, 2, 5)], "l_orderkey bigint, l_linenumber int, l_partkey bigint").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(1,)], "o_orderkey bigint").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    got = [tuple(r) for r in catalogue.queries()["q_assembled_services"](spark, str(tmp_path)).select("id", "host").collect()]
+    held = duckdb.connect()
+    held.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = held.execute(f"select id, host from ({catalogue.oracle_sql()['q_assembled_services']})").fetchall()
+    assert got == want == [("service:s1", "h1.gov.in")]  # the first line's, though its part has six digits
