@@ -9,11 +9,12 @@ few joins on node ids for all requests together, and its rows are cut from their
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gritstone.sources.tables import cut
+from gritstone.sources.tables import cut, kept, light
 
 from .conditions import group_truth
 from .programs import evaluated
@@ -23,6 +24,8 @@ DEPENDENCY = ("REQUIRES", "DEPENDS_ON", "NEXT", "BLOCKS")
 PRODUCER = ("PRODUCES",)
 #: Fixed node types that one can hold.
 HOLDABLE = ("DOCUMENT", "DOCUMENT_GROUP", "OUTPUT", "SERVICE", "PAYMENT")
+#: Pairs of a request and a condition that may be answered beforehand.
+ANSWERS = 20_000
 
 
 def applies(scope: Column, chain: Column) -> Column:
@@ -36,44 +39,97 @@ def specificity(scope: Column, chain: Column) -> Column:
     return F.when(scope.isNull(), F.lit(0)).when(at == 0, F.lit(-1)).otherwise(F.size(chain) - (at - 1)).cast("int")
 
 
+def _usable(edges: DataFrame, as_of: Column) -> DataFrame:
+    """Edges that aren't rejected and haven't expired."""
+    return edges.filter("status is null or status <> 'REJECTED'").filter(F.col("valid_until").isNull() | (F.col("valid_until") >= as_of))
+
+
 def filtered(hits: DataFrame, as_of: Column) -> DataFrame:
     """hits(edge columns, chain, facts) that apply: in scope, not rejected, not expired and not false; with truth (null: unknown), pending and specificity."""
-    told = hits.filter(applies(F.col("scope"), F.col("chain"))).filter("status is null or status <> 'REJECTED'").filter(F.col("valid_until").isNull() | (F.col("valid_until") >= as_of))
+    told = _usable(hits.filter(applies(F.col("scope"), F.col("chain"))), as_of)
     told = told.withColumn("_told", evaluated(F.col("program"), F.col("facts"))).withColumn("specificity", specificity(F.col("scope"), F.col("chain")))
     return told.select(*hits.columns, "specificity", "_told.truth", "_told.pending").filter("truth is null or truth")
 
 
-def groups_of(rows: DataFrame, groups: DataFrame, members: DataFrame, held: DataFrame) -> DataFrame:
-    """request_id, owner, group_id, truth of the groups that nodes of rows(request_id, node, chain, facts) own.
+def _answering(requests: DataFrame, *tables: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A function that gives rows(request_id, program, ...) truth and pending in place of the program.
+
+    A condition of the tables is evaluated once for a request, however many rows have it: for all requests beforehand if
+    these are at most ANSWERS pairs, else for the pairs that the rows have.
+    """
+    own = cut(reduce(DataFrame.union, (t.select("program") for t in tables)).filter("size(program) > 0").distinct())
+    facts = requests.select("request_id", "facts")
+    read = lambda pairs: pairs.select("request_id", "program", evaluated(F.col("program"), F.col("facts")).alias("_told"))
+    few = own.count() * requests.count() <= ANSWERS
+    told = F.broadcast(cut(read(facts.crossJoin(F.broadcast(own))))) if few else None
+
+    def answered(rows: DataFrame) -> DataFrame:
+        answers = told
+        if answers is None:
+            answers = read(rows.filter("size(program) > 0").select("request_id", "program").distinct().join(facts, "request_id"))
+        plain = F.coalesce(F.size("program"), F.lit(0)) <= 0  # no condition is true
+        both = rows.join(answers, ["request_id", "program"], "left").withColumn("truth", F.when(plain, True).otherwise(F.col("_told.truth")))
+        return both.withColumn("pending", F.coalesce("_told.pending", F.array().cast("array<string>"))).drop("program", "_told")
+
+    return answered
+
+
+def _those(many: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows(request_id, node) that the many have; a small side is sent to the large one, which isn't shuffled."""
+    return many.select("request_id", "node").join(light(rows), ["request_id", "node"], "left_semi").distinct()
+
+
+def _groups(groups: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(groups, members) as `groups_of` reads them in every round."""
+    own = groups.select(F.col("id").alias("group_id"), F.col("owner").alias("node"), "mode", "need", "scope", "program")
+    return cut(own), cut(members.select("group_id", F.col("node").alias("member"), "program"))
+
+
+def groups_of(rows: DataFrame, chains: DataFrame, groups: DataFrame, members: DataFrame, held: DataFrame, answered: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(groups, members) of the nodes of rows(request_id, node) under chains(request_id, chain): request_id, owner, group_id, truth; request_id, owner, group_id, member, truth, pending.
 
     A group out of scope or whose condition is false asks for nothing and is true; members whose
     condition is false don't count, those whose condition is unknown may.
     """
-    own = rows.join(groups.select(F.col("id").alias("group_id"), F.col("owner").alias("node"), "mode", "need", "scope", "program"), "node")
-    own = own.withColumn("asks", applies(F.col("scope"), F.col("chain")) & F.coalesce(evaluated(F.col("program"), F.col("facts"))["truth"], F.lit(True))).drop("scope", "program")
-    each = own.join(members.select("group_id", F.col("node").alias("member"), "program"), "group_id", "left").join(held.select("request_id", F.col("node").alias("member"), F.lit(True).alias("has")).distinct(), ["request_id", "member"], "left")
-    truth = evaluated(F.col("program"), F.col("facts"))["truth"]
-    counted = each.withColumn("counts", F.when(F.col("member").isNull(), False).otherwise(truth)).groupBy("request_id", F.col("node").alias("owner"), "group_id", "mode", "need", "asks").agg(
+    own = answered(light(rows).join(groups, "node").join(chains, "request_id"))
+    own = own.withColumn("asks", applies(F.col("scope"), F.col("chain")) & F.coalesce("truth", F.lit(True))).select("request_id", F.col("node").alias("owner"), "group_id", "mode", "need", "asks")
+    each = cut(answered(own.join(members, "group_id", "left")))
+    has = _those(held, each.select("request_id", F.col("member").alias("node"))).withColumnRenamed("node", "member").withColumn("has", F.lit(True))
+    counts = F.when(F.col("member").isNull(), False).otherwise(F.col("truth"))
+    counted = each.join(has, ["request_id", "member"], "left").withColumn("counts", counts).groupBy("request_id", "owner", "group_id", "mode", "need", "asks").agg(
         F.count_if("counts").alias("n"), F.count_if(F.col("counts") & F.col("has")).alias("have"), F.count_if(F.col("counts").isNull()).alias("open")
     )
     met = group_truth(F.col("mode"), F.col("need"), F.col("n"), F.col("have"), F.col("open"))
-    return counted.select("request_id", "owner", "group_id", F.when(~F.col("asks"), F.lit(True)).otherwise(met).alias("truth"))
+    told = counted.select("request_id", "owner", "group_id", F.when(~F.col("asks"), F.lit(True)).otherwise(met).alias("truth"))
+    return told, each.filter("member is not null").select("request_id", "owner", "group_id", "member", "truth", "pending")
 
 
 def held_closure(requests: DataFrame, held: DataFrame, groups: DataFrame, members: DataFrame) -> DataFrame:
     """held(request_id, node) and the owners of groups that it satisfies, again and again until nothing is added.
 
-    Only groups with a member that was just added are looked at in a round.
+    Only groups with a member that was just added are looked at in a round. What a round adds is kept
+    by itself, and put together with what came before once it isn't much smaller.
     """
-    seen = cut(held.select("request_id", "node").distinct())
-    fresh = seen
+    asked, (own, inside) = cut(requests.select("request_id", "chain", "facts")), _groups(groups, members)
+    answered = _answering(asked, own, inside)
+    owners = cut(inside.select("group_id", F.col("member").alias("node")).join(own.select("group_id", F.col("node").alias("owner")), "group_id").select("node", "owner").distinct())
+    fresh = cut(held.select("request_id", "node").join(asked.select("request_id"), "request_id", "left_semi").distinct())
+    others = held.select("request_id", "node").join(asked.select("request_id"), "request_id", "left_anti").distinct()  # of nobody who asks
+    chains = light(asked.select("request_id", "chain"))
+    parts = [(fresh, fresh.count())]
     while True:
-        touched = fresh.join(members.select("node", "group_id").distinct(), "node").join(groups.select(F.col("id").alias("group_id"), "owner"), "group_id").select("request_id", F.col("owner").alias("node")).distinct()
-        touched = touched.join(seen, ["request_id", "node"], "left_anti").join(requests.select("request_id", "chain", "facts"), "request_id")
-        fresh = cut(groups_of(touched, groups, members, seen).filter("truth").select("request_id", F.col("owner").alias("node")).distinct())
-        if fresh.isEmpty():
-            return seen
-        seen = cut(seen.union(fresh))
+        seen = reduce(DataFrame.union, (p for p, _ in parts))
+        touched = cut(light(fresh).join(owners, "node").select("request_id", F.col("owner").alias("node")).distinct())
+        touched = cut(touched.join(_those(seen, touched), ["request_id", "node"], "left_anti"))
+        met, _ = groups_of(touched, chains, own, inside, seen, answered)
+        fresh = cut(met.filter("truth").select("request_id", F.col("owner").alias("node")).distinct())
+        added = fresh.count()
+        if not added:
+            return seen.union(others)
+        parts.append((fresh, added))
+        while len(parts) > 1 and parts[-2][1] <= 2 * parts[-1][1]:
+            (b, n), (a, m) = parts.pop(), parts.pop()
+            parts.append((cut(a.union(b)), m + n))
 
 
 def expand(requests: DataFrame, nodes: DataFrame, edges: DataFrame, groups: DataFrame, members: DataFrame, held: DataFrame, as_of: Column, keep_unknown: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -82,31 +138,47 @@ def expand(requests: DataFrame, nodes: DataFrame, edges: DataFrame, groups: Data
     What is held, or owns a satisfied group, isn't gone beyond. Members of groups that aren't
     satisfied follow on edges of their own, rg:group:member. What can be held and isn't a service
     is traced back to what produces it. Edges that are unknown are told, and followed only with
-    keep_unknown. Nodes are visited once, at their least depth, so cycles end.
+    keep_unknown. Nodes are visited once, at their least depth, so cycles end. Edges that may be used at all
+    are kept before the first round; `held` is read in every round, so it should be kept too, as `held_closure`'s is.
     """
-    step = lambda types: edges.filter(F.col("type").isin(*types))
-    producible = nodes.filter(F.col("type").isin(*HOLDABLE) & (F.col("type") != "SERVICE")).select(F.col("id").alias("node"))
-    frontier = cut(requests.join(nodes.select(F.col("id").alias("goal")), "goal", "left_semi").select("request_id", F.col("goal").alias("node"), F.lit(0).alias("depth")))
-    seen, told = frontier, []
+    asked, (own, inside) = cut(requests.select("request_id", "goal", "chain", "facts")), _groups(groups, members)
+    live = kept(_usable(edges.filter(F.col("type").isin(*DEPENDENCY, *PRODUCER)), as_of).select("id", "src", "dst", "type", "scope", "program"))
+    ids = kept(nodes.select(F.col("id").alias("node"), (F.col("type").isin(*HOLDABLE) & (F.col("type") != "SERVICE")).alias("producible")))
+    answered = _answering(asked, own, inside, live)
+    chains = light(asked.select("request_id", "chain"))
+    step = lambda types: live.filter(F.col("type").isin(*types))
+    columns = ["request_id", "id", "src", "dst", "type", "truth", "pending"]
+
+    def known(rows: DataFrame) -> DataFrame:
+        """rows(request_id, node), once each, of nodes that are in the graph."""
+        few = light(cut(rows.distinct()))
+        return ids.join(few, "node").groupBy("request_id", "node").agg(F.bool_or("producible").alias("producible"))
+
+    def used(hits: DataFrame) -> DataFrame:
+        return answered(hits.filter(applies(F.col("scope"), F.col("chain")))).filter("truth is null or truth")
+
+    frontier = cut(known(asked.select("request_id", F.col("goal").alias("node"))).withColumn("depth", F.lit(0)))
+    reached, told = [], []
     depth = 0
     while not frontier.isEmpty():
+        reached.append(frontier.select("request_id", "node", "depth"))
         depth += 1
-        base = frontier.select("request_id", "node").join(held, ["request_id", "node"], "left_anti").join(requests.select("request_id", "chain", "facts"), "request_id")
-        own = cut(groups_of(base, groups, members, held))
-        base = base.join(own.filter("truth").select("request_id", F.col("owner").alias("node")).distinct(), ["request_id", "node"], "left_anti")
-        columns = ["request_id", "id", "src", "dst", "type", "truth", "pending"]
-        ahead = filtered(base.withColumnRenamed("node", "src").join(step(DEPENDENCY), "src"), as_of).select(*columns, F.col("dst").alias("next"))
-        back = filtered(base.join(producible, "node", "left_semi").withColumnRenamed("node", "dst").join(step(PRODUCER), "dst"), as_of).filter("truth" if not keep_unknown else "true").select(*columns, F.col("src").alias("next"))
-        unmet = own.filter("truth is null or not truth").select("request_id", F.col("owner").alias("src"), "group_id").join(members, "group_id").join(requests.select("request_id", "facts"), "request_id")
-        unmet = unmet.join(base.select("request_id", F.col("node").alias("src")), ["request_id", "src"], "left_semi").withColumn("t", evaluated(F.col("program"), F.col("facts"))).filter("t.truth is null or t.truth")
-        inner = unmet.select("request_id", F.concat_ws(":", F.lit("rg"), "group_id", "node").alias("id"), "src", F.col("node").alias("dst"), F.lit("REQUIRES").alias("type"), "t.truth", "t.pending", F.col("node").alias("next"))
+        base = cut(frontier.join(_those(held, frontier.select("request_id", "node")), ["request_id", "node"], "left_anti").select("request_id", "node", "producible"))
+        met, each = groups_of(base.select("request_id", "node"), chains, own, inside, held, answered)
+        met = cut(met)
+        base = cut(base.join(met.filter("truth").select("request_id", F.col("owner").alias("node")).distinct(), ["request_id", "node"], "left_anti").join(chains, "request_id"))
+        at = light(base)
+        ahead = used(step(DEPENDENCY).join(at.withColumnRenamed("node", "src"), "src")).select(*columns, F.col("dst").alias("next"))
+        back = used(step(PRODUCER).join(at.filter("producible").withColumnRenamed("node", "dst"), "dst")).filter("truth" if not keep_unknown else "true").select(*columns, F.col("src").alias("next"))
+        unmet = each.join(met.filter("truth is null or not truth").select("request_id", "owner", "group_id"), ["request_id", "owner", "group_id"], "left_semi").filter("truth is null or truth")
+        unmet = unmet.join(base.select("request_id", F.col("node").alias("owner")), ["request_id", "owner"], "left_semi")
+        inner = unmet.select("request_id", F.concat_ws(":", F.lit("rg"), "group_id", "member").alias("id"), F.col("owner").alias("src"), F.col("member").alias("dst"), F.lit("REQUIRES").alias("type"), "truth", "pending", F.col("member").alias("next"))
         hops = cut(ahead.union(back).union(inner))
         told.append(hops.drop("next"))
-        onward = hops.filter("true" if keep_unknown else "truth").select("request_id", F.col("next").alias("node")).distinct()
-        known = onward.join(nodes.select(F.col("id").alias("node")), "node", "left_semi").select("request_id", "node")  # what isn't in the graph is dropped
-        frontier = cut(known.join(seen, ["request_id", "node"], "left_anti").select("request_id", "node", F.lit(depth).alias("depth")))
-        seen = cut(seen.union(frontier))
+        onward = known(hops.filter("true" if keep_unknown else "truth").select("request_id", F.col("next").alias("node")))  # what isn't in the graph is dropped
+        frontier = cut(onward.join(reduce(DataFrame.union, reached), ["request_id", "node"], "left_anti").withColumn("depth", F.lit(depth)))
     none = requests.select("request_id", *(F.lit(None).cast("string").alias(c) for c in ("id", "src", "dst", "type")), F.lit(None).cast("boolean").alias("truth"), F.array().cast("array<string>").alias("pending")).filter("false")
+    seen = reduce(DataFrame.union, reached, frontier.select("request_id", "node", "depth"))
     return seen, reduce(DataFrame.union, told, none).dropDuplicates(["request_id", "id", "src", "dst"])
 
 

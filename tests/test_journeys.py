@@ -138,3 +138,25 @@ def test_an_alias_of_many_services_leads_to_the_first(spark):
     got = {tuple(r) for r in told.collect()}
     want = {0: ("s1999", 4), 1: (None, None), 3: (None, None)}
     assert got == {(k, *(want[k % 4] if k % 4 != 2 else (f"s{k % 7}", 3))) for k in range(3000)}
+
+
+def test_edges_are_read_once_and_conditions_answered_once_a_request(spark, monkeypatch):
+    asked = spark.createDataFrame([("r", "a", ["s"], {"age": "20"}), ("q", "a", ["s"], {})], REQUEST)
+    nodes = spark.createDataFrame([(x, "DOCUMENT", None) for x in "abcd"], "id string, type string, scope string")
+    rule = program({"field": "age", "operator": "GTE", "value": 18})
+    rows = spark.createDataFrame([(i, s, t, "REQUIRES", None, p, None, None) for i, s, t, p in (("1", "a", "b", rule), ("2", "b", "c", []), ("3", "c", "d", rule), ("4", "a", "c", rule))], EDGE)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    empty = spark.createDataFrame([], GROUP), spark.createDataFrame([], MEMBER), spark.createDataFrame([], "request_id string, node string")
+    for pairs in (J.ANSWERS, 0):  # answered for all requests beforehand, and for the pairs that come up
+        monkeypatch.setattr(J, "ANSWERS", pairs)
+        read.value = 0
+        reached, used = J.expand(asked, nodes, rows.mapInPandas(counted, rows.schema), *empty, F.lit("2024-01-01").cast("date"))
+        assert read.value == 4
+        assert {(r.request_id, r.id, r.truth, tuple(r.pending)) for r in used.collect()} == {("r", i, True, ()) for i in "1234"} | {("q", i, None, ("age",)) for i in "14"}
+        assert {(r.request_id, r.node, r.depth) for r in reached.collect()} == {("r", "a", 0), ("r", "b", 1), ("r", "c", 1), ("r", "d", 2), ("q", "a", 0)}
