@@ -17,8 +17,13 @@ def anchors(name: Column, vocabulary: list[str]) -> Column:
 
 def topicality(heading: Column, url: Column, host: Column, phrases: Column, own_urls: Column, own_hosts: Column) -> Column:
     """3 for the service's own url, 2 if a whole phrase stands in the heading, 1 if one stands in the url or the host is the service's own, else 0. Phrases are arrays of words."""
-    whole = lambda text: F.exists(phrases, lambda p: (F.size(p) > 0) & F.forall(p, lambda t: F.array_contains(tokens(text), t)))
-    return F.when(F.array_contains(own_urls, url), 3).when(whole(heading), 2).when(whole(url) | F.array_contains(own_hosts, host), 1).otherwise(0)
+    return topicality_of(tokens(heading), tokens(url), url, host, phrases, own_urls, own_hosts)
+
+
+def topicality_of(heading: Column, address: Column, url: Column, host: Column, phrases: Column, own_urls: Column, own_hosts: Column) -> Column:
+    """The same by the words of the heading and of the url, for pages that meet many services and are split into words once."""
+    whole = lambda words: F.exists(phrases, lambda p: (F.size(p) > 0) & F.forall(p, lambda t: F.array_contains(words, t)))
+    return F.when(F.array_contains(own_urls, url), 3).when(whole(heading), 2).when(whole(address) | F.array_contains(own_hosts, host), 1).otherwise(0)
 
 
 def retrieved(asked: DataFrame, hits: DataFrame, most: int = SHORTLIST) -> DataFrame:

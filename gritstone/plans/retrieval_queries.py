@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gritstone.functions import text as T
 from gritstone.operators import retrieval as R
-from gritstone.operators.search import light
+from gritstone.operators.search import few, light
 from gritstone.sources import files
 from gritstone.sources.tables import cut, table
 
@@ -32,17 +32,22 @@ def _shortlists(spark: SparkSession, d: str) -> DataFrame:
     words = T.tokens(F.col("text"))
     halves = items.select("item_id", F.explode(F.array(F.struct(F.lit("head").alias("query"), F.slice(words, 1, 6).alias("w")), F.struct(F.lit("tail").alias("query"), F.slice(words, 7, 1 << 30).alias("w")))).alias("q"))
     asked = halves.select("item_id", "q.query", F.explode(F.array_distinct("q.w")).alias("term")).withColumn("anchor", ~F.col("term").isin(_COMMON))
-    own = docs.select("doc_id", F.explode(F.array_distinct(words)).alias("term"))
-    hits = own.join(light(asked), "term").groupBy("item_id", "query", "doc_id").agg(F.count("*").alias("score"), F.bool_or("anchor").alias("anchored")).filter("score >= 3 and anchored")
-    # where what was found lies, and what its services' own pages, hosts and phrases are
-    lies = docs.select("doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("heading"), F.expr(_URL).alias("url"), F.expr(_HOST).alias("host"))
+    terms = few(asked, "term")  # those of the phrases are among them
+    told = lambda w: w if terms is None else F.filter(w, lambda x: x.isin(terms))
+    # a document is split into words once, and all that is found in it is summed up where it lies
+    lies = cut(docs.select(
+        "doc_id", told(F.array_distinct(words)).alias("words"), told(F.array_distinct(T.tokens(F.get(F.split("text", "\n"), F.lit(0))))).alias("heading"),
+        told(T.tokens(F.expr(_URL))).alias("address"), F.expr(_URL).alias("url"), F.expr(_HOST).alias("host"),
+    ).repartition("doc_id"))
+    hits = lies.select("doc_id", F.explode("words").alias("term")).join(light(asked), "term").groupBy("item_id", "query", "doc_id").agg(F.count("*").alias("score"), F.bool_or("anchor").alias("anchored")).filter("score >= 3 and anchored")
+    # what the services' own pages, hosts and phrases are
     phrases = items.select("item_id", F.array(F.slice(words, 1, 2), F.slice(words, 3, 2)).alias("phrases"))
     k, own_page = F.col("item_id"), F.col("doc_id") % 100 == F.col("item_id") % 100
     own_urls = F.when(own_page & (F.length("host") % 5 == k % 5), F.array("url")).otherwise(F.array().cast("array<string>"))
     own_hosts = F.array(F.concat(F.lit("src"), k % 20, F.lit(".en.example")))
-    told = hits.join(lies, "doc_id").join(light(phrases), "item_id").select(
+    told = hits.join(lies.drop("words"), "doc_id").join(light(phrases), "item_id").select(
         k.alias("question_id"), "query", F.col("doc_id").alias("chunk_id"), "score", ((F.col("query") == "head") & (F.col("score") == 6)).alias("whole"),
-        R.topicality(F.col("heading"), F.col("url"), F.col("host"), F.col("phrases"), own_urls, own_hosts).alias("topical"),
+        R.topicality_of(F.col("heading"), F.col("address"), F.col("url"), F.col("host"), F.col("phrases"), own_urls, own_hosts).alias("topical"),
     )
     return R.retrieved(items.select(k.alias("question_id")), told)
 
