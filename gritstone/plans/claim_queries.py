@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gritstone.functions import blocks as B, claims as C
 from gritstone.sources.tables import table
@@ -32,6 +32,11 @@ def _claims(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(F.expr(_K).alias("k"), F.expr("l_suppkey % 2 = 0").alias("active"), F.expr(_CLAIM).alias("claim"))
 
 
+def _read(claims: DataFrame, reading: Column) -> DataFrame:
+    """k, told of the claims that a rule reads. The reading is made into rows, so that the filter takes what was read instead of reading again."""
+    return claims.select("k", F.inline(F.array(reading))).filter("read").select("k", "told")
+
+
 def _sql_cut(column: str, tails: tuple) -> str:
     for pattern, _ in tails:
         column = f"regexp_replace({column}, {_q(pattern)}, '')" if not pattern.startswith("^['") else f"regexp_replace({column}, {_q(pattern)}, '', 'g')"
@@ -57,9 +62,8 @@ _TYPE = " ".join(f"WHEN {i} THEN '{kind}'" for i, (kind, _) in enumerate((*C.PAS
  g AS (SELECT *, NOT regexp_matches(raw, {_q(C.SEVERAL)}) AND NOT regexp_matches(raw, {_q(C.UNNAMED)}) AND length(name) >= 4 AND NOT {_sql_person('name')} AND (regexp_matches(name, {_q(C.PLACE_WORD)}) OR regexp_matches(name, {_q(C.OFFICER_WORD)})) AS good FROM n)
  SELECT k, CASE WHEN good THEN CASE rule {_TYPE} END END AS type, CASE WHEN good THEN name END AS authority, NOT good AS refused FROM g""")
 def q_claim_authorities(spark: SparkSession, d: str) -> DataFrame:
-    claim, active = F.col("claim"), F.col("active")
-    told = _claims(spark, d).select("k", C.authority_of(claim, active).alias("a"), C.authority_refused(claim, active).alias("refused"))
-    return told.filter("a is not null or refused").select("k", "a.type", "a.authority", "refused")
+    told = _read(_claims(spark, d), C.authority_read(F.col("claim"), F.col("active")))
+    return told.select("k", "told.type", "told.authority", F.col("told").isNull().alias("refused"))
 
 
 _OUT_STEPS = ", ".join(f"r{i} AS (SELECT *, trim(regexp_extract(claim, {_q(p)}, 1)) AS w{i} FROM {'c' if not i else f'n{i - 1}'}), n{i} AS (SELECT *, {_sql_cut(f'w{i}', C._OUTPUT_TAILS)} AS n{i} FROM r{i})" for i, (_, p) in enumerate(C.OUTPUT))
@@ -69,8 +73,7 @@ _OUT_READ = " OR ".join(f"regexp_matches(claim, {_q(p)})" for _, p in C.OUTPUT)
 
 @query(f"""{_CLAIMS}, {_OUT_STEPS} SELECT k, CASE {_OUT_GOOD} END AS output, CASE {_OUT_GOOD} END IS NULL AS refused FROM n{len(C.OUTPUT) - 1} WHERE {_OUT_READ}""")
 def q_claim_outputs(spark: SparkSession, d: str) -> DataFrame:
-    claim = F.col("claim")
-    return _claims(spark, d).select("k", C.output_of(claim).alias("output"), C.output_refused(claim).alias("refused")).filter("output is not null or refused")
+    return _read(_claims(spark, d), C.output_read(F.col("claim"))).select("k", F.col("told").alias("output"), F.col("told").isNull().alias("refused"))
 
 
 _DIMENSION = "CASE l_linenumber WHEN 1 THEN 'ELIGIBILITY' WHEN 2 THEN 'DOCUMENTS' WHEN 3 THEN 'OFFICE' WHEN 4 THEN 'ACTIONS' WHEN 5 THEN 'OUTPUT' WHEN 6 THEN 'HELPLINE' END"
