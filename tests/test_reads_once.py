@@ -31,3 +31,10 @@ def test_words_looked_for_first_leave_readings_as_they_are(spark):
         assert rows.filter(F.col("s").rlike(p) & ~C._reads(F.col("s"), F.col("low"), p)).isEmpty()
     odd = spark.createDataFrame([(t,) for t in (" a ", "\x0b\ta ", "a\n", "  ", "", None, "a \x85", "a  ", "é \r\n", " a")], "s string")
     assert odd.filter(~C.stripped(F.col("s")).eqNullSafe(F.regexp_replace("s", r"^\s+|\s+$", ""))).isEmpty()
+
+
+def test_states_are_looked_for_only_where_one_is_named(spark):
+    texts = ["in west bengal", "West Bengal and Goa", "of Gujarat and Goa", "Uttarakhand", "Goan", "", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string").select("i", S.other_state(F.col("s")).alias("x"))
+    assert [r.x for r in got.orderBy("i").collect()] == ["West Bengal", None, None, "Uttarakhand", None, None, None]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("bgujarat") == 1
