@@ -38,3 +38,22 @@ def test_states_are_looked_for_only_where_one_is_named(spark):
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string").select("i", S.other_state(F.col("s")).alias("x"))
     assert [r.x for r in got.orderBy("i").collect()] == ["West Bengal", None, None, "Uttarakhand", None, None, None]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("bgujarat") == 1
+
+
+def test_claims_of_a_case_are_read_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(R, "kept", lambda df: seen.append(df) or df.checkpoint())
+    cases = spark.createDataFrame([(1,), (2,), (3,)], "case_id int")
+    rows = [(1, None, "A", "h1", "over 5", None, 1), (1, None, "a", "h2", "Over  5", None, 2), (1, "a", "B", "h2", "over 6", "", 3), (2, None, None, None, None, "x", 4), (2, None, None, "h1", "", None, 5)]
+    claims = spark.createDataFrame(rows, "case_id int, permission_id string, permission string, host string, trigger string, exemption string, at long")
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        calls.add(1)
+        return x
+
+    told = R.judged(cases, claims.withColumn("host", counted.asNondeterministic()("host")))
+    got = sorted(tuple(r) for r in told.collect())
+    assert got == [(1, "CONFLICTING", 3, 1, ["A", "a", "B"]), (2, "VERIFIED", 2, 0, [None]), (3, "UNVERIFIED", 0, 0, [])]
+    assert len(seen) == 1 and calls.value == len(rows)
