@@ -23,6 +23,13 @@ def test_a_sentence_is_read_once_for_outputs_and_authorities(spark, sf):
     assert times(queries["q_claim_authorities"](spark, sf), "must\\s+be\\s+obtained") == 2
 
 
+def test_the_assembly_reads_a_sentence_once(spark, sf, monkeypatch):
+    seen = []
+    monkeypatch.setattr(assembly_queries.A, "kept", lambda df: seen.append(planned(df)) or df)
+    assembly_queries._assembled(spark, sf)
+    assert len(seen) == 1 and seen[0].count("shall\\s+receive") == 2 and seen[0].count("must\\s+be\\s+obtained") == 2
+
+
 def test_words_looked_for_first_leave_readings_as_they_are(spark):
     texts = ["THE PERMIT WILL BE ISSUED BY THE LAKE BOARD", "İt is GRANTED by the Lake Board", "the Lake Board Issues it", " A permit card is generated upon it", "An applicant is Granted a Permit Card", "It is verifİed by the Board", "", None]
     rows = spark.createDataFrame([(t,) for t in texts], "s string")
