@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gritstone.functions import claims as C, sites as S
+from gritstone.functions import blocks as B, claims as C, sites as S
 from gritstone.operators import research as R
 from gritstone.plans import assembly_queries, catalogue
 
@@ -64,3 +64,10 @@ def test_claims_of_a_case_are_read_once(spark, monkeypatch):
     got = sorted(tuple(r) for r in told.collect())
     assert got == [(1, "CONFLICTING", 3, 1, ["A", "a", "B"]), (2, "VERIFIED", 2, 0, [None]), (3, "UNVERIFIED", 0, 0, [])]
     assert len(seen) == 1 and calls.value == len(rows)
+
+
+def test_numbered_facts_are_read_once(spark):
+    rows = [(1, k, "ACTION", "", f"{k}) Visit desk {k}") for k in (1, 2, 3)] + [(1, 4, "ACTION", "", "3) Pay late"), (2, 1, "ACTION", "", "1) Visit"), (2, 2, "ACTION", "", "3) Visit"), (2, 3, "ACTION", "", "4) Visit"), (3, 1, "ACTION", "", "1) Visit"), (3, 2, "ACTION", "", "2) Which form?"), (3, 3, "ACTION", "", "3) Visit")]
+    steps = B.ordered_steps(spark.createDataFrame(rows, "page_id int, fact_id int, kind string, claim string, evidence string"))
+    assert sorted(tuple(r) for r in steps.collect()) == [(1, 1, 1, "Visit desk 1"), (1, 2, 2, "Visit desk 2"), (1, 3, 3, "Visit desk 3")]
+    assert planned(steps).count("LogicalRDD") == 1
