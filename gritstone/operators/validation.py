@@ -62,22 +62,31 @@ def checked_refs(refs: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def graph_issues(nodes: DataFrame, edges: DataFrame, groups: DataFrame, members: DataFrame, sources: DataFrame, refs: DataFrame, places: DataFrame) -> DataFrame:
-    """severity, code, subject of what is wrong in a graph.
+    """row_issues(...) and cycle_issues(edges)."""
+    return row_issues(nodes, edges, groups, members, sources, refs, places).union(cycle_issues(edges))
+
+
+def cycle_issues(edges: DataFrame) -> DataFrame:
+    """Nodes in a dependency cycle of edges(src, dst, type), once each."""
+    turned = F.col("type").isin("REQUIRES", "DEPENDS_ON")
+    pairs = edges.filter(F.col("type").isin("REQUIRES", "DEPENDS_ON", "PRODUCES", "NEXT", "BLOCKS")).select(F.when(turned, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(turned, F.col("src")).otherwise(F.col("dst")).alias("dst"))
+    return issues("ERROR", "DEPENDENCY_CYCLE", cyclic(pairs).select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "id")
+
+
+def row_issues(nodes: DataFrame, edges: DataFrame, groups: DataFrame, members: DataFrame, sources: DataFrame, refs: DataFrame, places: DataFrame) -> DataFrame:
+    """severity, code, subject of what is wrong in a graph, but for its cycles.
 
     nodes(id, type, scope, program, store_id), edges(id, src, dst, type, scope, program, status,
     valid_from, valid_until), groups(id, owner, mode, need, program), members(group_id, node),
     sources(id, url), refs(kind, subject, source_id, evidence, confidence, status) with kind node,
     edge or group, places(id, parent_id, level). An edge that starts and ends nowhere is told
-    twice; nodes in a dependency cycle once each.
+    twice.
     """
     kinds = nodes.select(F.col("id").alias("owner"), F.col("type").alias("owner_type")).distinct()
     sized = groups.join(members.groupBy(F.col("group_id").alias("id")).agg(F.count("*").alias("n")), "id", "left").withColumn("n", F.coalesce("n", F.lit(0))).join(kinds, "owner", "left")
     cited = lambda kind: refs.filter(F.col("kind") == kind).select(F.col("subject").alias("id")).distinct()
     choice = F.col("mode") != "ALL_OF"
     many = groups.groupBy("owner").agg(F.count("*").alias("owned")).filter("owned > 1")
-    turned = F.col("type").isin("REQUIRES", "DEPENDS_ON")
-    pairs = edges.filter(F.col("type").isin("REQUIRES", "DEPENDS_ON", "PRODUCES", "NEXT", "BLOCKS")).select(F.when(turned, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(turned, F.col("src")).otherwise(F.col("dst")).alias("dst"))
-    ring = cyclic(pairs)
     told = [
         *(repeated(c, t, "id") for c, t in (("DUPLICATE_NODE", nodes), ("DUPLICATE_EDGE", edges), ("DUPLICATE_GROUP", groups), ("DUPLICATE_SOURCE", sources), ("DUPLICATE_JURISDICTION", places))),
         unknown("DANGLING_PARENT", places, "parent_id", places, "id", "id"), outside(places, "level", ENUMS["level"], "id"),
@@ -99,6 +108,5 @@ def graph_issues(nodes: DataFrame, edges: DataFrame, groups: DataFrame, members:
         issues("WARNING", "ALTERNATIVES_WITHOUT_GROUP_NODE", sized.filter(choice & (F.col("owner_type") != "DOCUMENT_GROUP")), "id"),
         issues("WARNING", "MULTIPLE_GROUPS_PER_NODE", groups.join(many, "owner", "left_semi"), "id"),
         unknown("DANGLING_MEMBER", members, "node", nodes, "id", "group_id"), checked_refs(refs, sources),
-        issues("ERROR", "DEPENDENCY_CYCLE", ring.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "id"),
     ]
     return reduce(DataFrame.union, told)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gritstone.functions import blocks as B, claims as C, sites as S
-from gritstone.operators import research as R
+from gritstone.operators import research as R, validation as V
 from gritstone.plans import assembly_queries, catalogue
 
 
@@ -71,3 +71,8 @@ def test_numbered_facts_are_read_once(spark):
     steps = B.ordered_steps(spark.createDataFrame(rows, "page_id int, fact_id int, kind string, claim string, evidence string"))
     assert sorted(tuple(r) for r in steps.collect()) == [(1, 1, 1, "Visit desk 1"), (1, 2, 2, "Visit desk 2"), (1, 3, 3, "Visit desk 3")]
     assert planned(steps).count("LogicalRDD") == 1
+
+
+def test_validation_makes_no_cycles_that_it_drops(spark, sf, monkeypatch):
+    monkeypatch.setattr(V, "cyclic", lambda pairs: 1 / 0)
+    assert not catalogue.queries()["q_validate"](spark, sf).isEmpty()
