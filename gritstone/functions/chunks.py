@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
 from itertools import accumulate, pairwise
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 #: Characters that a passage should not outgrow, and under which it isn't cut.
@@ -93,10 +91,9 @@ def passages(page: str | None, most: int = MOST, least: int = LEAST) -> list[tup
 def chunked(pages: DataFrame) -> DataFrame:
     """page_id, chunk_no, start, end, heading, text of pages(page_id, text): start and end count characters from 0, so text is text[start:end]."""
 
-    @F.pandas_udf(SCHEMA)
-    def cut(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in texts:
-            yield pd.Series([[dict(zip(("start", "end", "heading"), p, strict=True)) for p in passages(t)] for t in part], dtype=object)
+    @F.udf(SCHEMA, useArrow=False)  # rows go to Python by the hundred: a batch of Arrow holds ten thousand texts, however long
+    def cut(text: str | None) -> list[tuple[int, int, str | None]]:
+        return passages(text)
 
     held = pages.select("page_id", "text", F.posexplode(cut("text")).alias("chunk_no", "c"))
     return held.select("page_id", "chunk_no", "c.start", "c.end", "c.heading", F.substring("text", F.col("c.start") + 1, F.col("c.end") - F.col("c.start")).alias("text"))

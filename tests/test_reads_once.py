@@ -76,3 +76,8 @@ def test_numbered_facts_are_read_once(spark):
 def test_validation_makes_no_cycles_that_it_drops(spark, sf, monkeypatch):
     monkeypatch.setattr(V, "cyclic", lambda pairs: 1 / 0)
     assert not catalogue.queries()["q_validate"](spark, sf).isEmpty()
+
+
+def test_passages_go_to_python_by_the_hundred(spark, sf):
+    plan = catalogue.queries()["q_chunks"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
