@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from gritstone.functions import fields as X, text as T
 from gritstone.operators import journeys as J, placement as P
 from gritstone.operators.search import contained
-from gritstone.sources.tables import table
+from gritstone.sources.tables import cut, light, table
 
 from .catalogue import query
 from .journey_queries import AS_OF, _program, nodes, requests
@@ -75,8 +75,9 @@ def q_url_admission(spark: SparkSession, d: str) -> DataFrame:
 def q_divergence(spark: SparkSession, d: str) -> DataFrame:
     docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
     quotes = items.select("item_id", T.norm(F.col("text")).alias("q")).filter("length(q) >= 24")
-    near = contained(docs, quotes.select("item_id", F.left("q", F.lit(24)).alias("text")))
-    both = near.join(quotes, "item_id").join(docs.select("doc_id", T.norm(F.col("text")).alias("body")), "doc_id")
+    near = cut(contained(docs, quotes.select("item_id", F.left("q", F.lit(24)).alias("text"))))
+    held = docs.join(light(near.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", T.norm(F.col("text")).alias("body"))  # only texts that hold a beginning
+    both = near.join(quotes, "item_id").join(held, "doc_id")
     return both.select("item_id", "doc_id", F.length("q").alias("n"), X.common_prefix(F.col("q"), F.col("body")).alias("prefix"))
 
 

@@ -81,3 +81,7 @@ def test_validation_makes_no_cycles_that_it_drops(spark, sf, monkeypatch):
 def test_passages_go_to_python_by_the_hundred(spark, sf):
     plan = catalogue.queries()["q_chunks"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+
+
+def test_divergence_normalises_only_texts_that_hold_a_beginning(spark, sf):
+    assert "LeftSemi" in planned(catalogue.queries()["q_divergence"](spark, sf))
