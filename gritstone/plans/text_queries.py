@@ -54,7 +54,7 @@ _BM25 = f"""
 
 @query(f"WITH {_BM25.replace('{where}', '')} SELECT item_id, doc_id, rank, round(score, 3) AS score FROM ranked WHERE rank <= 5")
 def q_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    top = search.ranked(search.bm25(table(spark, d, "documents"), table(spark, d, "benchmark")), 5)
+    top = search.bm25_top(table(spark, d, "documents"), table(spark, d, "benchmark"), 5)
     return top.select("item_id", "doc_id", "rank", F.round("score", 3).alias("score"))
 
 
@@ -67,7 +67,7 @@ def q_bm25_bounded(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_BM25.replace('{where}', "WHERE lang = 'en'")} SELECT item_id, doc_id, rank, round(score, 3) AS score FROM ranked WHERE rank <= 5")
 def q_bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
-    top = search.ranked(search.bm25(table(spark, d, "documents"), table(spark, d, "benchmark"), F.col("lang") == "en"), 5)
+    top = search.bm25_top(table(spark, d, "documents"), table(spark, d, "benchmark"), 5, F.col("lang") == "en")
     return top.select("item_id", "doc_id", "rank", F.round("score", 3).alias("score"))
 
 

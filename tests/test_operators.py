@@ -80,3 +80,18 @@ def test_bounded_top_same_as_full_ranking(spark):
         for keep in (None, F.col("odd")):
             assert told(search.bm25_top(docs, queries, k, keep, seeds=2)) == told(search.ranked(search.bm25(docs, queries, keep), k))
     assert search.bm25_top(docs.limit(0), queries, 3).collect() == []
+
+
+def test_scores_where_a_document_lies_are_those_of_the_joins(spark, monkeypatch):
+    rnd = random.Random(4)
+    words = [f"w{k}" for k in range(50)]
+    text = lambda n: " ".join(rnd.choices(words, [50 / (k + 1) for k in range(50)], k=n))
+    same = text(20)
+    docs = spark.createDataFrame([(k, same if k % 2 else text(rnd.randrange(1, 40))) for k in range(300)] + [(None, same), (900, None), (901, "")], "doc_id bigint, text string").repartition(7)
+    queries = spark.createDataFrame([(f"q{k}", text(12)) for k in range(20)] + [("q0", text(9)), (None, "w1 w2"), ("none", "nowhere")], "item_id string, text string")
+    told = lambda df: sorted(((str(r.item_id), str(r.doc_id), r["rank"], round(r.score, 6)) for r in df.collect()))
+    seen = {k: told(search.ranked(search.bm25(docs, queries), k)) for k in (1, 7, 1000)}
+    monkeypatch.setattr(search, "_weighed", None)  # the joins aren't needed for a few queries
+    monkeypatch.setattr(search, "CELLS", 100)
+    for k, rows in seen.items():
+        assert told(search.bm25_top(docs, queries, k)) == rows
