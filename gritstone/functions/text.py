@@ -23,11 +23,21 @@ UNMARK = (
 )
 
 
+#: White space again, but letters of ASCII are ruled out at once; a single plain space, which stays, is no match.
+_GAP = r"[\x09-\x20\x{A0}-\x{FEFF}&&" + _WS + "]"
+_GAPS = rf" {_GAP}+|[\x09-\x1F\x{{A0}}-\x{{FEFF}}&&{_WS}]{_GAP}*"
+
+
+#: What any step but the last acts on holds one of these.
+_MARKED = r"[\[\\*_`~<\x{200B}-\x{2060}\x{FEFF}]|(?m)^[ \t]*[-+]"
+
+
 def norm(text: Column) -> Column:
     """Text for verbatim comparison: markdown and tags off, escapes undone, quotes straight, nothing of no width, no leading bullets, white space single, lower case."""
-    for pattern, to in UNMARK:
-        text = F.regexp_replace(text, pattern, to)
-    return F.lower(F.trim(text))
+    bare = text
+    for pattern, to in UNMARK[:-1]:
+        bare = F.regexp_replace(bare, pattern, to)
+    return F.lower(F.trim(F.regexp_replace(F.when(text.rlike(_MARKED), bare).otherwise(text), _GAPS, UNMARK[-1][1])))
 
 
 def stem(token: Column) -> Column:

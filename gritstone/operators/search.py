@@ -239,25 +239,25 @@ def contained(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """doc_id, item_id where the normalised text holds the normalised passage of 12 characters or more.
 
     Words inside a passage are whole words of the text too, so three of them make a key: a text
-    is held against the passages whose keys it has. Up to LITERALS keys are looked for while the
-    texts are read; more are joined. Passages of under five words have no key and are held against
+    is held against the passages whose keys it has. Up to BROADCAST_ROWS passages travel to the
+    texts and are held against them while they are read; more are joined. Passages of under five words have no key and are held against
     each text, if there are any.
     """
     texts = docs.select("doc_id", norm(F.col("text")).alias("body"))
     asked = cut(passages.select("item_id", norm(F.col("text")).alias("passage")).filter("length(passage) >= 12"))
     parts = F.split("passage", " ")
+    held = F.coalesce(F.contains("body", "passage"), F.lit(False))  # a bare test would have Spark normalise each text once more, to see that it isn't null
     keyed = asked.withColumn("key", F.when(F.size(parts) >= 5, F.xxhash64(*(F.get(parts, F.lit(k)) for k in (1, 2, 3)))))
     long, short = keyed.filter("key is not null"), keyed.filter("key is null").select("item_id", "passage")
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
     worded = texts.withColumn("w", F.split("body", " "))
-    keys = few(long, "key")
-    if keys is not None:
-        hits = worded.select("doc_id", "body", F.explode(F.array_intersect(grams, F.lit(keys).cast("array<bigint>") if keys else F.array().cast("array<bigint>"))).alias("key"))
-        found = hits.join(F.broadcast(long), "key").filter(F.contains("body", "passage")).select("doc_id", "item_id")
+    if long.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        hits = worded.select("doc_id", "body", F.explode(F.array_distinct(grams)).alias("key"))
+        found = hits.join(F.broadcast(long), "key").filter(held).select("doc_id", "item_id")
     else:
         spread = worded.filter("size(w) >= 5").select("doc_id", F.explode(F.array_distinct(grams)).alias("key"))
         near = spread.join(long, "key").select("doc_id", "item_id", "passage")
-        found = near.join(texts, "doc_id").filter(F.contains("body", "passage")).select("doc_id", "item_id")
+        found = near.join(texts, "doc_id").filter(held).select("doc_id", "item_id")
     if short.isEmpty():
         return found.distinct()
     return found.union(texts.join(light(short), F.contains("body", "passage")).select("doc_id", "item_id")).distinct()

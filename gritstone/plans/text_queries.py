@@ -76,7 +76,7 @@ def q_bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
  SELECT count(*) AS cases, round(avg(CASE WHEN rank IS NULL THEN 0 ELSE 1.0 / rank END), 6) AS mrr, count(*) FILTER (rank <= 5) AS hit_5, count(*) FILTER (rank <= 10) AS hit_10, count(*) FILTER (rank <= 20) AS hit_20, count(*) FILTER (rank <= 30) AS hit_30 FROM best""")
 def q_retrieval_eval(spark: SparkSession, d: str) -> DataFrame:
     docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
-    top = search.ranked(search.bm25(docs, items), 30).select("item_id", "doc_id", "rank")
+    top = search.bm25_top(docs, items, 30).select("item_id", "doc_id", "rank")
     best = search.contained(docs, items).join(top, ["item_id", "doc_id"], "left").groupBy("item_id").agg(F.min("rank").alias("rank"))
     hits = [F.count_if(F.col("rank") <= k).alias(f"hit_{k}") for k in (5, 10, 20, 30)]
     return best.agg(F.count("*").alias("cases"), F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"), *hits)

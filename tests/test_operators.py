@@ -95,3 +95,17 @@ def test_scores_where_a_document_lies_are_those_of_the_joins(spark, monkeypatch)
     monkeypatch.setattr(search, "CELLS", 100)
     for k, rows in seen.items():
         assert told(search.bm25_top(docs, queries, k)) == rows
+
+
+def test_few_texts_are_normalised_once_and_unmarked_only_where_marked(spark):
+    texts = ["plain  text\n here", "a • b", "\n - item one", "- top", "x—y", "“q” ’s", "[a](b) *c*", "a 　b", "\r\n+ z", "\x85- n", "a﻿b", "<b>x</b>", " ", "", None, "tab\tend\t", "\x0b\x1c", "a-b\n-c", " • k"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    every = F.col("t")
+    for pattern, to in T.UNMARK:
+        every = F.regexp_replace(every, pattern, to)
+    assert df.filter(~T.norm(F.col("t")).eqNullSafe(F.lower(F.trim(every)))).isEmpty()
+    docs = spark.createDataFrame([(1, "so it goes on and on for ever"), (2, None)], "doc_id int, text string")
+    items = spark.createDataFrame([(5, "it goes  on and on")], "item_id int, text string")
+    found = search.contained(docs, items)
+    assert [tuple(r) for r in found.collect()] == [(1, 5)]
+    assert search.contained(docs, items)._jdf.queryExecution().optimizedPlan().toString().count("{0,200}") == 1
