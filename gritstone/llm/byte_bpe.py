@@ -4,9 +4,10 @@ A word is one match of the pre-tokenizing pattern. Documents are read once into
 size: a block numbers its distinct words and holds its documents as sequences of these numbers.
 The words of all blocks meet by a hash of their bytes, each distinct word of the corpus is
 encoded and decoded once, and the answers go back to the blocks that asked. A fold merges, step by
-step, the leftmost of the adjacent pieces whose union has the least rank. Ranks come from a literal
-map, held as an array of small maps by hash so that a look-up touches one of them; decoding looks
-up the piece of each id in a literal array and concatenates the pieces.
+step, the leftmost of the adjacent pieces whose union has the least rank. Pieces are ids; what two of
+them make is looked up in literal arrays of numbers, in which the pairs of each left piece lie
+shifted into each other's gaps; decoding looks up the piece of each id in a literal array and
+concatenates the pieces.
 
 Blocks are kept as a table bucketed by block, so only words and answers are shuffled, never the
 documents; of decoded words, only those that differ from the word asked for travel. Word hashes are even, blocks are bounded: no key is hot.
@@ -22,6 +23,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -46,19 +48,56 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-def _key_hash(text: str, buckets: int) -> int:
-    """What pmod(crc32(text), buckets) gives."""
-    return zlib.crc32(text.encode()) % buckets
+def merged(token: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """The pieces that merging by rank leaves of a token's bytes."""
+    parts = [token[k : k + 1] for k in range(len(token))]
+    while len(parts) > 1:
+        least, k = min((ranks.get(a + b, NONE), k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+        if least == NONE:
+            break
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+    return parts
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The ranks as a literal array<map<string,int>>; a byte is the character of its number."""
-    n = 1 << max(4, len(ranks).bit_length())
-    held: list[dict[str, int]] = [{} for _ in range(n)]
+def pair_cells(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """shift, owner, joined: pieces a and b make the piece joined[shift[a] + b] if owner[shift[a] + b] is a, else none; a place out of range is none as well."""
+    rows: dict[int, list[tuple[int, int]]] = {}
     for token, rank in ranks.items():
-        key = token.decode("latin-1")
-        held[_key_hash(key, n)][key] = rank
-    return F.from_json(F.lit(json.dumps(held)), "array<map<string,int>>")
+        for k in range(1, len(token)):
+            a, b = ranks.get(token[:k]), ranks.get(token[k:])
+            if a is not None and b is not None:
+                rows.setdefault(a, []).append((b, rank))
+    most, total = max(ranks.values()) + 1, sum(map(len, rows.values()))
+    size = 3 * total + 2 * most
+    shift, owner, joined = np.full(most, -NONE), np.full(size, -1), np.zeros(size, np.int64)
+    draw = np.random.default_rng(0)
+    for a, row in sorted(rows.items(), key=lambda x: -len(x[1])):  # the long ones first, where there is room
+        b, made = np.array(row).T
+        for n in count(1):
+            if n % 2_000 == 0:  # no room; as much again
+                owner, joined = np.append(owner, np.full(size, -1)), np.append(joined, np.zeros(size, np.int64))
+                size = len(owner)
+            tried = draw.integers(-int(b.min()), size - int(b.max()), 64)
+            free = np.flatnonzero((owner[tried[:, None] + b] < 0).all(1))
+            if len(free):
+                break
+        shift[a] = tried[free[0]]
+        owner[shift[a] + b], joined[shift[a] + b] = a, made
+    return shift, owner, joined
+
+
+def _numbers(values: np.ndarray | list) -> Column:
+    return F.from_json(F.lit(json.dumps([int(x) for x in values], separators=(",", ":"))), "array<int>")
+
+
+def tables(ranks: dict[bytes, int]) -> Column:
+    """The ranks as literals: ids of the bytes, the cells of pair_cells, and the tokens that merging doesn't reach."""
+    shift, owner, joined = pair_cells(ranks)
+    alone = {t.decode("latin-1"): r for t, r in ranks.items() if len(merged(t, ranks)) > 1}
+    return F.struct(
+        _numbers([ranks[bytes([k])] for k in range(256)]).alias("bytes"), _numbers(shift).alias("shift"), _numbers(owner).alias("owner"), _numbers(joined).alias("joined"),
+        (F.from_json(F.lit(json.dumps(alone)), "map<string,int>") if alone else F.lit(None).cast("map<string,int>")).alias("alone"),
+    )
 
 
 def piece_array(ranks: dict[bytes, int]) -> Column:
@@ -73,38 +112,42 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fold(word: Column, table: Column, buckets: int) -> Column:
-    """The ids of one word (a string of one character a byte), merged by rank."""
-    rank = lambda s: F.coalesce(F.try_element_at(F.get(table, F.pmod(F.crc32(s), F.lit(buckets)).cast("int")), s), F.lit(NONE))
+def fold(word: Column, table: Column) -> Column:
+    """The ids of one word (a string of one character a byte), merged by rank; an id is its piece's rank."""
     at = lambda a, i: F.get(a, i)
+    bytes_, shift, owner, joined = (table[c] for c in ("bytes", "shift", "owner", "joined"))
+
+    def rank(left: Column, right: Column) -> Column:
+        place = at(shift, left) + right
+        return F.when(at(owner, place) == left, at(joined, place)).otherwise(F.lit(NONE))
 
     def merge(state: Column) -> Column:
         """Join the two pieces at the least rank and look up the pairs on either side anew."""
-        parts, ranks = state["parts"], state["ranks"]
+        ids, ranks, least = state["ids"], state["ranks"], state["least"]
 
-        def joined(i: Column, both: Column) -> Column:  # i: 0-based place of the left piece
-            before = F.when(i > 0, F.array(rank(F.concat(at(parts, i - 1), both)))).otherwise(F.array().cast("array<int>"))
-            after = F.when(i + 2 < F.size(parts), F.array(rank(F.concat(both, at(parts, i + 2))))).otherwise(F.array().cast("array<int>"))
+        def join(i: Column) -> Column:  # i: 0-based place of the left piece
+            before = F.when(i > 0, F.array(rank(at(ids, i - 1), least))).otherwise(F.array().cast("array<int>"))
+            after = F.when(i + 2 < F.size(ids), F.array(rank(least, at(ids, i + 2)))).otherwise(F.array().cast("array<int>"))
             return F.struct(
-                F.concat(F.slice(parts, 1, i), F.array(both), F.slice(parts, i + 3, F.size(parts))).alias("parts"),
+                F.concat(F.slice(ids, 1, i), F.array(least), F.slice(ids, i + 3, F.size(ids))).alias("ids"),
                 F.concat(F.slice(ranks, 1, F.greatest(i - 1, F.lit(0))), before, after, F.slice(ranks, i + 3, F.size(ranks) + 1)).alias("ranks"),
             )
 
-        least = state["least"]
-        return F.when(least < NONE, _let((F.array_position(ranks, least) - 1).cast("int"), lambda i: _let(F.concat(at(parts, i), at(parts, i + 1)), lambda both: whole_state(joined(i, both))))).otherwise(state)
+        return F.when(least < NONE, _let((F.array_position(ranks, least) - 1).cast("int"), lambda i: whole_state(join(i)))).otherwise(state)
 
     def whole_state(new: Column) -> Column:
         """The least rank is found once for each merge and kept, so that steps after the last merge look at one number only."""
-        return _let(new, lambda s: F.struct(s["parts"].alias("parts"), s["ranks"].alias("ranks"), F.coalesce(F.array_min(s["ranks"]), F.lit(NONE)).alias("least")))
+        return _let(new, lambda s: F.struct(s["ids"].alias("ids"), s["ranks"].alias("ranks"), F.coalesce(F.array_min(s["ranks"]), F.lit(NONE)).alias("least")))
 
-    def pieces(parts: Column) -> Column:
-        n = F.size(parts)
-        pairs = F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), lambda i: rank(F.concat(at(parts, i), at(parts, i + 1))))).otherwise(F.array().cast("array<int>"))
-        start = whole_state(F.struct(parts.alias("parts"), pairs.alias("ranks")))
+    def pieces(ids: Column) -> Column:
+        n = F.size(ids)
+        pairs = F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), lambda i: rank(at(ids, i), at(ids, i + 1)))).otherwise(F.array().cast("array<int>"))
+        start = whole_state(F.struct(ids.alias("ids"), pairs.alias("ranks")))
         steps = F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))
-        return F.transform(F.aggregate(steps, start, lambda state, _: merge(state))["parts"], rank)
+        return F.aggregate(steps, start, lambda state, _: merge(state))["ids"]
 
-    return _let(rank(word), lambda whole: F.when(whole < NONE, F.array(whole)).otherwise(_let(F.split(word, ""), pieces)))
+    ids = _let(F.transform(F.split(word, ""), lambda c: at(bytes_, F.ascii(c))), pieces)
+    return F.when(table["alone"].isNull(), ids).otherwise(_let(F.try_element_at(table["alone"], word), lambda whole: F.when(whole.isNull(), ids).otherwise(F.array(whole))))
 
 
 class Cuts:
@@ -310,15 +353,14 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, full: bool = False) ->
     ranks travel with the plan. It must hold all 256 single bytes.
     """
     ranks = read_ranks(rank_path)
-    buckets = 1 << max(4, len(ranks).bit_length())
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     held = _blocks(texts.mapInArrow(_index(pattern, ranks), "block bigint, bucket int, words string, steps array<int>, doc_ids array<bigint>, sizes array<int>, payload binary"))
     asked = held.filter("words is not null").select("bucket", "block", "words").repartition("bucket")
     each = asked.select("bucket", "block", F.posexplode(F.split("words", _SEP)).alias("at", "word")).groupBy("bucket", "word").agg(F.collect_list(F.struct("block", "at")).alias("asked"))
     piece = lambda ids, pieces: F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")
     answer = _let(
-        F.struct(rank_map(ranks).alias("ranks"), piece_array(ranks).alias("pieces")),
-        lambda t: _let(fold(F.col("word"), t["ranks"], buckets), lambda ids: F.struct(F.array_join(ids, ",").alias("ids"), F.nullif(piece(ids, t["pieces"]), F.col("word")).alias("piece"))),
+        F.struct(tables(ranks).alias("ranks"), piece_array(ranks).alias("pieces")),
+        lambda t: _let(fold(F.col("word"), t["ranks"]), lambda ids: F.struct(F.array_join(ids, ",").alias("ids"), F.nullif(piece(ids, t["pieces"]), F.col("word")).alias("piece"))),
     )
     told = each.select("bucket", "asked", answer.alias("answer")).select("bucket", F.explode("asked").alias("asked"), "answer")
     back = told.groupBy("bucket", F.col("asked.block").alias("block")).agg(F.sort_array(F.collect_list(F.struct("asked.at", "answer.ids", "answer.piece"))).alias("told"))

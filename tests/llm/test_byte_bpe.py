@@ -1,11 +1,14 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import numpy as np
 import public_tokenizers as P
 import tiktoken
+from pyspark.sql import functions as F
 
+from gritstone.llm import byte_bpe
 from gritstone.llm.byte_bpe import Cuts, encode, packed, read_ranks, stretches, unpacked
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
@@ -70,3 +73,25 @@ def test_any_part_of_the_result(spark):
         assert sorted((str(r[0]) for r in got.select(c).collect())) == sorted(str(r[c]) for r in whole.values())
     assert got.count() == 3
     assert got.agg({"n_tokens": "sum"}).first()[0] == sum(r.n_tokens for r in whole.values())
+
+
+def test_cells_hold_every_pair_and_no_other():
+    rnd = random.Random(2)
+    ranks = {bytes([k]): k for k in range(256)}
+    for _ in range(400):
+        a, b = rnd.choices(list(ranks), k=2)
+        ranks.setdefault(a + b, len(ranks))
+    shift, owner, joined = byte_bpe.pair_cells(ranks)
+    names = {r: t for t, r in ranks.items()}
+    for a in range(len(ranks)):
+        for b in range(len(ranks)):
+            at = shift[a] + b
+            assert (joined[at] if 0 <= at < len(owner) and owner[at] == a else None) == ranks.get(names[a] + names[b])
+    assert byte_bpe.merged(b"ab", {b"a": 0, b"b": 1}) == [b"a", b"b"] and byte_bpe.merged(b"abc", {b"a": 0, b"b": 1, b"c": 2, b"bc": 3, b"abc": 4}) == [b"abc"]
+
+
+def test_a_token_that_merging_does_not_reach_is_found_whole(spark):
+    ranks = {bytes([k]): k for k in range(256)} | {b"abc": 256, b"bd": 257}
+    words = spark.createDataFrame([("abc",), ("abcd",), ("abd",), ("b",), ("\u00ff\u0000",)], "word string")
+    got = [r[0] for r in words.select(byte_bpe._let(byte_bpe.tables(ranks), lambda t: byte_bpe.fold(F.col("word"), t))).collect()]
+    assert got == [[256], [97, 98, 99, 100], [97, 257], [98], [255, 0]]
