@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gritstone.operators.events import epoch_micros
 from gritstone.streaming.gate import Policy, gated
 from gritstone.streaming.runs import files_as_stream, run_to_end
 
@@ -16,8 +17,10 @@ def _requests(spark: SparkSession, d: str, action: str) -> DataFrame:
     """A request for each event: sixteen pools of callers."""
     k = F.col("event_id")
     ticket = F.when(F.expr(action).isin("join", "poll", "leave") | ((F.expr(action) == "admit") & (k % 3 == 0)), F.concat(F.lit("t"), "user_id"))
-    return files_as_stream(spark, f"{d}/events.parquet").select(
-        F.concat(F.lit("p"), F.col("user_id") % 16).alias("pool"), F.col("ts").cast("timestamp").alias("at"), k.alias("seq"), F.expr(action).alias("action"),
+    events = files_as_stream(spark, f"{d}/events.parquet")
+    at = F.timestamp_micros(epoch_micros("ts")) if events.schema["ts"].dataType.typeName() == "timestamp_ntz" else F.col("ts")  # a clock without a zone has no missing hour
+    return events.select(
+        F.concat(F.lit("p"), F.col("user_id") % 16).alias("pool"), at.alias("at"), k.alias("seq"), F.expr(action).alias("action"),
         F.concat(F.lit("s"), "user_id").alias("session"), F.concat(F.lit("u"), "user_id").alias("subject"), (F.col("user_id") % 2 == 0).alias("guest"), ticket.alias("ticket"), F.lit("x").alias("token"), (F.col("value") * 1000).cast("bigint").alias("ms"),
     )
 

@@ -10,7 +10,7 @@ and what is told of them:
 - high: NOTED, or COOLED when it is one too many within the trailing window. settle: REFUNDED for a call under `least_ms`, else KEPT.
 - without a request: EXPIRED, when a lease runs out.
 
-A pool has few lines, one count for all, so its requests are one key, in order of time. Its state is maps in the state store, a
+A pool has few lines, one count for all, so its requests are one key, in order of time, then of number; what has both alike goes by its names. Its state is maps in the state store, a
 row each for a lease, ticket or subject. A batch reads a pool's leases and tickets once and a subject's row when it is first asked for, keeps them
 while its requests go by, and writes back what has changed; a place in the queue is looked up in a sorted list, and ends come from heaps, so a request takes no longer in a long queue. Of a batch's
 requests a pool holds numbers, with names as codes. Timers end leases that nobody asks about
@@ -330,7 +330,8 @@ def _in_order(parts: Iterator[pd.DataFrame]) -> Iterator[list[_Request]]:
         held.append((*numbers, *own))
     seq, at_ms, ms, no_ms, guest, *own = (np.concatenate(c) for c in zip(*held))
     names = [list(codes[c]) for c in _NAMES]
-    order = np.lexsort((seq, at_ms))
+    ranks = [np.argsort(sorted(range(len(n)), key=lambda i: n[i] or ""))[c] for n, c in zip(names, own)]
+    order = np.lexsort((*ranks, seq, at_ms))
     for k in range(0, len(order), _SLICE):
         at = order[k : k + _SLICE]
         lists = [[n[i] for i in c[at].tolist()] for n, c in zip(names, own)]
@@ -392,8 +393,9 @@ class _Processor(StatefulProcessor):
 
 
 def frame(rows: list[tuple]) -> pd.DataFrame:
-    told = pd.DataFrame(rows, columns=["pool", "seq", "at_ms", "session", "action", "verdict", "place", "wait_ms", "active"])
-    return told.astype({"seq": "Int64", "at_ms": "int64", "place": "Int32", "wait_ms": "Int64", "active": "Int32"})
+    columns = ("pool", "seq", "at_ms", "session", "action", "verdict", "place", "wait_ms", "active")
+    types = {"seq": "Int64", "at_ms": "Int64", "place": "Int32", "wait_ms": "Int64", "active": "Int32"}
+    return pd.DataFrame({c: pd.array(v, types.get(c, "object")) for c, v in zip(columns, zip(*rows) if rows else [()] * len(columns))})  # numbers beside nulls never go through doubles
 
 
 def gated(requests: DataFrame, policy: Policy = Policy(), lateness: str = "1 minute") -> DataFrame:
@@ -406,7 +408,7 @@ def replayed(rows: list[Row], policy: Policy = Policy()) -> list[tuple]:
     """The verdicts on a short log of requests with at_ms, held in memory: what the stream is tested against."""
     gates: dict[str, Gate] = {}
     out = []
-    for r in sorted(rows, key=lambda r: (r.at_ms, r.seq)):
+    for r in sorted(rows, key=lambda r: (r.at_ms, r.seq, *((r[c] or "") for c in reversed(_NAMES)))):
         gate = gates.setdefault(r.pool, Gate(policy, {n: {} for n in Gate.STATES}))
         out += [(r.pool, None, until, session, None, "EXPIRED", None, None, None) for session, until in gate.swept(r.at_ms)]
         out.append((r.pool, r.seq, r.at_ms, r.session, r.action, *gate.act(r.at_ms, r), len(gate.leases)))

@@ -3,10 +3,13 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta, timezone
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import Row
 
-from gritstone.streaming.gate import REQUEST, Gate, Policy, gated, replayed
+from gritstone.plans import catalogue
+from gritstone.streaming.gate import REQUEST, Gate, Policy, _in_order, frame, gated, replayed
 from gritstone.streaming.runs import run_to_end
 
 FIELDS = ("pool", "at_ms", "seq", "action", "session", "subject", "guest", "ticket", "token", "ms")
@@ -106,3 +109,33 @@ def test_long_queue_is_not_read_for_each_place():
             assert place == 1 + sum(v[3] is None and (v[1], v[0]) < (mine[1], mine[0]) for v in live.values())
     assert gate.queue == sorted((v[1], v[0]) for v in live.values() if v[3] is None) and len(gate.queue) > 100
     assert sum(m.read for m in maps.values()) == 2  # once each for leases and tickets, when the rules were opened
+
+
+def test_numbers_beside_nulls_stay_exact():
+    n = (1 << 53) + 1
+    told = frame([("p", None, 5, "s", None, "EXPIRED", None, None, None), ("p", n, 6, "s", "admit", "ADMITTED", None, n, 1)])
+    assert told["seq"].tolist()[1] == n and told["wait_ms"].tolist()[1] == n and frame([]).shape == (0, 9)
+
+
+def test_equal_times_and_numbers_go_by_names():
+    rows = [("p", 0, 7, a, s, "u", False, None, None, None) for a, s in (("release", "b"), ("admit", "c"), ("admit", "b"), ("admit", "a"))]
+    part = lambda rows: pd.DataFrame(rows, columns=["pool", "at_ms", "seq", "action", "session", "subject", "guest", "ticket", "token", "ms"])
+    want = [("a", "admit"), ("b", "admit"), ("b", "release"), ("c", "admit")]
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        assert [(r.session, r.action) for x in _in_order(iter([part(order)])) for r in x] == want
+    made = replayed([Row(*FIELDS)(*r) for r in rows])
+    assert [(t[3], t[4]) for t in made if t[1] is not None] == want
+
+
+def test_leases_of_large_numbers_in_a_zone_with_a_missing_hour(spark, tmp_path):
+    con = duckdb.connect()
+    hour = "CASE WHEN i % 4 = 0 THEN 1 WHEN i % 4 = 1 THEN 3 ELSE 2 END"  # 2 o'clock isn't on New York's clocks that night
+    con.execute(f"COPY (SELECT 9007199254740993 + 7 * i AS event_id, TIMESTAMP '2024-03-10 00:00:00' + to_minutes(60 * ({hour}) + i % 59) AS ts, i % 23 AS user_id, 'view' AS event_type, 1.5 AS value, '' AS props FROM range(400) t(i)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = [tuple(r) for r in catalogue.queries()["q_leases"](spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert sorted(got) == sorted(con.execute(catalogue.oracle_sql()["q_leases"]).fetchall())
