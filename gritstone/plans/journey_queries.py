@@ -100,10 +100,8 @@ def q_held_closure(spark: SparkSession, d: str) -> DataFrame:
     return J.held_closure(requests(spark, d), owned(spark, d), *groups(spark, d))
 
 
-def _expanded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    asked, (own, members) = requests(spark, d), groups(spark, d)
-    held = J.held_closure(asked, owned(spark, d), own, members)
-    return J.expand(asked, nodes(spark, d), edges(spark, d), own, members, held, F.lit(AS_OF).cast("date"))
+def _expanded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return J.journeys(requests(spark, d), nodes(spark, d), edges(spark, d), *groups(spark, d), owned(spark, d), F.lit(AS_OF).cast("date"))
 
 
 @query(_WALK + "SELECT DISTINCT request_id, id, src, dst, type, CASE WHEN truth THEN 'TRUE' ELSE 'UNKNOWN' END AS truth FROM walk JOIN hop USING (request_id, node) ANTI JOIN stop USING (request_id, node) WHERE truth IS NULL OR truth")
@@ -114,9 +112,7 @@ def q_journey_expand(spark: SparkSession, d: str) -> DataFrame:
 @query(_WALK + """SELECT request_id, count(*) AS nodes, count(*) FILTER (node IN (SELECT node FROM held h WHERE h.request_id = w.request_id)) AS satisfied, count(*) FILTER (node LIKE 's%') AS services,
  count(*) FILTER (node LIKE 'p%' AND (SELECT p_size % 5 FROM part WHERE 'p' || p_partkey = node) IN (0, 4)) AS documents FROM walk w GROUP BY request_id""")
 def q_journey_summary(spark: SparkSession, d: str) -> DataFrame:
-    asked, (own, members) = requests(spark, d), groups(spark, d)
-    held = J.held_closure(asked, owned(spark, d), own, members)
-    reached, _ = J.expand(asked, nodes(spark, d), edges(spark, d), own, members, held, F.lit(AS_OF).cast("date"))
+    reached, _, held = _expanded(spark, d)
     rows = reached.join(nodes(spark, d).select(F.col("id").alias("node"), "type"), "node").join(held.withColumn("has", F.lit(True)), ["request_id", "node"], "left")
     return rows.groupBy("request_id").agg(F.count("*").alias("nodes"), F.count_if("has").alias("satisfied"), F.count_if(F.col("type") == "SERVICE").alias("services"), F.count_if(F.col("type").isin("DOCUMENT", "DOCUMENT_GROUP")).alias("documents"))
 

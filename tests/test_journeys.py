@@ -160,3 +160,37 @@ def test_edges_are_read_once_and_conditions_answered_once_a_request(spark, monke
         assert read.value == 4
         assert {(r.request_id, r.id, r.truth, tuple(r.pending)) for r in used.collect()} == {("r", i, True, ()) for i in "1234"} | {("q", i, None, ("age",)) for i in "14"}
         assert {(r.request_id, r.node, r.depth) for r in reached.collect()} == {("r", "a", 0), ("r", "b", 1), ("r", "c", 1), ("r", "d", 2), ("q", "a", 0)}
+
+
+def test_a_round_of_a_walk_is_few_tables(spark, monkeypatch):
+    made = []
+    keep = J.cut
+    monkeypatch.setattr(J, "cut", lambda df: made.append(1) or keep(df))
+    own = "array<struct<op:string,field:string,values:array<string>,arity:int>>"
+
+    def cuts(n):
+        """Tables made for a chain of n nodes."""
+        made.clear()
+        asked = spark.createDataFrame([("r", "n0", ["x"], {})], "request_id string, goal string, chain array<string>, facts map<string,string>")
+        nodes = spark.createDataFrame([(f"n{k}", "DOCUMENT", None) for k in range(n)], "id string, type string, scope string")
+        edges = spark.createDataFrame([(f"e{k}", f"n{k}", f"n{k + 1}", "REQUIRES", None, [], None, None) for k in range(n - 1)], f"id string, src string, dst string, type string, scope string, program {own}, status string, valid_until date")
+        none = (spark.createDataFrame([], f"id string, owner string, mode string, need int, scope string, program {own}"), spark.createDataFrame([], f"group_id string, node string, program {own}"))
+        reached, told, _ = J.journeys(asked, nodes, edges, *none, spark.createDataFrame([], "request_id string, node string"), F.lit("2024-01-01").cast("date"))
+        assert {r.node: r.depth for r in reached.collect()} == {f"n{k}": k for k in range(n)} and told.count() == n - 1
+        return len(made)
+
+    few = cuts(3)
+    assert cuts(7) - few <= 4 * 3 + 3  # three walks of one table a round, and some put together; it was six and more a round
+
+
+def test_what_a_satisfied_group_gives_is_held_within_the_walk(spark):
+    own = "array<struct<op:string,field:string,values:array<string>,arity:int>>"
+    asked = spark.createDataFrame([("r", "s", ["x"], {})], "request_id string, goal string, chain array<string>, facts map<string,string>")
+    nodes = spark.createDataFrame([(n, "DOCUMENT", None) for n in ("s", "a", "b", "c", "d", "e", "far")], "id string, type string, scope string")
+    edge = lambda i, a, b: (i, a, b, "REQUIRES", None, [], None, None)
+    edges = spark.createDataFrame([edge("1", "s", "a"), edge("2", "a", "far"), edge("3", "s", "d")], f"id string, src string, dst string, type string, scope string, program {own}, status string, valid_until date")
+    groups = spark.createDataFrame([("g", "a", "ALL_OF", None, None, []), ("h", "b", "ANY_OF", None, None, []), ("i", "d", "ALL_OF", None, None, [])], f"id string, owner string, mode string, need int, scope string, program {own}")
+    members = spark.createDataFrame([("g", "b", []), ("h", "c", []), ("i", "c", []), ("i", "e", [])], f"group_id string, node string, program {own}")
+    reached, told, held = J.journeys(asked, nodes, edges, groups, members, spark.createDataFrame([("r", "c"), ("r", "elsewhere")], "request_id string, node string"), F.lit("2024-01-01").cast("date"))
+    assert {(r.node, r.depth) for r in reached.collect()} == {("s", 0), ("a", 1), ("d", 1), ("c", 2), ("e", 2)}  # c gives b, and b gives a
+    assert {r.id for r in told.collect()} == {"1", "3", "rg:i:c", "rg:i:e"} and {r.node for r in held.collect()} == {"a", "c"}
