@@ -2,7 +2,8 @@ from __future__ import annotations
 
 import pytest
 
-from gritstone.operators.assembly import assembled
+from gritstone.operators import assembly
+from gritstone.operators.assembly import assembled, kept as keep
 
 FACTS = "fact_id bigint, service string, service_name string, host string, url string, kind string, object string, detail map<string,string>, claim string, promoted boolean"
 
@@ -74,3 +75,14 @@ def test_large_part_numbers_keep_the_order_of_lines(spark, tmp_path):
     held.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
     want = held.execute(f"select id, host from ({catalogue.oracle_sql()['q_assembled_services']})").fetchall()
     assert got == want == [("service:s1", "h1.gov.in")]  # the first line's, though its part has six digits
+
+
+def test_facts_are_kept_narrow_and_ends_are_held_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(assembly, "kept", lambda df: kept.append(df) or keep(df))
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    out = assembly.assembled(frame([fact(1, "ACTION", claim="Submit form 3;", promoted=True), fact(2, "GRIEVANCE"), fact(3, "ACTION", claim="Submit form 4;", promoted=True, service="cart")], FACTS), frame([("Card", True)], "phrase string, document boolean"), frame([], "id string"), frame([("service:cart",)], "id string"))
+    assert not {"detail", "kind"} & set(kept[0].columns)
+    assert out["edges"]._jdf.queryExecution().optimizedPlan().toString().count("Join LeftSemi") == 1
+    assert sorted((r.src, r.dst) for r in out["edges"].collect() if r.type == "REQUIRES") == [("service:boat", "action:boat_submit_form_3")]
+    assert [r.reason for r in out["refused"].collect() if r.fact_id == 3] == ["ALREADY_OWNED"]
